@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes at a time out of an Arrow batch.
 SLICE_BYTES = 8 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def byte_slices(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
@@ -29,9 +31,12 @@ def byte_slices(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[bytes]]
             start, size = i + 1, 0
 
 
-def arrow_stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Record batches without the empty ones."""
-    return (b for b in batches if b.num_rows)
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold BATCH_BYTES at most, so that a worker's memory does not follow its rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sql(f"SET {key}").first()["value"].rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
