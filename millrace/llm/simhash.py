@@ -22,11 +22,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import byte_slices, checkpointed
+from millrace.llm.common import bounded_batches, byte_slices, checkpointed
 
 BITS = 64
 SEED = 42
@@ -59,6 +59,7 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 def fingerprints(text: Column, shingle: int = 4) -> Column:
     """Column of int64: the fingerprint's bits, as a signed number."""
+    bounded_batches(SparkSession.active())
 
     @arrow_udf("bigint")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
