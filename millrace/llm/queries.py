@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, quality, simhash, token_count, toxicity
+from millrace.llm import bpe, oracles, quality, simhash, token_count, toxicity, url_filter, warc
 from millrace.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,37 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.with_token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC records against a replica in which some records are altered and some cut short."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damaged = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substr("html", F.lit(2)))).when(F.col("page_id") % 211 == 5, F.expr("substr(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    left = warc.leaves(pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")))
+    right = warc.leaves(pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), damaged).alias("record")))
+    return warc.damage(left, right).select("page_id", F.col("file").alias("file_id"), "seq", F.col("start").alias("start_offset"), F.col("length").alias("n_bytes"), F.col("hash").alias("leaf_hash"), F.col("other_hash").alias("replica_hash"), F.col("root").alias("root_hash"), F.col("other_root").alias("replica_root_hash"), "kind")
+
+
+def url_list(hosts: DataFrame) -> DataFrame:
+    """A dated list for (host): entries chosen by the first hex digit of a host's md5, and a few of parent domains."""
+    digit = F.substr(F.md5("host"), F.lit(1), F.lit(1))
+    day = lambda text: F.lit(text).cast("timestamp")
+    entry = lambda name, action, key, at, added: F.struct(F.lit(name).alias("list"), F.lit(action).alias("action"), key.alias("key"), day(at).alias("at"), F.lit(added).alias("added"))
+    host = F.col("host")
+    made = F.when(digit.isin("0", "1", "2", "3"), F.array(entry("spam", "block", host, "2024-02-01", True), entry("spam", "block", host, "2024-05-01", False), entry("spam", "block", host, "2024-09-15", True)))
+    made = made.when(digit.isin("4", "5", "6"), F.array(entry("malware", "block", host, "2024-03-10", True)))
+    made = made.when(digit.isin("e", "f"), F.array(entry("trusted", "allow", host, "2024-01-15", True), entry("trusted", "allow", host, "2024-11-01", False)))
+    own = hosts.filter(host.isNotNull()).distinct().select(F.explode(made).alias("e")).select("e.*")
+    fixed = [("parents", "block", "example.org", "2024-06-01", True), ("parents", "block", "example.org", "2024-07-01", False), ("spam", "block", "cheap-pills.example.com", "2024-01-20", True)]
+    return own.unionByName(hosts.sparkSession.createDataFrame(fixed, "list string, action string, key string, at string, added boolean").withColumn("at", F.col("at").cast("timestamp")))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture of hour page_id of 2024, against a dated list made from the hosts."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") % 8760 * 3600))
+    found = url_filter.matched(captures, url_list(pages.select(url_filter.host_of(F.col("url")).alias("host"))))
+    return found.select("page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), "n_active", "blocked", "matched_key", "matched_list", F.unix_seconds("active_since").alias("since_s"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.with_round_trip(docs)
@@ -49,7 +80,9 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_warc_fixity": op7_warc_fixity,
+    "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
