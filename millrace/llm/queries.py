@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, oracles, quality, simhash, token_count, toxicity, url_filter, warc
+from millrace.llm import bpe, oracles, quality, simhash, suffix_lm, token_count, toxicity, url_filter, warc
 from millrace.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.damage(left, right).select("page_id", F.col("file").alias("file_id"), "seq", F.col("start").alias("start_offset"), F.col("length").alias("n_bytes"), F.col("hash").alias("leaf_hash"), F.col("other_hash").alias("replica_hash"), F.col("root").alias("root_hash"), F.col("other_root").alias("replica_root_hash"), "kind")
 
 
+def op8_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.scored(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def url_list(hosts: DataFrame) -> DataFrame:
     """A dated list for (host): entries chosen by the first hex digit of a host's md5, and a few of parent domains."""
     digit = F.substr(F.md5("host"), F.lit(1), F.lit(1))
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_warc_fixity": op7_warc_fixity,
+    "op8_suffix_lm": op8_suffix_lm,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 
 import numpy as np
 
@@ -53,7 +54,12 @@ class PairTable:
             todo = todo[~placed[todo]]
             moved = todo[self.keys[at[todo]] != key[todo]]
             at[moved] = (at[moved] + 1) & ((1 << self.bits) - 1)
-        self.scalar = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(left, right, strict=True))}
+        self._left, self._right = left, right
+
+    @cached_property
+    def scalar(self) -> dict[tuple[int, int], int]:
+        """The same table for one pair at a time."""
+        return {(int(a), int(b)): i for i, (a, b) in enumerate(zip(self._left, self._right, strict=True))}
 
     def _slot(self, key):
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
