@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, oracles, quality, simhash, suffix_lm, token_count, toxicity, url_filter, warc
+from millrace.llm import bpe, html_extract, oracles, quality, simhash, suffix_lm, token_count, toxicity, url_filter, warc
 from millrace.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extracted(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.with_token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op5_html_text": op5_html_text,
     "op6_token_counts": op6_token_counts,
     "op7_warc_fixity": op7_warc_fixity,
     "op8_suffix_lm": op8_suffix_lm,
