@@ -20,18 +20,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import byte_slices
+from millrace.llm.common import bounded_batches, byte_slices
 from millrace.llm.vocab import NONE, Vocabulary, vocabulary_bytes
 
 #: The published word pattern of this vocabulary (a fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WIDE = 64
 #: Distinct pieces whose ids a worker keeps; beyond it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: White space as Unicode defines it (a fixed value), for a class.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -203,31 +203,14 @@ class Codec:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), tokens), " ")
 
 
-def _is_text(b: bytes) -> str:
-    return b.decode("utf-8", "replace")
-
-
-def encode(text: Column, vocabulary: str = "word_bpe_49k.json", session=None) -> Column:
+def encode(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     """Column of array<int>: the ids of ``text``; ``vocabulary`` is a path or the name of a public file, read on the driver."""
-    from pyspark.sql import SparkSession
-
-    shared = (session or SparkSession.active()).sparkContext.broadcast(vocabulary_bytes(vocabulary))
-
-    @arrow_udf("array<int>")
-    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(shared.value)
-        for arr in batches:
-            parts = [codec.encode([_is_text(x) for x in part]) for part in byte_slices(arr)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    return round_trip(text, vocabulary)["ids"]
 
-    return ids_of(text)
 
-
-def decode(ids: Column, vocabulary: str = "word_bpe_49k.json", session=None) -> Column:
+def decode(ids: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     """Column of string: the text of an array<int> of ids."""
-    from pyspark.sql import SparkSession
-
-    shared = (session or SparkSession.active()).sparkContext.broadcast(vocabulary_bytes(vocabulary))
+    shared = _shared(vocabulary)
 
     @arrow_udf("string")
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -238,6 +221,29 @@ def decode(ids: Column, vocabulary: str = "word_bpe_49k.json", session=None) ->
     return text_of(ids)
 
 
+def round_trip(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
+    """Column of struct: the ids of ``text`` and the text decoded from them, made by one worker."""
+    shared = _shared(vocabulary)
+
+    @arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(shared.value)
+        for arr in batches:
+            parts = [codec.encode([x.decode("utf-8", "replace") for x in part]) for part in byte_slices(arr)]
+            ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            yield pa.StructArray.from_arrays([ids, codec.decode(ids)], ["ids", "decoded"])
+
+    return both(text)
+
+
+def _shared(vocabulary: str):
+    session = SparkSession.active()
+    bounded_batches(session)
+    return session.sparkContext.broadcast(vocabulary_bytes(vocabulary))
+
+
 def with_round_trip(df: DataFrame, text: str = "text", vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """``df`` with ``ids`` (array<int>) and ``decoded`` (their text)."""
-    return df.withColumn("ids", encode(F.col(text), vocabulary, df.sparkSession)).withColumn("decoded", decode(F.col("ids"), vocabulary, df.sparkSession))
+    """``df`` with ``ids`` (array<int>) and ``decoded`` (their text); columns of these names are replaced."""
+    names = [c for c in df.columns if c not in ("ids", "decoded")]
+    made = df.select("*", round_trip(F.col(text), vocabulary).alias("_round_trip"))
+    return made.select(*[F.col(f"`{c}`") for c in names], "_round_trip.ids", "_round_trip.decoded")
