@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, html_extract, oracles, quality, simhash, suffix_lm, token_count, toxicity, url_filter, warc
+from millrace.llm import bpe, decontam, html_extract, oracles, quality, simhash, suffix_lm, token_count, toxicity, url_filter, warc
 from millrace.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each passage of a document that matches a benchmark item."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.with_matches(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extracted(pages).select("page_id", "url", "text", "n_chars")
@@ -88,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_html_text": op5_html_text,
     "op6_token_counts": op6_token_counts,
     "op7_warc_fixity": op7_warc_fixity,

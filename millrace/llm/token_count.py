@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import byte_slices
+from millrace.llm.common import bounded_batches, byte_slices
 from millrace.llm.vocab import NONE, Vocabulary, vocabulary_bytes
 
 #: The published pre-token pattern of byte-level BPE (a fixed value).
@@ -130,11 +130,11 @@ def _heads(text: str) -> tuple[str, list[str]]:
     return head, rest
 
 
-def token_counts(text: Column, vocabulary: str = "byte_bpe_50k.json", session=None) -> Column:
+def token_counts(text: Column, vocabulary: str = "byte_bpe_50k.json") -> Column:
     """Column of int64 token counts of ``text``; ``vocabulary`` is a path or the name of a public file, read on the driver."""
-    from pyspark.sql import SparkSession
-
-    shared = (session or SparkSession.active()).sparkContext.broadcast(vocabulary_bytes(vocabulary))
+    session = SparkSession.active()
+    bounded_batches(session)
+    shared = session.sparkContext.broadcast(vocabulary_bytes(vocabulary))
 
     @arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -147,4 +147,4 @@ def token_counts(text: Column, vocabulary: str = "byte_bpe_50k.json", session=No
 
 def with_token_counts(df: DataFrame, text: str = "text", limit: int = 512, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """``df`` with n_bytes, n_tokens and over_limit (n_tokens > limit); columns of these names are replaced."""
-    return df.withColumns({"n_bytes": F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long"), "n_tokens": token_counts(F.col(text), vocabulary, df.sparkSession)}).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
+    return df.withColumns({"n_bytes": F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long"), "n_tokens": token_counts(F.col(text), vocabulary)}).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
