@@ -20,23 +20,25 @@ from pyspark.sql import functions as F
 
 #: Frequent function words of each language (fixed values).
 COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "was", "be", "with", "as", "by"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "est", "pour", "qui", "dans", "par"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "por", "un", "para", "con", "una"],
+    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
+    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del"],
 }
 SPACE = r"\x20\x09-\x0D"
 #: Characters that trim() takes off: those of SPACE.
 TRIMMED = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
-#: Counted classes beside white space; lower-case letters are the rest.
-CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "mark": r"[.,;:'\"()?-]", "other": rf"[^\p{{Lu}}\p{{Ll}}\p{{Nd}}{SPACE}.,;:'\"()?-]"}
+#: Counted classes beside lower-case letters, white space and the rest.
+CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "mark": r"[.,;:'\"()?-]"}
+#: Most characters of most texts; the other classes are counted in what is left without them.
+PLAIN = rf"[\p{{Ll}}{SPACE}]+"
 
 MIN_WORDS = 50
 MIN_CHARS = 200
 #: Limits of the two distances: the floor, and what 1 / sqrt(words) is multiplied by.
 CLASS_FLOOR, CLASS_SPREAD = 0.18, 1.9
-WORD_FLOOR, WORD_SPREAD = 0.24, 2.6
+WORD_FLOOR, WORD_SPREAD = 0.19, 2.12
 
 
 def _words(text: Column) -> Column:
@@ -49,29 +51,30 @@ def _language(lang: Column) -> Column:
 
 
 def _among(words: list[str]):
-    return lambda w: w.isin(*words)
+    written = [x for w in words for x in dict.fromkeys((w, w.capitalize(), w.upper()))]
+    return lambda w: w.isin(*written)
 
 
 def _histograms(df: DataFrame, text: str, lang: str) -> DataFrame:
     """``df`` with _words, _language, _classes and _common (counts as array<bigint>)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"_language": _language(F.col(lang)), "_words": _words(whole), "_lower": _words(F.lower(whole))})
+    df = df.withColumns({"_language": _language(F.col(lang)), "_words": _words(whole), "_marked": F.regexp_replace(whole, PLAIN, "")})
     listed = F.lit(None)
     known = F.lit(None)
     for name, words in COMMON.items():
         here = F.col("_language") == name
         listed = F.when(here, F.array(*map(F.lit, words))).otherwise(listed)
-        known = F.when(here, F.filter("_lower", _among(words))).otherwise(known)
+        known = F.when(here, F.transform(F.filter("_words", _among(words)), lambda w: F.lower(w))).otherwise(known)
     df = df.withColumns({"_list": listed, "_known": known})
-    counts = {k: F.regexp_count(whole, F.lit(p)).cast("long") for k, p in CLASSES.items()}
-    df = df.withColumns({"_chars": F.length(whole).cast("long"), "_space": F.regexp_count(whole, F.lit(f"[{SPACE}]")).cast("long"), **{f"_{k}": c for k, c in counts.items()}})
-    rest = F.col("_chars") - F.col("_space")
+    counts = {k: F.regexp_count(F.col("_marked"), F.lit(p)).cast("long") for k, p in CLASSES.items()}
+    df = df.withColumns({"_chars": F.length(whole).cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "_marks": F.length("_marked").cast("long"), **{f"_{k}": c for k, c in counts.items()}})
+    rest = F.col("_marks")
     for k in counts:
         rest = rest - F.col(f"_{k}")
     common = F.transform("_list", lambda k: F.size(F.filter("_known", lambda w: w == k)).cast("long"))
     return df.withColumns(
         {
-            "_classes": F.array(rest, F.col("_space"), *[F.col(f"_{k}") for k in counts]),
+            "_classes": F.array(F.col("word_chars") - F.col("_marks"), F.col("_chars") - F.col("word_chars"), *[F.col(f"_{k}") for k in counts], rest),
             "_common": F.when(F.col("_list").isNotNull(), F.concat(common, F.array((F.size("_words") - F.size("_known")).cast("long")))).otherwise(F.array(F.size("_words").cast("long"))),
         }
     )
@@ -80,11 +83,11 @@ def _histograms(df: DataFrame, text: str, lang: str) -> DataFrame:
 def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(_language, _ref_classes, _ref_common): summed counts of all documents of MIN_WORDS words or more."""
     marked = _histograms(df.select(F.col(text).alias("text"), F.col(lang).alias("lang")), "text", "lang").filter(F.size("_words") >= MIN_WORDS)
-    sums = {f"c{i}": F.sum(F.get("_classes", F.lit(i))) for i in range(len(CLASSES) + 2)}
+    sums = {f"c{i}": F.sum(F.get("_classes", F.lit(i))) for i in range(len(CLASSES) + 3)}
     longest = 1 + max(map(len, COMMON.values()))
     sums |= {f"w{i}": F.sum(F.get("_common", F.lit(i))) for i in range(longest)}
     found = marked.groupBy("_language").agg(*[c.alias(k) for k, c in sums.items()])
-    return found.select("_language", F.array(*[f"c{i}" for i in range(len(CLASSES) + 2)]).alias("_ref_classes"), F.array_compact(F.array(*[f"w{i}" for i in range(longest)])).alias("_ref_common"))
+    return found.select("_language", F.array(*[f"c{i}" for i in range(len(CLASSES) + 3)]).alias("_ref_classes"), F.array_compact(F.array(*[f"w{i}" for i in range(longest)])).alias("_ref_common"))
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -114,13 +117,12 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     names = df.columns
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = _repeated(_histograms(df, text, lang))
+    out = _repeated(_histograms(df.select(*[c for c in names if c not in made]), text, lang))
     out = out.withColumn("_lines", F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(TRIMMED)) != ""))
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.col("_chars") - F.col("_space"),
-            "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"),
+            "n_symbols": F.regexp_count(F.col("_marked"), F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     )
