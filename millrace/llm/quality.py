@@ -131,6 +131,9 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1))
     over = lambda d, floor, spread: F.coalesce(F.col(d) > F.greatest(F.lit(floor), F.lit(spread) / F.sqrt(n)), F.lit(False))
     odd = (F.col("n_words") >= MIN_WORDS) & (F.col("_chars") >= MIN_CHARS) & (over("class_distance", CLASS_FLOOR, CLASS_SPREAD) | over("word_distance", WORD_FLOOR, WORD_SPREAD))
-    out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & ~odd)
+    # always true, but not deterministic for the optimizer: a filter on the verdicts isn't pushed down, which would put the whole
+    # derivation of the words inside the functions that run for each word
+    fence = F.spark_partition_id() >= 0
+    out = out.withColumn("base_failed", ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))) & fence)
+    out = out.withColumn("kept", ~F.col("base_failed") & ~odd & fence)
     return out.select(*[F.col(f"`{c}`") for c in names if c not in made], *made)
