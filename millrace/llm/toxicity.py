@@ -34,6 +34,8 @@ from millrace.llm.common import bounded_batches, bucket_of, byte_slices
 SAMPLE = 40_000
 #: A term must stand in so many toxic documents, and in so many times more of these than of others (as shares).
 MIN_TOXIC, MIN_LIFT, MIN_PRECISION = 8, 8.0, 0.8
+#: Least share of the toxic documents that a term stands in: rarer ones are words of a few texts and their copies.
+MIN_SHARE = 0.02
 #: Terms in the lexicon at most.
 TERMS = 2000
 STEMS = (4, 5, 6, 7)
@@ -60,22 +62,29 @@ def folded(chunk: str) -> str:
 
 
 class Automaton:
-    """Levenshtein automaton of one token: a state is the row of distances from the read prefix to the token's prefixes."""
+    """Levenshtein automaton of one token, as bits: bit i of row d is set if d edits bring what was read to the token's first i characters."""
 
     def __init__(self, token: str, most: int):
-        self.token, self.most = token, most
+        self.most, self.end = most, 1 << len(token)
+        self.inside = 2 * self.end - 1
+        self.places: dict[str, int] = {}
+        for i, char in enumerate(token):
+            self.places[char] = self.places.get(char, 0) | 1 << i
 
     def start(self) -> tuple[int, ...]:
-        return tuple(range(len(self.token) + 1))
+        return tuple((2 << d) - 1 & self.inside for d in range(self.most + 1))
 
     def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
-        row = [state[0] + 1]
-        for i, c in enumerate(self.token):
-            row.append(min(state[i] + (c != char), state[i + 1] + 1, row[i] + 1))
-        return tuple(row)
+        places = self.places.get(char, 0)
+        low = (state[0] & places) << 1
+        rows = [low]
+        for d in range(1, self.most + 1):
+            low = ((state[d] & places) << 1 | state[d - 1] | state[d - 1] << 1 | low << 1) & self.inside
+            rows.append(low)
+        return tuple(rows)
 
-    def may_match(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.most
+    def accepts(self, state: tuple[int, ...]) -> bool:
+        return bool(state[-1] & self.end)
 
 
 @dataclass
@@ -89,25 +98,30 @@ class Lexicon:
     """Words ("w:...") and stems ("s:...") in a trie, with their log odds. Misspellings are looked for among words only."""
 
     def __init__(self, terms: Iterable[tuple[str, float]]):
-        self.root = Node()
+        self.root, self.near_root = Node(), Node()
         self.heads: set[str] = set()
         self.tails: set[str] = set()
         for term, weight in terms:
             kind, text = term[0], term[2:]
-            node = self.root
-            for char in text:
-                node = node.children.setdefault(char, Node())
+            node = self._put(self.root, text)
             if kind == "s":
                 node.stem = weight
                 continue
             node.word = weight
             if len(text) >= 5:
+                self._put(self.near_root, text).word = weight
                 # of two halves, one is untouched by a single edit
                 self.heads.add(text[: len(text) // 2])
                 self.tails.add(text[len(text) // 2 :])
         self.head_sizes = sorted({len(x) for x in self.heads})
         self.tail_sizes = sorted({len(x) for x in self.tails})
 
+    @staticmethod
+    def _put(node: Node, text: str) -> Node:
+        for char in text:
+            node = node.children.setdefault(char, Node())
+        return node
+
     @staticmethod
     def allowed(token: str) -> int:
         return 1 if len(token) >= 5 else 0
@@ -133,15 +147,15 @@ class Lexicon:
     def _near(self, token: str, most: int) -> float:
         """Weight of the best word of five letters or more within ``most`` edits."""
         auto, best = Automaton(token, most), 0.0
-        stack = [(self.root, auto.start(), 0)]
+        stack = [(self.near_root, auto.start())]
         while stack:
-            node, state, depth = stack.pop()
-            if node.word and depth >= 5 and state[-1] <= most:
+            node, state = stack.pop()
+            if node.word and auto.accepts(state):
                 best = max(best, node.word)
             for char, child in node.children.items():
                 after = auto.step(state, char)
-                if auto.may_match(after):
-                    stack.append((child, after, depth + 1))
+                if after[-1]:
+                    stack.append((child, after))
         return best
 
 
@@ -252,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_i
     good, bad = sizes.get(0, 0), sizes.get(1, 0)
     if not good or not bad:
         return Model((), (0.0 if not good and bad else -4.0, *[0.0] * FEATURES))
-    frequent = _term_counts(rows.filter("toxic = 1"), None).filter(F.col("n") >= min(MIN_TOXIC, max(2, bad // 20)))
+    frequent = _term_counts(rows.filter("toxic = 1"), None).filter(F.col("n") >= max(min(MIN_TOXIC, max(2, bad // 20)), MIN_SHARE * bad))
     toxic_in = {r["term"]: r["n"] for r in frequent.collect()}  # bounded by the sample
     other = {r["term"]: r["n"] for r in _term_counts(rows.filter("toxic = 0"), frozenset(toxic_in)).collect()}
     terms = _chosen(toxic_in, other, bad, good)
