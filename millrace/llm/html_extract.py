@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import bounded_batches, byte_slices
+from millrace.llm.common import bounded_batches, byte_slices, checkpointed
 from millrace.llm.url_filter import host_of
 
 #: HTML's elements by their part in a page.
@@ -43,6 +43,8 @@ ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "bre
 MAIN_NAMES = {"main"}
 #: A wrapper's forms are merged in so many groups before the last merge.
 SALTS = 16
+#: Wrappers of so many bytes in all are broadcast.
+BROADCAST_BYTES = 16 << 20
 RESULT = ["text", "n_chars"]
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)|([^<]+|<)", re.S)
@@ -367,6 +369,9 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
     names = [c for c in pages.columns if c not in RESULT]
     hosted = pages.withColumn("_host", F.coalesce(host_of(F.col(url)), F.lit("")))
-    found = hosted.join(wrappers(pages, url, html).withColumnRenamed("host", "_host"), "_host", "left")
+    known = checkpointed(wrappers(pages, url, html).withColumnRenamed("host", "_host"))
+    size = known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("_host"))).first()[0] or 0
+    # beyond the bound the pages meet their wrappers in a shuffle, whose hot hosts are split at run time
+    found = hosted.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "_host", "left")
     made = found.select(*[F.col(f"`{c}`") for c in names], text_of(F.col(f"`{html}`"), F.col("wrapper")).alias("text"))
     return made.withColumn("n_chars", F.length("text").cast("long"))
