@@ -9,7 +9,7 @@ from tests.conftest import SMALL
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "~"
         return repr(round(float(v), 6)) if isinstance(v, float) else str(v)
 
