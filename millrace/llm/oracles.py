@@ -2,8 +2,47 @@
 
 from __future__ import annotations
 
+from millrace.llm import quality
 from millrace.llm.url_filter import HOST
 
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _written(words: list[str]) -> list[str]:
+    return [x for w in words for x in dict.fromkeys((w, w.capitalize(), w.upper()))]
+
+
+def _distance(counts: str, reference: str) -> str:
+    """Jensen-Shannon distance of two lists of counts."""
+    p, q = f"({counts}[i] / list_sum({counts})::DOUBLE)", f"({reference}[i] / list_sum({reference})::DOUBLE)"
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(0.0, list_sum(list_transform(range(1, len({counts}) + 1), lambda i: {part(p)} + {part(q)})) / 2))"
+
+
+_CASE = lambda make: "CASE l " + " ".join(f"WHEN '{k}' THEN {_list(make(w))}" for k, w in quality.COMMON.items()) + " END"
+_LONGEST = 1 + max(map(len, quality.COMMON.values()))
+
+#: Histograms, references and distances as the operator has them; repeated windows by position.
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(f"'{k}'" for k in quality.COMMON)}) THEN lang ELSE 'other' END AS l FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, regexp_replace(t, '{quality.PLAIN}', '', 'g') AS mk, {_CASE(list)} AS lst, {_CASE(_written)} AS written FROM d),
+k AS (SELECT *, len(ws) AS n, length(array_to_string(ws, '')) AS wc, length(t) AS chars, length(mk) AS marks, len(regexp_extract_all(mk, '\p{{Lu}}')) AS up, len(regexp_extract_all(mk, '\p{{Nd}}')) AS dg,
+    len(regexp_extract_all(mk, '[.,;:''\"()?-]')) AS pu, list_transform(list_filter(ws, lambda x: list_contains(written, x)), lambda x: lower(x)) AS known,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+f AS (SELECT *, [wc - marks, chars - wc, up, dg, pu, marks - up - dg - pu] AS classes,
+    CASE WHEN lst IS NOT NULL THEN list_concat(list_transform(lst, lambda y: len(list_filter(known, lambda x: x = y))), [n - len(known)]) ELSE [n] END AS common FROM k),
+refs AS (SELECT l, [{", ".join(f"sum(classes[{i}])" for i in range(1, 7))}] AS rc, list_filter([{", ".join(f"sum(common[{i}])" for i in range(1, _LONGEST + 1))}], lambda x: x IS NOT NULL) AS rw FROM f WHERE n >= {quality.MIN_WORDS} GROUP BY l),
+win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS c FROM (SELECT rid, ws, unnest(range(1, n - 1)) AS i FROM f WHERE n >= 3)),
+rep AS (SELECT rid, count(DISTINCT i + o) AS n_repeat FROM win, range(0, 3) x(o) WHERE c > 1 GROUP BY rid),
+j AS (SELECT f.*, coalesce(n_repeat, 0) AS n_repeat, {_distance("classes", "rc")} AS cd, {_distance("common", "rw")} AS wd FROM f LEFT JOIN refs USING (l) LEFT JOIN rep USING (rid))
+SELECT doc_id, n::BIGINT AS n_words, wc::BIGINT AS word_chars, len(regexp_extract_all(mk, '{quality.SYMBOLS}'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
+  n < 50 OR 100 * n_repeat > 50 * n AS base_failed,
+  NOT (n < 50 OR 100 * n_repeat > 50 * n) AND NOT (n >= {quality.MIN_WORDS} AND chars >= {quality.MIN_CHARS} AND (coalesce(cd > greatest({quality.CLASS_FLOOR}, {quality.CLASS_SPREAD} / sqrt(n)), false) OR coalesce(wd > greatest({quality.WORD_FLOOR}, {quality.WORD_SPREAD} / sqrt(n)), false))) AS kept
+FROM j
+"""
+
 #: Damage located by comparing all leaves; roots by joining digests level by level.
 OP7 = """
 WITH r AS (
@@ -51,4 +90,4 @@ SELECT page_id, host, ts AS fetched_s, coalesce(n, 0) AS n_active, coalesce(acti
 FROM cap LEFT JOIN hits ON cap.rid = hits.rid AND rank = 1
 """
 
-ORACLES = {"op7_warc_fixity": OP7, "op9_url_filter": OP9}
+ORACLES = {"op2_quality": OP2, "op7_warc_fixity": OP7, "op9_url_filter": OP9}

@@ -64,11 +64,12 @@ def test_html_query(spark):
         assert r["text"] == "\n".join(x for x in blocks if x) and r["n_chars"] == len(r["text"])
 
 
-@pytest.mark.parametrize("name", ["op7_warc_fixity", "op9_url_filter"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.01").toPandas()
     con = duckdb.connect()
-    con.execute("CREATE VIEW pages AS SELECT * FROM read_parquet('/root/testdata/sf0.01/pages.parquet')")
+    for table in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{table}.parquet')")
     assert plain(got) == plain(con.execute(ORACLES[name]).df()) and len(got)
 
 
