@@ -103,9 +103,18 @@ def classified(sentence: Column) -> Column:
     found = F.array_compact(
         F.array(*[F.when(sentence.rlike(f"(?i){p}"), F.struct(F.lit(k).alias("priority"), F.lit(-c).alias("less"), F.lit(i).alias("place"), F.lit(t).alias("trigger"), F.regexp_instr(sentence, F.lit(f"(?i){p}")).alias("at"))) for i, (t, p, c, k) in enumerate(TRIGGERS)])
     )
-    best = F.array_min(found)
-    confidence = F.round(adjusted(-best["less"], sentence, best["at"]), 3)
-    return F.when((F.size(found) > 0) & (confidence > 0), F.struct(best["trigger"].alias("trigger"), confidence.alias("confidence"), best["priority"].alias("priority")))
+    # the best candidate is bound to a variable of a function, so that its search runs once however often it is named
+    def verdict(best: Column) -> Column:
+        confidence = F.round(adjusted(-best["less"], sentence, best["at"]), 3)
+        return F.struct(best["trigger"].alias("trigger"), confidence.alias("confidence"), best["priority"].alias("priority"))
+
+    bound = F.transform(F.filter(F.array(F.array_min(found)), lambda x: x.isNotNull()), verdict)
+    return F.get(F.filter(bound, lambda x: x["confidence"] > 0), F.lit(0))
+
+
+def with_class(df: DataFrame, sentence: str, name: str = "_c") -> DataFrame:
+    """Rows whose sentence has a class, with it; the class is derived once for both."""
+    return df.select("*", F.explode(F.array_compact(F.array(classified(F.col(sentence))))).alias(name))
 
 
 def section_of(header: Column) -> Column:
@@ -137,7 +146,7 @@ def by_section(docs: DataFrame, md: str = "text", key: str = "doc_id", least: fl
     rows = section_lines(docs, md, key).withColumn("label", section_of(F.col("section")))
     if targets_only:
         rows = rows.filter(F.col("label").isin(*[n for n, _, _, t in SECTIONS if t]))
-    said = rows.select(key, "label", "line_no", F.posexplode(text.sentences(F.regexp_replace("line", text.BULLET, ""))).alias("n", "requirement")).withColumn("_c", classified(F.col("requirement"))).filter("_c IS NOT NULL")
+    said = with_class(rows.select(key, "label", "line_no", F.posexplode(text.sentences(F.regexp_replace("line", text.BULLET, ""))).alias("n", "requirement")), "requirement")
     said = said.select(key, "line_no", "n", "requirement", F.col("_c.trigger").alias("trigger"), F.col("_c.confidence").alias("base_confidence"), section_boost(F.col("label")).alias("section_boost"), F.coalesce("label", F.lit("NONE")).alias("section"))
     said = said.withColumn("final_confidence", F.round(scalars.clamp(F.col("base_confidence") + F.col("section_boost")), 3)).filter(F.col("final_confidence") >= least)
     once = said.withColumn("_same", F.row_number().over(Window.partitionBy(key, F.lower(F.btrim("requirement"))).orderBy(F.desc("final_confidence"), "line_no", "n"))).filter("_same = 1")
@@ -146,6 +155,9 @@ def by_section(docs: DataFrame, md: str = "text", key: str = "doc_id", least: fl
 
 
 _PATTERNS = [(t, re.compile(p, re.I), c) for t, p, c in PHRASES]
+#: A word of which each phrase must have one.
+_BEGIN = [("required",), ("must",), ("essential",), ("ability",), ("experience", "background"), ("proficiency",), ("knowledge",), ("understanding",), ("should",), ("prefer",), ("bachelor", "master", "phd"), ("year",), ("nice",), ("ideal",), ("bonus",)]
+_STARTS = sorted({w for ws in _BEGIN for w in ws})
 _TOKEN = re.compile(r"\w+(?:[-'.+#]\w+)*[+#]*|[^\w\s]")
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
 _SPAN = "text string, trigger_word string, confidence double, start int, end int, expanded_start int, expanded_end int, span_text string, span_type string, conjunct_count int"
@@ -153,11 +165,14 @@ _SPAN = "text string, trigger_word string, confidence double, start int, end int
 
 def phrase_spans(body: str) -> list[dict]:
     """Requirement phrases of a text with their token-aligned spans; the best of equal texts."""
+    low = body.lower()
+    if not any(word in low for word in _STARTS):
+        return []
     bounds = [m.span() for m in _SENTENCE.finditer(body) if m.group()]
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(body)]
     best: dict[str, tuple] = {}
-    for trigger, pattern, base in _PATTERNS:
-        for m in pattern.finditer(body):
+    for (trigger, pattern, base), starts in zip(_PATTERNS, _BEGIN, strict=True):
+        for m in () if not any(word in low for word in starts) else pattern.finditer(body):
             found = m.group(1).strip()
             start, end = m.start(1), m.start(1) + len(m.group(1).rstrip())
             a, b = next(((x, y) for x, y in bounds if x <= start < y), (0, len(body)))

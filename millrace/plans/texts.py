@@ -50,8 +50,7 @@ SAID = (
     views=False,
 )
 def _(v):
-    found = said(v).withColumn("c", requirements.classified(F.col("sentence"))).filter("c IS NOT NULL")
-    return found.select("id", "part", "kind", "c.trigger", "c.confidence")
+    return requirements.with_class(said(v), "sentence", "c").select("id", "part", "kind", "c.trigger", "c.confidence")
 
 
 @query("requirement_spans")
