@@ -113,7 +113,7 @@ def classified(sentence: Column) -> Column:
 
 
 def with_class(df: DataFrame, sentence: str, name: str = "_c") -> DataFrame:
-    """Rows whose sentence has a class, with it; the class is derived once for both."""
+    """Rows whose sentence has a class, with it: derived once for both."""
     return df.select("*", F.explode(F.array_compact(F.array(classified(F.col(sentence))))).alias(name))
 
 
