@@ -41,8 +41,9 @@ GAIN, GAIN_EACH = 4.0, 0.5
 #: The end of a text, as a token; words hold no space.
 END = b" "
 #: Words that a task counts, tokens it looks for runs in, and links it gathers, before it passes them on.
-FLUSH_WORDS, FLUSH_TOKENS, FLUSH_LINKS = 400_000, 4_000_000, 1_000_000
-CACHE = 300_000
+FLUSH_WORDS, FLUSH_TOKENS, FLUSH_LINKS = 300_000, 3_000_000, 2_000_000
+#: Words that a task numbers before it passes its links on and starts anew.
+CACHE = 400_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -279,22 +280,23 @@ def learn(texts: DataFrame, heavy: dict[bytes, int], total: int, discount: float
 
 
 class Scorer:
-    """Sums over documents; keeps the number it has given to each word."""
+    """Sums over documents; keeps the number it has given to each word until it is cleared."""
 
     def __init__(self, tree: Tree, heavy: dict[bytes, int], cache: int = CACHE):
         self.tree, self.cache = tree.open(), cache
         self.heavy = {w: i for i, w in enumerate(heavy)}
         self.log_count = np.r_[np.log10(np.array(list(heavy.values()), float) + 0.5), 0.0]
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def full(self) -> bool:
+        return len(self.words) > self.cache + len(self.heavy)
+
+    def clear(self) -> None:
         self.index: dict[bytes, int] = dict(self.heavy)
         self.words: list[bytes] = list(self.heavy)
 
     def documents(self, texts: list[bytes]):
         """(tokens, heavy tokens, base sum, score) of each text over heavy words, and (text, word, n) of the others."""
-        if len(self.words) > self.cache + len(self.heavy):
-            self._clear()
         lists = [tokens(t) for t in texts]
         new = list(set().union(*lists).difference(self.index))
         self.index.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
@@ -318,6 +320,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 _MADE = "uid long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, docs array<long>, ns array<int>"
+_NAMES = [x.split(" ")[0] for x in _MADE.split(", ")] + ["doc_id"]
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,35 +334,30 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     heavy = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= max(1.0, HEAVY * total)).orderBy("word").toLocalIterator()}
     tree = learn(rows.filter(~F.col("held_out")).select("text"), heavy, total, discount)
     shared = spark.sparkContext.broadcast((tree, heavy))
-    schema = pa.schema([("uid", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("docs", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("doc_id", pa.int64())])
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, heavy = shared.value
         scorer = Scorer(tree, heavy)
         uid = TaskContext.get().partitionId() << 33
-        held: dict[bytes, list] = {}
-        links = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            at = 0
+            at, id_kind = 0, batch.column(2).type
             for part in byte_slices(batch.column(0)):
                 lengths, known, base, total_score, (doc, word, n) = scorer.documents(part)
                 m = len(part)
                 mine = batch.slice(at, m)
                 fields = [pa.array(np.arange(uid, uid + m)), mine.column(1), pa.array(lengths), pa.array(known), pa.array(base), pa.array(total_score), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int32())), mine.column(2)]
-                yield pa.RecordBatch.from_arrays(fields, names=schema.names)
-                edges = np.flatnonzero(np.r_[True, word[1:] != word[:-1], True]) if len(word) else np.zeros(1, np.int64)
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    held.setdefault(scorer.words[word[a]], []).append((uid + doc[a:b], n[a:b]))
-                links += len(word)
+                yield pa.RecordBatch.from_arrays(fields, names=_NAMES)
+                held.append((word.astype(np.int32), uid + doc, n.astype(np.int32)))
                 at += m
                 uid += m
-                if links >= FLUSH_LINKS:
-                    yield from _links(held, schema.names, mine.column(2).type)
-                    held, links = {}, 0
-            kind = batch.column(2).type
+                if scorer.full() or sum(len(x[0]) for x in held) >= FLUSH_LINKS:
+                    yield from _links(held, scorer.words, id_kind)
+                    held = []
+                    scorer.clear()
         if held:
-            yield from _links(held, schema.names, kind)
+            yield from _links(held, scorer.words, id_kind)
 
     made = stored(rows.mapInArrow(score, f"{_MADE}, doc_id {id_type}"))
     rare = made.filter(F.col("word").isNotNull()).select("word", "docs", "ns")
@@ -381,14 +379,17 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     )
 
 
-def _links(held: dict[bytes, list], names: list[str], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _links(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: list[bytes], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows (word, docs, ns): the documents that hold each word that isn't heavy."""
-    words = list(held)
-    for at in range(0, len(words), 20_000):
-        some = words[at : at + 20_000]
-        docs = [np.concatenate([d for d, _ in held[w]]) for w in some]
-        ends = pa.array(np.r_[0, np.cumsum([len(d) for d in docs])], pa.int32())
-        ns = np.concatenate([n for w in some for _, n in held[w]]).astype(np.int32)
-        m = len(some)
+    word, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(word, kind="stable")
+    word, doc, n = word[order], doc[order], n[order]
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(word)]
+    for at in range(0, len(starts), 20_000):
+        a, b = starts[at : at + 20_000], ends[at : at + 20_000]
+        offsets = pa.array(np.r_[a, b[-1]] - a[0], pa.int32())
+        m = len(a)
         nulls = [pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array(some, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(docs))), pa.ListArray.from_arrays(ends, pa.array(ns)), pa.nulls(m, id_type)], names=names)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[a[0] : b[-1]])) for x in (doc, n)]
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array([words[w] for w in word[a].tolist()], pa.binary()), *lists, pa.nulls(m, id_type)], names=_NAMES)
