@@ -35,3 +35,32 @@ def token_counts(chunks: Column) -> Column:
 
 def total_tokens(chunks: Column) -> Column:
     return F.aggregate(token_counts(chunks), F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def budgeted(body: Column, target_tokens: int = 400) -> Column:
+    """Chunks of a text cut at . ! and ?, each of at most so many estimated tokens; the marks themselves go."""
+    parts = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"[.!?]+"), lambda x: F.btrim(x)), lambda x: x != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, s: Column) -> Column:
+        joined = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(". "), s))
+        full = (acc["open"] != "") & (scalars.word_tokens(joined) > target_tokens)
+        return F.struct(F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"), F.when(full, s).otherwise(joined).alias("open"))
+
+    return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+
+
+def guarded(sentences: Column, spans: Column, target_words: int = 100) -> Column:
+    """As ``chunked``, but a chunk waits to end, up to twice its size, while it holds the first word of a span and not the whole."""
+    count = lambda x: F.size(scalars.words(x))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+
+    def split(open_text: Column) -> Column:
+        return F.exists(spans, lambda x: open_text.contains(F.substring_index(x, " ", 1)) & ~open_text.contains(x))
+
+    def step(acc: Column, s: Column) -> Column:
+        over = (acc["n"] > 0) & (acc["n"] + count(s) > target_words)
+        full = over & (~split(acc["open"]) | (acc["n"] >= 2 * target_words))
+        return F.struct(F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"), F.when(full | (acc["n"] == 0), s).otherwise(F.concat(acc["open"], F.lit(" "), s)).alias("open"), F.when(full, count(s)).otherwise(acc["n"] + count(s)).alias("n"))
+
+    return F.aggregate(sentences, start, step, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))

@@ -127,3 +127,21 @@ def keyword(df: DataFrame, query: str, low: float = 0, high: float = 100, compan
     if company is not None:
         out = out.filter(F.col("company") == company)
     return out.orderBy(F.desc("overall_score"), "job_id").limit(limit)
+
+
+def search_or_like(df: DataFrame, query: str, key: str = "job_id", columns: tuple[str, ...] = ("title", "company", "summary", "recommendations")) -> DataFrame:
+    """As ``search``, with a plain substring of any column where the query is malformed."""
+    if parsed(query) is not None or not query.strip():
+        return search(df, query, key, columns)
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.lower(c).contains(query.strip().lower()), F.lit(False))
+    return df.filter(found)
+
+
+def stemmed(word: Column) -> Column:
+    """A word without common English endings: plurals, -ed, -ing, -ly, -ness, -ment, -ation."""
+    out = F.lower(word)
+    for pattern, by in [(r"sses$", "ss"), (r"ies$", "i"), (r"(?<=[^su])s$", ""), (r"(?<=[aeiouy].{1,20})(?:ed|ing)$", ""), (r"(?<=.{3})(?:ly|ness|ment)$", ""), (r"(?<=.{3})ation$", "ate"), (r"([^aeioulsz])\1$", "$1")]:
+        out = F.regexp_replace(out, pattern, by)
+    return out

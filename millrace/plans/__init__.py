@@ -1,6 +1,6 @@
 """Named queries over the test tables, with their SQL."""
 
-from millrace.plans import relational, texts
+from millrace.plans import relational, rules, texts
 from millrace.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "texts"]
+__all__ = ["ORACLES", "QUERIES", "relational", "rules", "texts"]

@@ -118,3 +118,29 @@ def test_dates(spark):
     got = value(spark, lambda x: scalars.minute(x), "2024-01-02T03:04:05Z", "not a moment at all", None)
     assert got == ["2024-01-02 03:04", "not a moment at ", "not processed"]
     assert re.fullmatch("█{10}░{10}", value(spark, lambda x: scalars.bar(F.lit(50)), "r")[0])
+
+
+def test_budgeted_and_guarded_chunks(spark):
+    assert value(spark, lambda x: chunking.budgeted(x, 4), "a b. c! d e f g h. i", None) == [["a b. c", "d e f g h", "i"], []]
+    rows = (["a b c", "d e", "f g"], ["b c d"])
+    df = spark.createDataFrame([rows], "s array<string>, p array<string>")
+    assert df.select(chunking.guarded(F.col("s"), F.col("p"), 3).alias("c")).first()["c"] == ["a b c d e", "f g"]
+
+
+def test_registry(spark):
+    from millrace.functions import registry
+
+    df = spark.createDataFrame([("**A**  b\n\n\n\nc",)], "x string")
+    assert registry.applied(df, "x", ["emphasis", "space"], "y").first()["y"] == "A b\n\nc"
+    with pytest.raises(ValueError):
+        registry.applied(df, "x", ["nope"])
+    with pytest.raises(ValueError):
+        registry.register("plain", lambda c: c)
+    registry.register_sql(spark)
+    assert registry.execute(spark, "SELECT html_to_markdown(:h) AS m, text_likeness('a', 'A') AS l", h="<b>x</b>").first() == ("**x**", 1.0)
+
+
+def test_search_or_like(spark):
+    df = spark.createDataFrame([("1", 'a "quoted'), ("2", "b")], "job_id string, title string")
+    assert [r[0] for r in search.search_or_like(df, '"quoted', columns=("title",)).select("job_id").collect()] == ["1"]
+    assert value(spark, search.stemmed, "Running", "classes", "flies", "quickly", "us") == ["run", "class", "fli", "quick", "us"]
