@@ -8,14 +8,11 @@ that repeat a document, id and text, are one after near_dedup.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, quality, simhash, toxicity
-from millrace.llm.common import read
+from millrace.llm.common import read, scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,11 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written in the shared folder before the next reads it."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="millrace-")
-    folder = f"{top}/pipeline-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    folder = scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")

@@ -40,24 +40,37 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, the context's own, or in local mode a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="millrace-")
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in ``spark.checkpoint.dir``; the folder is set here only where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    """``df`` with its lineage cut in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table written in the shared folder, compressed; it goes when the session's JVM ends."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="millrace-")
-    path = f"{top}/tables-{uuid.uuid4().hex}"
+    """``df`` as a table written in the shared folder, compressed."""
+    path = scratch(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
