@@ -31,7 +31,7 @@ from millrace.llm.vocab import NONE, Vocabulary, vocabulary_bytes
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WIDE = 64
 #: Distinct pieces whose ids a worker keeps; beyond it starts anew.
-CACHE = 200_000
+CACHE = 100_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: White space as Unicode defines it (a fixed value), for a class.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes at a time out of an Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch between the JVM and a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def byte_slices(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[bytes]]:

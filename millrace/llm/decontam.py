@@ -40,7 +40,7 @@ READ = 2
 #: Longest runs of words that windows are sifted by.
 GRAMS = 4
 BLOCK_BYTES = 16 << 20
-CACHE = 500_000
+CACHE = 200_000
 #: Stands for a word that no item has, and for what is past a sequence's end.
 FOREIGN, PAST = -1, -2
 

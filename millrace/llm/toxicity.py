@@ -162,7 +162,7 @@ class Lexicon:
 class Scorer:
     """Features of texts under a lexicon; keeps the kind of each chunk it has met."""
 
-    def __init__(self, terms: Iterable[tuple[str, float]], cache: int = 500_000):
+    def __init__(self, terms: Iterable[tuple[str, float]], cache: int = 200_000):
         self.lexicon = Lexicon(terms)
         self.cache = cache
         self.seen: set[str] = set()
