@@ -49,23 +49,25 @@ def _bucket(at: Column) -> Column:
 def matched(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """``captures`` with host, n_active (entries in force), blocked, matched_key, matched_list, active_since."""
     names = [c for c in captures.columns if c not in RESULT]
-    rows = captures.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in names]).withColumn("host", host_of(F.col(url)))
-    keyed = rows.select("_row", F.col(f"`{fetched}`").alias("_at"), _bucket(F.col(f"`{fetched}`")).alias("_bucket"), F.explode(suffixes(F.col("host"))).alias("_key"))
+    # a row's number is made once and grouped by once, so it need not come out the same twice
+    rows = captures.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_own"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{fetched}`").alias("_at"))
+    keyed = rows.select("*", _bucket(F.col("_at")).alias("_bucket"), F.explode_outer(suffixes(F.col("host"))).alias("_key"))
     last = captures.agg(F.max(_bucket(F.col(f"`{fetched}`"))).alias("_last"))
     spans = intervals(entries).crossJoin(F.broadcast(last))  # one row
     spans = spans.withColumn("_until", F.least(F.coalesce(_bucket(F.col("until")), F.col("_last")), F.col("_last")))
-    spans = spans.filter(_bucket(F.col("since")) <= F.col("_until")).withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("since")), F.col("_until"))))
-    spans = spans.select(F.col("key").alias("_key"), "_bucket", "list", "action", "since", "until")
-    hits = keyed.join(spans, ["_key", "_bucket"]).filter((F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
-    best = F.max_by(F.struct(F.col("_key").alias("key"), "list", "action", "since"), F.struct(F.length("_key"), F.col("since"), F.col("list")))
-    found = hits.groupBy("_row").agg(F.count("*").alias("n_active"), best.alias("_best"))
-    out = rows.join(found, "_row", "left")
+    spans = spans.filter(_bucket(F.col("since")) <= F.col("_until")).withColumn("_in", F.explode(F.sequence(_bucket(F.col("since")), F.col("_until"))))
+    spans = spans.select(F.col("key").alias("_listed"), "_in", "list", "action", "since", "until")
+    active = (F.col("_key") == F.col("_listed")) & (F.col("_bucket") == F.col("_in")) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until")))
+    hits = keyed.join(spans, active, "left")
+    best = F.max_by(F.struct(F.col("_key").alias("key"), "list", "action", "since"), F.when(F.col("list").isNotNull(), F.struct(F.length("_key"), F.col("since"), F.col("list"))))
+    out = hits.groupBy("_row").agg(F.first("_own").alias("_own"), F.first("host").alias("host"), F.count("list").alias("n_active"), best.alias("_best"))
+    found = F.col("n_active") > 0
     return out.select(
-        *[F.col(f"`{c}`") for c in names],
+        *[F.col(f"_own.`{c}`") for c in names],
         "host",
-        F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"),
-        F.coalesce(F.col("_best.action") == "block", F.lit(False)).alias("blocked"),
-        F.col("_best.key").alias("matched_key"),
-        F.col("_best.list").alias("matched_list"),
-        F.col("_best.since").alias("active_since"),
+        "n_active",
+        (found & F.coalesce(F.col("_best.action") == "block", F.lit(False))).alias("blocked"),
+        F.when(found, F.col("_best.key")).alias("matched_key"),
+        F.when(found, F.col("_best.list")).alias("matched_list"),
+        F.when(found, F.col("_best.since")).alias("active_since"),
     )
