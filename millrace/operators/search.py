@@ -113,12 +113,39 @@ def matching(postings: DataFrame, key: str, tree: Node) -> DataFrame:
     return found[0].join(found[1], key, "left_semi" if tree.kind == "and" else "left_anti")
 
 
-def search(df: DataFrame, query: str, key: str = "job_id", columns: tuple[str, ...] = ("title", "company", "summary", "recommendations")) -> DataFrame:
-    """Rows that a query finds."""
+def condition(tree: Node, fields: list[Column]) -> Column:
+    """Whether a query's tree holds for a row, from the token arrays of its fields."""
+    either = lambda test: F.coalesce(F.array_max(F.array(*[test(f) for f in fields])), F.lit(False))
+    if tree.kind == "term":
+        return either(lambda f: F.array_contains(f, tree.parts[0]))
+    if tree.kind == "prefix":
+        return either(lambda f: F.exists(f, lambda w: w.startswith(tree.parts[0])))
+    if tree.kind == "phrase":
+        return either(lambda f: F.concat(F.lit(" "), F.array_join(f, " "), F.lit(" ")).contains(f" {' '.join(tree.parts)} "))
+    found = [condition(p, fields) for p in tree.parts]
+    if tree.kind == "or":
+        out = found[0]
+        for f in found[1:]:
+            out = out | f
+        return out
+    return found[0] & found[1] if tree.kind == "and" else found[0] & ~found[1]
+
+
+def search(df: DataFrame, query: str, columns: tuple[str, ...] = ("title", "company", "summary", "recommendations")) -> DataFrame:
+    """Rows that a query finds, each judged by itself in one scan; ``indexed`` is the way with a stored index."""
     tree = parsed(query)
     if tree is None:
         return df.limit(0)
-    return df.join(matching(index(df, key, list(columns)), key, tree), key, "left_semi")
+    # the arrays are bound to the argument of a function, so that a text is cut into tokens once
+    fields = F.struct(*[tokens(F.col(c)).alias(f"f{i}") for i, c in enumerate(columns)])
+    hit = F.transform(F.array(fields), lambda x: condition(tree, [x[f"f{i}"] for i in range(len(columns))]))
+    return df.filter(F.get(hit, F.lit(0)))
+
+
+def indexed(df: DataFrame, postings: DataFrame, query: str, key: str = "job_id") -> DataFrame:
+    """Rows that a query finds through an index of postings."""
+    tree = parsed(query)
+    return df.limit(0) if tree is None else df.join(matching(postings, key, tree), key, "left_semi")
 
 
 def keyword(df: DataFrame, query: str, low: float = 0, high: float = 100, company: str | None = None, limit: int = 20) -> DataFrame:
@@ -129,10 +156,10 @@ def keyword(df: DataFrame, query: str, low: float = 0, high: float = 100, compan
     return out.orderBy(F.desc("overall_score"), "job_id").limit(limit)
 
 
-def search_or_like(df: DataFrame, query: str, key: str = "job_id", columns: tuple[str, ...] = ("title", "company", "summary", "recommendations")) -> DataFrame:
+def search_or_like(df: DataFrame, query: str, columns: tuple[str, ...] = ("title", "company", "summary", "recommendations")) -> DataFrame:
     """As ``search``, with a plain substring of any column where the query is malformed."""
     if parsed(query) is not None or not query.strip():
-        return search(df, query, key, columns)
+        return search(df, query, columns)
     found = F.lit(False)
     for c in columns:
         found = found | F.coalesce(F.lower(c).contains(query.strip().lower()), F.lit(False))

@@ -236,22 +236,28 @@ FTS = r"""SELECT doc_id, regexp_extract_all(translate(lower(text), 'àáâãäå
 
 @query("fts_and", f"SELECT doc_id FROM ({FTS}) WHERE list_contains(w, 'the') AND list_contains(w, 'that')", views=False)
 def _(v):
-    return search.search(v.table("documents"), "the That", "doc_id", ("text",)).select("doc_id")
+    return search.search(v.table("documents"), "the That", ("text",)).select("doc_id")
 
 
 @query("fts_boolean", f"SELECT doc_id FROM ({FTS}) WHERE (list_contains(w, 'der') OR list_contains(w, 'les')) AND NOT list_contains(w, 'und')", views=False)
 def _(v):
-    return search.search(v.table("documents"), "(der OR les) NOT und", "doc_id", ("text",)).select("doc_id")
+    return search.search(v.table("documents"), "(der OR les) NOT und", ("text",)).select("doc_id")
 
 
 @query("fts_phrase", f"SELECT doc_id FROM ({FTS}) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')", views=False)
 def _(v):
-    return search.search(v.table("documents"), '"of the"', "doc_id", ("text",)).select("doc_id")
+    return search.search(v.table("documents"), '"of the"', ("text",)).select("doc_id")
 
 
 @query("fts_prefix", f"SELECT doc_id FROM ({FTS}) WHERE len(list_filter(w, lambda x: starts_with(x, 'tionth'))) > 0", views=False)
 def _(v):
-    return search.search(v.table("documents"), "tionth*", "doc_id", ("text",)).select("doc_id")
+    return search.search(v.table("documents"), "tionth*", ("text",)).select("doc_id")
+
+
+@query("fts_indexed", f"SELECT doc_id FROM ({FTS}) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT list_contains(w, 'was')", views=False)
+def _(v):
+    docs = v.table("documents").select("doc_id", "text")
+    return search.indexed(docs, search.index(docs, "doc_id", ["text"]), '"of the" NOT was', "doc_id").select("doc_id")
 
 
 @query("keyword_search", "SELECT job_id, overall_score FROM assessments WHERE regexp_matches(lower(title || ' ' || company || ' ' || summary || ' ' || recommendations), '\\burgent\\b') AND regexp_matches(lower(title || ' ' || company || ' ' || summary || ' ' || recommendations), '\\bmachinery\\b') AND overall_score BETWEEN 40 AND 90 ORDER BY overall_score DESC, job_id LIMIT 20")

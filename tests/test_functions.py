@@ -96,6 +96,7 @@ def test_lexicons(spark):
 def test_search(spark, query, found):
     df = spark.createDataFrame([("1", "a b c"), ("2", "a c b2 x".replace("b2 ", "")), ("3", "bb café")], "job_id string, title string")
     assert sorted(r[0] for r in search.search(df, query, columns=("title",)).select("job_id").collect()) == found
+    assert sorted(r[0] for r in search.indexed(df, search.index(df, "job_id", ["title"]), query).select("job_id").collect()) == found
 
 
 def test_fuzzy_distinct():
