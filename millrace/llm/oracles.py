@@ -33,7 +33,7 @@ k AS (SELECT *, len(ws) AS n, length(array_to_string(ws, '')) AS wc, length(t) A
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
 f AS (SELECT *, [wc - marks, chars - wc, up, dg, pu, marks - up - dg - pu] AS classes,
     CASE WHEN lst IS NOT NULL THEN list_concat(list_transform(lst, lambda y: len(list_filter(known, lambda x: x = y))), [n - len(known)]) ELSE [n] END AS common FROM k),
-refs AS (SELECT l, [{", ".join(f"sum(classes[{i}])" for i in range(1, 7))}] AS rc, list_filter([{", ".join(f"sum(common[{i}])" for i in range(1, _LONGEST + 1))}], lambda x: x IS NOT NULL) AS rw FROM f WHERE n >= {quality.MIN_WORDS} GROUP BY l),
+refs AS (SELECT l, [{", ".join(f"sum(classes[{i}])" for i in range(1, 7))}] AS rc, list_filter([{", ".join(f"sum(common[{i}])" for i in range(1, _LONGEST + 1))}], lambda x: x IS NOT NULL) AS rw FROM f WHERE n >= {quality.MIN_WORDS} AND classes[1] >= {quality.MIN_LETTERS}::DOUBLE * wc GROUP BY l),
 win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS c FROM (SELECT rid, ws, unnest(range(1, n - 1)) AS i FROM f WHERE n >= 3)),
 rep AS (SELECT rid, count(DISTINCT i + o) AS n_repeat FROM win, range(0, 3) x(o) WHERE c > 1 GROUP BY rid),
 j AS (SELECT f.*, coalesce(n_repeat, 0) AS n_repeat, {_distance("classes", "rc")} AS cd, {_distance("common", "rw")} AS wd FROM f LEFT JOIN refs USING (l) LEFT JOIN rep USING (rid))

@@ -36,9 +36,11 @@ PLAIN = rf"[\p{{Ll}}{SPACE}]+"
 
 MIN_WORDS = 50
 MIN_CHARS = 200
+#: Share of lower-case letters in the words of a document that counts for a reference.
+MIN_LETTERS = 0.85
 #: Limits of the two distances: the floor, and what 1 / sqrt(words) is multiplied by.
-CLASS_FLOOR, CLASS_SPREAD = 0.18, 1.9
-WORD_FLOOR, WORD_SPREAD = 0.19, 2.12
+CLASS_FLOOR, CLASS_SPREAD = 0.16, 1.45
+WORD_FLOOR, WORD_SPREAD = 0.22, 2.7
 
 
 def _words(text: Column) -> Column:
@@ -81,8 +83,10 @@ def _histograms(df: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(_language, _ref_classes, _ref_common): summed counts of all documents of MIN_WORDS words or more."""
-    marked = _histograms(df.select(F.col(text).alias("text"), F.col(lang).alias("lang")), "text", "lang").filter(F.size("_words") >= MIN_WORDS)
+    """(_language, _ref_classes, _ref_common): summed counts of all documents of MIN_WORDS words or more, MIN_LETTERS of whose
+    characters in words are lower-case letters; a language without such documents has no reference and isn't judged."""
+    marked = _histograms(df.select(F.col(text).alias("text"), F.col(lang).alias("lang")), "text", "lang")
+    marked = marked.filter((F.size("_words") >= MIN_WORDS) & (F.get("_classes", F.lit(0)) >= F.lit(MIN_LETTERS) * F.col("word_chars")))
     sums = {f"c{i}": F.sum(F.get("_classes", F.lit(i))) for i in range(len(CLASSES) + 3)}
     longest = 1 + max(map(len, COMMON.values()))
     sums |= {f"w{i}": F.sum(F.get("_common", F.lit(i))) for i in range(longest)}
