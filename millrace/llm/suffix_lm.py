@@ -8,8 +8,8 @@ is taken off goes to the parent; the root discounts single counts and gives that
 longest retained suffix of what precedes it.
 
 Words are counted over all training documents (partial counts in each task, then one shuffle). Runs of tokens that are
-frequent in some part of the training text are candidates (none frequent overall is frequent in no part), and these are
-counted over all of it. Then documents are scored: words of a share of HEAVY or more (at most 1 / HEAVY of them) are looked
+frequent enough in parts of the training text are summed; those whose sum shows that they may be frequent overall, a number
+that SHARE bounds, are counted over all of it. Then documents are scored: words of a share of HEAVY or more (at most 1 / HEAVY of them) are looked
 up in the worker, other words meet their counts in a join, as rows of a word with the documents that hold it.
 
 Defined results: a null or empty text is one end mark; a null doc_id is not held out; a repeated row is scored by itself
@@ -36,6 +36,8 @@ DEPTH = 3
 SHARE = 2e-6
 HEAVY = 4e-6
 DISCOUNT = 0.75
+#: Share of the global threshold at which a part of the texts passes a run on.
+PART = 0.7
 #: Log-likelihood that a context must gain over its parent: so much, and so much for each next token it keeps.
 GAIN, GAIN_EACH = 4.0, 0.5
 #: The end of a text, as a token; words hold no space.
@@ -91,19 +93,20 @@ class Runs:
         return which[keep], node[keep], before[keep]
 
 
-def frequent_runs(runs: Runs, share: float = SHARE, depth: int = DEPTH) -> list[tuple[int, ...]]:
-    """(next, latest, ..., earliest) of runs of 2 to depth + 1 heavy tokens whose share here is ``share`` or more."""
-    out: list[tuple[int, ...]] = []
+def frequent_runs(runs: Runs, share: float = SHARE, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Runs of 2 to depth + 1 heavy tokens whose share here is ``share`` or more, and that occur twice: for each length the
+    rows (next, latest, ..., earliest) and their counts."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     which = np.flatnonzero(runs.ids != runs.other)
     least = max(2.0, share * len(runs.ids))
-    heads: list[tuple[int, ...]] = [(i,) for i in range(runs.other)]
+    heads = np.arange(runs.other, dtype=np.int64)[:, None]
     node = runs.ids[which]
     for level in range(1, depth + 1):
         which, node, before = runs.step(which, node, level)
         keys, inverse, n = np.unique(node << 20 | before, return_inverse=True, return_counts=True)
         good = n >= least
-        heads = [(*heads[k >> 20], k & 0xFFFFF) for k in keys[good].tolist()]
-        out += heads
+        heads = np.column_stack([heads[keys[good] >> 20], keys[good] & 0xFFFFF])
+        out.append((heads, n[good]))
         keep = good[inverse]
         which, node = which[keep], (np.cumsum(good) - 1)[inverse[keep]]
     return out
@@ -251,12 +254,21 @@ def learn(texts: DataFrame, heavy: dict[bytes, int], total: int, discount: float
         if ids:
             yield Runs(np.concatenate(ids), np.array(lengths), other)
 
+    names = [f"t{k}" for k in range(depth + 1)]
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs in parts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(frequent_runs(runs, share, depth), pa.list_(pa.int32()))], ["run"])
-
-    found = texts.mapInArrow(candidates, "run array<int>").distinct()
-    contexts = Contexts([tuple(r["run"]) for r in found.toLocalIterator()])
+            for rows, n in frequent_runs(runs, PART * share, depth):
+                for at in range(0, len(rows), 100_000):
+                    some = rows[at : at + 100_000]
+                    columns = [pa.array(some[:, k] if k < some.shape[1] else np.full(len(some), -1, np.int64)) for k in range(depth + 1)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n[at : at + 100_000])], [*names, "n"])
+
+    # a run frequent overall misses less than PART of that where it isn't passed on, so its sum here is the rest at least;
+    # and not more than 1 / ((1 - PART) * share) runs of each length have such a sum, whatever the corpus
+    found = texts.mapInArrow(candidates, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
+    table = found.filter(F.col("n") >= (1 - PART) * share * total).select(*names).toArrow()
+    contexts = Contexts([tuple(x for x in row if x >= 0) for row in zip(*(table[c].to_pylist() for c in names), strict=True)])
     shared = spark.sparkContext.broadcast(contexts.runs)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

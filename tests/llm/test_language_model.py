@@ -28,13 +28,17 @@ def test_query(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) + 0.5 * sum(r["n_tokens"] for r in out)
 
 
+def rows_of(found):
+    return [tuple(row) for rows, _ in found for row in rows.tolist()]
+
+
 def tree_of(texts, share=1e-4):
     lists = [suffix_lm.tokens(t) for t in texts]
     counts = collections.Counter(w for x in lists for w in x)
     words = sorted(counts)
     index = {w: i for i, w in enumerate(words)}
     runs = suffix_lm.Runs(np.array([index[w] for x in lists for w in x]), np.array(list(map(len, lists))), len(words))
-    contexts = suffix_lm.Contexts(suffix_lm.frequent_runs(runs, share))
+    contexts = suffix_lm.Contexts(rows_of(suffix_lm.frequent_runs(runs, share)))
     seen, pairs = contexts.counts(runs)
     unigram = np.array([counts[w] for w in words], float)
     return words, suffix_lm.retained(contexts, seen, pairs, unigram, int(unigram.sum()), 0.5, share), runs, counts
@@ -72,7 +76,7 @@ def test_runs_against_brute_force():
     ids = rng.integers(0, 4, 300)
     lengths = np.array([100, 50, 150])
     runs = suffix_lm.Runs(ids, lengths, 3)
-    contexts = suffix_lm.Contexts(suffix_lm.frequent_runs(runs, 0.01))
+    contexts = suffix_lm.Contexts(rows_of(suffix_lm.frequent_runs(runs, 0.01)))
     seen, pairs = contexts.counts(runs)
     docs = np.split(ids, np.cumsum(lengths)[:-1])
     for run, n in zip(contexts.runs, pairs.tolist(), strict=True):
