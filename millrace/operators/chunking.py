@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars, text
 
 
+def _counted(sentences: Column) -> Column:
+    """Sentences with their numbers of words, counted once each."""
+    return F.transform(sentences, lambda s: F.struct(s.alias("s"), F.size(scalars.words(s)).alias("n")))
+
+
 def chunked(sentences: Column, target_words: int = 100) -> Column:
     """Runs of sentences of at most so many words; a longer sentence is a chunk of its own."""
-    count = lambda x: F.size(scalars.words(x))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
 
-    def step(acc: Column, s: Column) -> Column:
-        full = (acc["n"] > 0) & (acc["n"] + count(s) > target_words)
+    def step(acc: Column, x: Column) -> Column:
+        full = (acc["n"] > 0) & (acc["n"] + x["n"] > target_words)
         return F.struct(
-            F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"),
-            F.when(full | (acc["n"] == 0), s).otherwise(F.concat(acc["open"], F.lit(" "), s)).alias("open"),
-            F.when(full, count(s)).otherwise(acc["n"] + count(s)).alias("n"),
+            F.when(full, F.array_append(acc["done"], F.array_join(acc["open"], " "))).otherwise(acc["done"]).alias("done"),
+            F.when(full, F.array(x["s"])).otherwise(F.array_append(acc["open"], x["s"])).alias("open"),
+            F.when(full, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"),
         )
 
-    return F.aggregate(sentences, start, step, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    return F.aggregate(_counted(sentences), start, step, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], F.array_join(acc["open"], " "))).otherwise(acc["done"]))
 
 
 def text_chunks(body: Column, target_tokens: int = 400) -> Column:

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.partitions import spread
+
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -19,6 +21,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are dear to work on."""
+        return spread(self.table(name))
+
     @cached_property
     def jobs(self) -> DataFrame:
         """Orders as postings."""

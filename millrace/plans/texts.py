@@ -25,7 +25,7 @@ TEMPLATES = [
 
 def said(v):
     """(id, sentence): a sentence for each posting's line item."""
-    lines = v.table("lineitem").join(v.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = v.spread("lineitem").join(v.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     kind = F.pmod(F.col("l_orderkey") + F.col("l_partkey"), F.lit(len(TEMPLATES)))
     out = F.lit(TEMPLATES[0])
     for i, t in enumerate(TEMPLATES):
@@ -108,46 +108,46 @@ def _(v):
 
 @query("exact_dedup", "SELECT source, low AS phrase, n_chars FROM (SELECT source, lower(trim(p)) AS low, n_chars, row_number() OVER (PARTITION BY source, lower(trim(p)) ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT source, doc_id, n_chars, regexp_extract(text, '^\\S+') AS p FROM documents)) WHERE r = 1", views=False)
 def _(v):
-    docs = v.table("documents").select("source", "doc_id", "n_chars", F.regexp_extract("text", r"^\S+", 0).alias("p"))
+    docs = v.spread("documents").select("source", "doc_id", "n_chars", F.regexp_extract("text", r"^\S+", 0).alias("p"))
     best = docs.withColumn("p", F.lower("p"))
     return similarity.exact_distinct(best, "p", "n_chars", ["source"], ["doc_id"]).select("source", F.trim("p").alias("phrase"), "n_chars")
 
 
 @query("content_duplicates", "SELECT sha256(text) AS hash, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1", views=False)
 def _(v):
-    return similarity.content_duplicates(v.table("documents"), "doc_id", "text")
+    return similarity.content_duplicates(v.spread("documents"), "doc_id", "text")
 
 
 @query("word_tokens", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 1.3::DOUBLE)) END::BIGINT AS tokens FROM documents", views=False)
 def _(v):
-    return v.table("documents").select("doc_id", scalars.word_tokens(F.col("text")).alias("tokens"))
+    return v.spread("documents").select("doc_id", scalars.word_tokens(F.col("text")).alias("tokens"))
 
 
 @query("token_costs", "SELECT doc_id, round(n / 1e6 * 3.0 + 300 / 1e6 * 15.0, 9) AS cost FROM (SELECT doc_id, greatest(1, floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 1.3::DOUBLE)) AS n FROM documents)", views=False)
 def _(v):
-    return v.table("documents").select("doc_id", F.round(cost.call_cost(scalars.word_tokens(F.col("text")), F.lit(300), 3.0, 15.0), 9).alias("cost"))
+    return v.spread("documents").select("doc_id", F.round(cost.call_cost(scalars.word_tokens(F.col("text")), F.lit(300), 3.0, 15.0), 9).alias("cost"))
 
 
 @query("sentences")
 def _(v):
-    return v.table("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence"))
+    return v.spread("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence"))
 
 
 @query("chunks")
 def _(v):
-    docs = v.table("documents").select("doc_id", text.sentences(F.col("text")).alias("s")).select("doc_id", chunking.chunked(F.col("s")).alias("c"))
+    docs = v.spread("documents").select("doc_id", text.sentences(F.col("text")).alias("s")).select("doc_id", chunking.chunked(F.col("s")).alias("c"))
     return docs.select("doc_id", F.posexplode("c").alias("n", "chunk")).withColumn("words", F.size(scalars.words(F.col("chunk"))))
 
 
 @query("line_stats", "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_filled FROM documents", views=False)
 def _(v):
     parts = text.lines(F.col("text"))
-    return v.table("documents").select("doc_id", F.size(parts).cast("long").alias("n_lines"), F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long").alias("n_filled"))
+    return v.spread("documents").select("doc_id", F.size(parts).cast("long").alias("n_lines"), F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long").alias("n_filled"))
 
 
 @query("boilerplate_flags", "SELECT doc_id, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in boilerplate.CATALOG["navigation"]) + " AS navigation, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in boilerplate.CATALOG["company"]) + " AS company FROM documents", views=False)
 def _(v):
-    return v.table("documents").select("doc_id", boilerplate.has_boilerplate(F.col("text"), "navigation").alias("navigation"), boilerplate.has_boilerplate(F.col("text"), "company").alias("company"))
+    return v.spread("documents").select("doc_id", boilerplate.has_boilerplate(F.col("text"), "navigation").alias("navigation"), boilerplate.has_boilerplate(F.col("text"), "company").alias("company"))
 
 
 def _removed(column: str) -> str:
@@ -161,12 +161,12 @@ def _removed(column: str) -> str:
 @query("boilerplate_removed", f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {_removed('text')} AS t FROM documents)", views=False)
 def _(v):
     clean = boilerplate.without_boilerplate(F.col("text"), ("section", "time", "salary", "formatting"))
-    return v.table("documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.md5(clean).alias("digest"))
+    return v.spread("documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.md5(clean).alias("digest"))
 
 
 @query("clean_html")
 def _(v):
-    return v.table("pages").select("page_id", text.clean_description(F.col("html")).alias("clean"))
+    return v.spread("pages").select("page_id", text.clean_description(F.col("html")).alias("clean"))
 
 
 @query("plain_html", r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
@@ -174,28 +174,28 @@ def _(v):
     '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|ul|ol|article|section|header|footer|nav|title)\s*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\x0B\f\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS plain FROM pages""", views=False)
 def _(v):
-    return v.table("pages").select("page_id", text.plain(F.col("html")).alias("plain"))
+    return v.spread("pages").select("page_id", text.plain(F.col("html")).alias("plain"))
 
 
 @query("html_markdown")
 def _(v):
-    return v.table("pages").select("page_id", markdown.html_to_markdown(F.col("html")).alias("md"))
+    return v.spread("pages").select("page_id", markdown.html_to_markdown(F.col("html")).alias("md"))
 
 
 @query("structured_markdown")
 def _(v):
-    return v.table("pages").select("page_id", text.structured(markdown.html_to_markdown(F.col("html"))).alias("md"))
+    return v.spread("pages").select("page_id", text.structured(markdown.html_to_markdown(F.col("html"))).alias("md"))
 
 
 @query("raw_html_flags", "SELECT page_id, true AS raw FROM pages", views=False)
 def _(v):
-    return v.table("pages").select("page_id", text.is_raw_html(F.col("html")).alias("raw"))
+    return v.spread("pages").select("page_id", text.is_raw_html(F.col("html")).alias("raw"))
 
 
 @query("markdown_sections")
 def _(v):
     md = markdown.html_to_markdown(F.col("html"))
-    return v.table("pages").select("page_id", F.posexplode(text.sections(md)).alias("n", "section"))
+    return v.spread("pages").select("page_id", F.posexplode(text.sections(md)).alias("n", "section"))
 
 
 @query("bullets", "SELECT o_orderkey, list_transform(range(1, 4), lambda i: 'item ' || i || CASE WHEN i = 2 THEN ' more of ' || o_orderpriority ELSE '' END)[i] AS bullet, i - 1 AS n FROM orders, range(1, 4) t(i)".replace("list_transform(range(1, 4), lambda i: 'item ' || i || CASE WHEN i = 2 THEN ' more of ' || o_orderpriority ELSE '' END)[i]", "'item ' || i || CASE WHEN i = 2 THEN ' more of ' || o_orderpriority ELSE '' END"), views=False)
@@ -216,7 +216,7 @@ def _(v):
 
 @query("polished_markdown")
 def _(v):
-    return v.table("pages").select("page_id", text.polished(markdown.html_to_markdown(F.col("html"))).alias("md"))
+    return v.spread("pages").select("page_id", text.polished(markdown.html_to_markdown(F.col("html"))).alias("md"))
 
 
 @query("display_formats", "SELECT p_partkey, CASE WHEN length(p_name || p_type) > 14 THEN (p_name || p_type)[1:11] || '...' ELSE p_name || p_type END AS cut, printf('$%.6f', p_retailprice) AS price, CASE WHEN p_size < 60 THEN p_size || 's' END AS took FROM part", views=False)
@@ -236,27 +236,27 @@ FTS = r"""SELECT doc_id, regexp_extract_all(translate(lower(text), 'àáâãäå
 
 @query("fts_and", f"SELECT doc_id FROM ({FTS}) WHERE list_contains(w, 'the') AND list_contains(w, 'that')", views=False)
 def _(v):
-    return search.search(v.table("documents"), "the That", ("text",)).select("doc_id")
+    return search.search(v.spread("documents"), "the That", ("text",)).select("doc_id")
 
 
 @query("fts_boolean", f"SELECT doc_id FROM ({FTS}) WHERE (list_contains(w, 'der') OR list_contains(w, 'les')) AND NOT list_contains(w, 'und')", views=False)
 def _(v):
-    return search.search(v.table("documents"), "(der OR les) NOT und", ("text",)).select("doc_id")
+    return search.search(v.spread("documents"), "(der OR les) NOT und", ("text",)).select("doc_id")
 
 
 @query("fts_phrase", f"SELECT doc_id FROM ({FTS}) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')", views=False)
 def _(v):
-    return search.search(v.table("documents"), '"of the"', ("text",)).select("doc_id")
+    return search.search(v.spread("documents"), '"of the"', ("text",)).select("doc_id")
 
 
 @query("fts_prefix", f"SELECT doc_id FROM ({FTS}) WHERE len(list_filter(w, lambda x: starts_with(x, 'tionth'))) > 0", views=False)
 def _(v):
-    return search.search(v.table("documents"), "tionth*", ("text",)).select("doc_id")
+    return search.search(v.spread("documents"), "tionth*", ("text",)).select("doc_id")
 
 
 @query("fts_indexed", f"SELECT doc_id FROM ({FTS}) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT list_contains(w, 'was')", views=False)
 def _(v):
-    docs = v.table("documents").select("doc_id", "text")
+    docs = v.spread("documents").select("doc_id", "text")
     return search.indexed(docs, search.index(docs, "doc_id", ["text"]), '"of the" NOT was', "doc_id").select("doc_id")
 
 
@@ -269,7 +269,7 @@ def _(v):
 def _(v):
     from pyspark.sql import Window
 
-    words = v.table("documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = v.spread("documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     return words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter("r <= 10").drop("r")
 
 
@@ -312,7 +312,7 @@ def _(v):
 
 
 def _postings(v):
-    pages = v.table("pages")
+    pages = v.spread("pages")
     return pages.select(F.col("page_id").alias("id"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("url", r"://([^/]+)", 1).alias("company"), F.lit("Remote").alias("location"), "url", F.col("html").alias("description"))
 
 
