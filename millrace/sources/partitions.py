@@ -14,5 +14,5 @@ def spread(df: DataFrame) -> DataFrame:
     For rows that are dear to work on, as texts are; the shuffle is bounded by SMALL_BYTES.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
