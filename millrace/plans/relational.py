@@ -96,18 +96,18 @@ def _(v):
     return store.since_or_unknown(v.reviews.select("job_id", F.col("reviewed_at").alias("crawled_at")), "1999-06-01")
 
 
-_REASON = """SELECT job_id, CASE WHEN status = 'rejected' THEN 'previously_rejected' WHEN job_id IN (SELECT job_id FROM assessments WHERE job_id % 2 = 0) THEN 'already_assessed'
+_REASON = """SELECT job_id, CASE WHEN status = 'rejected' THEN 'previously_rejected' WHEN job_id IN (SELECT job_id FROM assessments WHERE overall_score >= 50) THEN 'already_assessed'
   WHEN crawled_at < '1998-01-01' THEN 'crawled_before_1998-01-01' END AS skip_reason FROM reviews"""
 
 
 @query("skip_reasons", _REASON)
 def _(v):
-    return store.with_skip_reason(v.reviews, v.assessments.filter("job_id % 2 = 0"), skip_before="1998-01-01", skip_rejected=True, skip_assessed=True).select("job_id", "skip_reason")
+    return store.with_skip_reason(v.reviews, v.assessments.filter("overall_score >= 50"), skip_before="1998-01-01", skip_rejected=True, skip_assessed=True).select("job_id", "skip_reason")
 
 
 @query("filter_stats", f"SELECT coalesce(skip_reason, 'process') AS outcome, count(*) AS n FROM ({_REASON}) GROUP BY 1")
 def _(v):
-    return store.filter_stats(v.reviews, v.assessments.filter("job_id % 2 = 0"), skip_before="1998-01-01", skip_rejected=True, skip_assessed=True)
+    return store.filter_stats(v.reviews, v.assessments.filter("overall_score >= 50"), skip_before="1998-01-01", skip_rejected=True, skip_assessed=True)
 
 
 @query("new_only_reasons", "SELECT job_id, CASE WHEN status IN ('confirmed', 'rejected') THEN 'already_reviewed' END AS skip_reason FROM reviews")
@@ -330,19 +330,19 @@ def _(v):
 
 
 def _tables(v):
-    """Views with faults: postings that were rejected are gone, two lines of an order are an assessment each."""
+    """Views with faults: postings that were rejected are gone, long assessments are there twice, some scores are too high, some ids lost."""
     jobs = v.jobs.filter("status <> 'rejected'")
     assessments = v.assessments.withColumn("overall_score", F.col("overall_score") + F.when(F.col("job_id") % 11 == 0, 60.0).otherwise(0.0))
-    twice = assessments.unionByName(assessments.filter("job_id % 50 = 0")).withColumn("row_id", F.col("job_id"))
+    twice = assessments.unionByName(assessments.filter("output_tokens >= 9")).withColumn("row_id", F.col("job_id"))
     reviews = v.reviews.withColumn("status", F.when(F.col("job_id") % 13 == 0, "rejected").otherwise(F.col("status")))
-    return {"jobs": jobs, "assessments": twice, "reviews": reviews, "costs": v.costs.filter("input_tokens = 50"), "preprocessed": v.reviews.filter("job_id % 9 <> 0").select("job_id"), "index": twice.select("row_id", F.when(F.col("job_id") % 17 != 0, F.col("job_id")).alias("job_id"))}
+    return {"jobs": jobs, "assessments": twice, "reviews": reviews, "costs": v.costs, "preprocessed": v.reviews.filter("tokens >= 500").select("job_id"), "index": twice.select("row_id", F.when(F.col("job_id") % 17 != 0, F.col("job_id")).alias("job_id"))}
 
 
 FAULTS = """, fj AS (SELECT * FROM jobs WHERE status <> 'rejected'),
 fa0 AS (SELECT * REPLACE (overall_score + CASE WHEN job_id % 11 = 0 THEN 60.0 ELSE 0.0 END AS overall_score) FROM assessments),
-fa AS (SELECT *, job_id AS row_id FROM (SELECT * FROM fa0 UNION ALL SELECT * FROM fa0 WHERE job_id % 50 = 0)),
+fa AS (SELECT *, job_id AS row_id FROM (SELECT * FROM fa0 UNION ALL SELECT * FROM fa0 WHERE output_tokens >= 9)),
 fr AS (SELECT * REPLACE (CASE WHEN job_id % 13 = 0 THEN 'rejected' ELSE status END AS status) FROM reviews),
-fc AS (SELECT * FROM costs WHERE input_tokens = 50), fp AS (SELECT job_id FROM reviews WHERE job_id % 9 <> 0),
+fc AS (SELECT * FROM costs), fp AS (SELECT job_id FROM reviews WHERE tokens >= 500),
 fi AS (SELECT row_id, CASE WHEN job_id % 17 <> 0 THEN job_id END AS job_id FROM fa),
 issues AS (
   SELECT 'orphaned_assessment' AS issue_type, 'error' AS severity, job_id::VARCHAR AS record_id FROM fa WHERE job_id NOT IN (SELECT id FROM fj)
@@ -446,13 +446,13 @@ def _(v):
 
 
 @query("upsert_reviews", """SELECT job_id, status, crawled_at, coalesce(preprocessing_version, 'v1.0') AS preprocessing_version FROM (
-  SELECT job_id, status, crawled_at, preprocessing_version FROM reviews WHERE job_id % 10 <> 0
-  UNION ALL SELECT job_id, 'rejected', crawled_at, NULL FROM reviews WHERE job_id % 10 = 0
-  UNION ALL SELECT -1 - job_id, 'rejected', '2002-01-01 00:00:00', NULL FROM reviews WHERE job_id % 10 = 0)""")
+  SELECT job_id, status, crawled_at, preprocessing_version FROM reviews WHERE status <> 'pending_review'
+  UNION ALL SELECT job_id, 'rejected', crawled_at, NULL FROM reviews WHERE status = 'pending_review'
+  UNION ALL SELECT -1 - job_id, 'rejected', '2002-01-01 00:00:00', NULL FROM reviews WHERE status = 'pending_review')""")
 def _(v):
     old = v.reviews.select("job_id", "status", "crawled_at", "preprocessing_version")
-    tens = old.filter("job_id % 10 = 0").select("job_id", F.lit("rejected").alias("status"), F.lit("2002-01-01 00:00:00").alias("crawled_at"), F.lit(None).cast("string").alias("preprocessing_version"))
-    new = tens.unionByName(tens.withColumn("job_id", -1 - F.col("job_id")))
+    changed = old.filter("status = 'pending_review'").select("job_id", F.lit("rejected").alias("status"), F.lit("2002-01-01 00:00:00").alias("crawled_at"), F.lit(None).cast("string").alias("preprocessing_version"))
+    new = changed.unionByName(changed.withColumn("job_id", -1 - F.col("job_id")))
     return mutations.upsert(old, new, keep=("crawled_at",), fallback={"preprocessing_version": "v1.0"})
 
 
