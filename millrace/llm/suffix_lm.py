@@ -43,9 +43,9 @@ GAIN, GAIN_EACH = 4.0, 0.5
 #: The end of a text, as a token; words hold no space.
 END = b" "
 #: Words that a task counts, tokens it looks for runs in, and links it gathers, before it passes them on.
-FLUSH_WORDS, FLUSH_TOKENS, FLUSH_LINKS = 300_000, 3_000_000, 2_000_000
+FLUSH_WORDS, FLUSH_TOKENS, FLUSH_LINKS = 300_000, 2_000_000, 1_000_000
 #: Words that a task numbers before it passes its links on and starts anew.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def tokens(text: bytes) -> list[bytes]:
