@@ -86,7 +86,9 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     """(_language, _ref_classes, _ref_common): summed counts of all documents of MIN_WORDS words or more, MIN_LETTERS of whose
     characters in words are lower-case letters; a language without such documents has no reference and isn't judged."""
     marked = _histograms(df.select(F.col(text).alias("text"), F.col(lang).alias("lang")), "text", "lang")
-    marked = marked.filter((F.size("_words") >= MIN_WORDS) & (F.get("_classes", F.lit(0)) >= F.lit(MIN_LETTERS) * F.col("word_chars")))
+    # not a filter, which would be pushed down and derive the words a second time
+    counted = (F.size("_words") >= MIN_WORDS) & (F.get("_classes", F.lit(0)) >= F.lit(MIN_LETTERS) * F.col("word_chars"))
+    marked = marked.select("_language", F.when(counted, F.col("_classes")).alias("_classes"), F.when(counted, F.col("_common")).alias("_common"))
     sums = {f"c{i}": F.sum(F.get("_classes", F.lit(i))) for i in range(len(CLASSES) + 3)}
     longest = 1 + max(map(len, COMMON.values()))
     sums |= {f"w{i}": F.sum(F.get("_common", F.lit(i))) for i in range(longest)}
