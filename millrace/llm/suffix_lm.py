@@ -7,9 +7,9 @@ from its parent's distribution by enough (a likelihood-ratio test). Distribution
 is taken off goes to the parent; the root discounts single counts and gives that to the unknown. A token is scored in the
 longest retained suffix of what precedes it.
 
-Words are counted over all training documents (partial counts in each task, then one shuffle). Runs of tokens that are
-frequent enough in parts of the training text are summed; those whose sum shows that they may be frequent overall, a number
-that SHARE bounds, are counted over all of it. Then documents are scored: words of a share of HEAVY or more (at most 1 / HEAVY of them) are looked
+Words are counted over all training documents (partial counts in each task, then one shuffle). Runs of tokens are counted
+level by level: those one token longer than the frequent runs found before, each over all of the training text, so that
+what is frequent does not depend on how the text is dealt. SHARE bounds how many each level finds. Then documents are scored: words of a share of HEAVY or more (at most 1 / HEAVY of them) are looked
 up in the worker, other words meet their counts in a join, as rows of a word with the documents that hold it.
 
 Defined results: a null or empty text is one end mark; a null doc_id is not held out; a repeated row is scored by itself
@@ -20,7 +20,7 @@ columns of the input are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +36,8 @@ DEPTH = 3
 SHARE = 2e-6
 HEAVY = 4e-6
 DISCOUNT = 0.75
-#: Share of the global threshold at which a part of the texts passes a run on.
-PART = 0.7
+#: A run must occur so often at least, however small the training text.
+LEAST = 2
 #: Log-likelihood that a context must gain over its parent: so much, and so much for each next token it keeps.
 GAIN, GAIN_EACH = 4.0, 0.5
 #: The end of a text, as a token; words hold no space.
@@ -93,22 +93,46 @@ class Runs:
         return which[keep], node[keep], before[keep]
 
 
-def frequent_runs(runs: Runs, share: float = SHARE, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Runs of 2 to depth + 1 heavy tokens whose share here is ``share`` or more, and that occur twice: for each length the
-    rows (next, latest, ..., earliest) and their counts."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def extensions(runs: Runs, tables: list[PairTable]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the runs one token longer than those of the last table (heavy tokens themselves without tables): keys of
+    (place in that table) << 20 | token before, and how often each occurs here."""
     which = np.flatnonzero(runs.ids != runs.other)
-    least = max(2.0, share * len(runs.ids))
-    heads = np.arange(runs.other, dtype=np.int64)[:, None]
     node = runs.ids[which]
-    for level in range(1, depth + 1):
+    for level, table in enumerate(tables, 1):
         which, node, before = runs.step(which, node, level)
-        keys, inverse, n = np.unique(node << 20 | before, return_inverse=True, return_counts=True)
-        good = n >= least
-        heads = np.column_stack([heads[keys[good] >> 20], keys[good] & 0xFFFFF])
-        out.append((heads, n[good]))
-        keep = good[inverse]
-        which, node = which[keep], (np.cumsum(good) - 1)[inverse[keep]]
+        node = table.ranks(node, before)
+        keep = node < NONE
+        which, node = which[keep], node[keep]
+    _, node, before = runs.step(which, node, len(tables) + 1)
+    return np.unique(node.astype(np.int64) << 20 | before, return_counts=True)
+
+
+def lengthened(heads: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, PairTable]:
+    """Rows (next, latest, ..., earliest) of the runs with these keys, and the table that finds them by place and token."""
+    place, before = keys >> 20, keys & 0xFFFFF
+    return np.column_stack([heads[place], before]), PairTable(place, before, np.arange(len(keys)))
+
+
+def frequent_runs(runs: Runs, share: float = SHARE, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Runs of 2 to depth + 1 heavy tokens whose share here is ``share`` or more, and that occur LEAST times: for each length the
+    rows (next, latest, ..., earliest) and their counts."""
+    return grown(lambda tables: extensions(runs, tables), runs.other, max(LEAST, share * len(runs.ids)), depth)
+
+
+def grown(count: Callable[[list[PairTable]], tuple[np.ndarray, np.ndarray]], heavy: int, least: float, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Runs that occur ``least`` times, with their counts, level by level; ``count`` gives extensions() over a whole text."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    tables: list[PairTable] = []
+    heads = np.arange(heavy, dtype=np.int64)[:, None]
+    for _ in range(depth):
+        keys, n = count(tables)
+        keys, n = keys[n >= least], n[n >= least]
+        order = np.argsort(keys)
+        heads, table = lengthened(heads, keys[order])
+        tables.append(table)
+        out.append((heads, n[order]))
+        if not len(keys):
+            break
     return out
 
 
@@ -254,39 +278,31 @@ def learn(texts: DataFrame, heavy: dict[bytes, int], total: int, discount: float
         if ids:
             yield Runs(np.concatenate(ids), np.array(lengths), other)
 
-    names = [f"t{k}" for k in range(depth + 1)]
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs in parts(batches):
-            for rows, n in frequent_runs(runs, PART * share, depth):
-                for at in range(0, len(rows), 100_000):
-                    some = rows[at : at + 100_000]
-                    columns = [pa.array(some[:, k] if k < some.shape[1] else np.full(len(some), -1, np.int64)) for k in range(depth + 1)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n[at : at + 100_000])], [*names, "n"])
-
-    # a run frequent overall misses less than PART of that where it isn't passed on, so its sum here is the rest at least;
-    # and not more than 1 / ((1 - PART) * share) runs of each length have such a sum, whatever the corpus
-    found = texts.mapInArrow(candidates, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
-    table = found.filter(F.col("n") >= (1 - PART) * share * total).select(*names).toArrow()
-    contexts = Contexts([tuple(x for x in row if x >= 0) for row in zip(*(table[c].to_pylist() for c in names), strict=True)])
-    shared = spark.sparkContext.broadcast(contexts.runs)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, sums = Contexts(shared.value), None
-        for runs in parts(batches):
-            now = np.concatenate(tree.counts(runs))
-            sums = now if sums is None else sums + now
-        if sums is not None:
-            at = np.flatnonzero(sums)
-            for k in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(sums[at[k : k + 100_000]])], ["place", "n"])
-
-    table = texts.mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(len(contexts.paths) + len(contexts.runs), np.int64)
-    sums[table["place"].to_numpy()] = table["n"].to_numpy()
-    unigram = np.array(list(heavy.values()), float)
-    tree = retained(contexts, sums[: len(contexts.paths)], sums[len(contexts.paths) :], unigram, total, discount, share)
-    shared.unpersist()
+    def count(tables: list[PairTable]) -> tuple[np.ndarray, np.ndarray]:
+        shared = spark.sparkContext.broadcast(tables)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for runs in parts(batches):
+                keys, n = extensions(runs, shared.value)
+                for at in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["key", "n"])
+
+        # summed over all parts before anything is dropped; of each length no more than 1 / share runs are left
+        found = texts.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+        shared.unpersist()
+        return found["key"].to_numpy(), found["n"].to_numpy()
+
+    least = max(LEAST, share * total)
+    levels = grown(count, len(heavy), least, depth)
+    number = {tuple(row): k for rows, n in levels for row, k in zip(rows.tolist(), n.tolist(), strict=True)}
+    contexts = Contexts(list(number))
+    heavy_counts = list(heavy.values())
+    unigram = np.array(heavy_counts, float)
+    # a text's end follows whatever else it holds, so a context stands before a token as often as it occurs; as part of a
+    # frequent run it is one itself
+    seen = np.array([total, *(number[p] if len(p) > 1 else heavy_counts[p[0]] for p in contexts.paths[1:])], np.int64)
+    pairs = np.array([number[r] for r in contexts.runs], np.int64)
+    tree = retained(contexts, seen, pairs, unigram, total, discount, share)
     words.unpersist()
     return tree
 

@@ -98,3 +98,9 @@ def test_edges(spark):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
     only = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
     assert {(r["n_known"], r["train_tokens"], r["score"]) for r in suffix_lm.scored(only).collect()} == {(0, 0, 0.0)} and held.count() == 2
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(600).cache()
+    one, many = ({r["doc_id"]: r["score"] for r in suffix_lm.scored(docs.repartition(k, "doc_id")).collect()} for k in (1, 200))
+    assert one.keys() == many.keys() and all(math.isclose(one[i], many[i], rel_tol=1e-9) for i in one)
