@@ -2,7 +2,7 @@
 
 Texts and items are sequences of words (lower case, without the marks at their edges). A passage matches an item of L
 words if it comes to it within floor(TOLERANCE * L) insertions, deletions and substitutions of words. Windows of an
-item's size slide over each text; an edit breaks at most q runs of q words, so a window must hold a number of runs of
+item's size slide over each text and, by as many words as may be missing, over its ends; an edit breaks at most q runs of q words, so a window must hold a number of runs of
 items of its size, and only windows that do are looked at. The others are embedded by the CGK random walk, under which few edits
 give few Hamming differences: both sequences are read along shared random steps. Repeated samples of the
 embedding's places are hashed; an item that shares a sample with a window is a candidate, whose edit distance is
@@ -171,16 +171,18 @@ class Matcher:
             q = max(q for q in range(1, min(GRAMS, length) + 1) if length - q + 1 - q * self.edits(length) >= 1)
             own = {tuple(self.items[i][k : k + q]) for i in some for k in range(length - q + 1)}
             self.needs[length] = (q, length - q + 1 - q * self.edits(length), np.array([known[q][g] for g in own], np.int64))
+        self.gap = 1 + max(map(self.edits, by_length), default=0)
         self.known = np.array(sorted({k for t in self.tables.values() for k in t}), np.uint64)
 
     def edits(self, length: int) -> int:
         return int(self.tolerance * length + 1e-9)
 
-    def windows(self, ids: np.ndarray, room: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(length, starts) of the windows inside one text that may match an item of that length.
+    def windows(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, starts) of the windows that may match an item of that length.
 
-        An edit breaks q runs of q words at most, so a match holds at least length - q + 1 - q * edits runs of its item;
-        ``room`` has the words from each place to its text's end.
+        An edit breaks q runs of q words at most, so a match holds at least length - q + 1 - q * edits runs of its item.
+        Before, between and after the texts stand ``gap`` foreign words, more than a window may hold: it reaches over an
+        end by what may be missing there, and never into two texts.
         """
         n = len(ids)
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -203,7 +205,7 @@ class Matcher:
             good = low <= high
             marks = np.bincount(low[good], minlength=n + 2) - np.bincount(high[good] + 1, minlength=n + 2) if good.any() else np.zeros(1, np.int64)
             starts = np.flatnonzero(np.cumsum(marks) > 0)
-            starts = starts[(room[starts] >= length) & (foreign[starts + length] - foreign[starts] <= self.edits(length))]
+            starts = starts[foreign[starts + length] - foreign[starts] <= self.edits(length)]
             if len(starts):
                 yield length, starts
 
@@ -216,11 +218,12 @@ class Matcher:
         get = self.vocabulary.get
         self.chunks.update((c, get(plain(c), FOREIGN)) for c in new)
         lengths = np.array([len(x) for x in lists])
-        ids = np.fromiter((i for x in lists for i in map(self.chunks.__getitem__, x)), np.int64, int(lengths.sum()))
-        ends = np.cumsum(lengths)
-        room = np.repeat(ends, lengths) - np.arange(len(ids))
+        ends = np.cumsum(lengths + self.gap)
+        ids = np.full(int(lengths.sum()) + (len(lists) + 1) * self.gap, FOREIGN, np.int64)
+        inside = np.arange(int(lengths.sum())) + np.repeat(np.arange(1, len(lists) + 1) * self.gap, lengths)
+        ids[inside] = np.fromiter((i for x in lists for i in map(self.chunks.__getitem__, x)), np.int64, len(inside))
         found: list[list[Hit]] = [[] for _ in texts]
-        kept = list(self.windows(ids, room))
+        kept = list(self.windows(ids))
         starts = np.concatenate([x for _, x in kept]) if kept else np.zeros(0, np.int64)
         sizes = np.repeat([n for n, _ in kept], [len(x) for _, x in kept]).astype(np.int64)
         places: dict[tuple[int, int], list[int]] = {}
@@ -229,7 +232,8 @@ class Matcher:
             keys = sample_keys(ids, some, lens)
             row, column = np.nonzero(np.isin(keys, self.known))
             pairs = {(s, i) for s, n, k in zip(some[row].tolist(), lens[row].tolist(), keys[row, column].tolist(), strict=True) for i in self.tables[n].get(k, ())}
-            docs = np.searchsorted(ends, np.array([s for s, _ in pairs], np.int64), "right").tolist()
+            # past what a window may have before its text, it is inside
+            docs = np.searchsorted(ends, np.array([s + self.edits(len(self.items[i])) for s, i in pairs], np.int64), "right").tolist()
             for (start, i), doc in zip(pairs, docs, strict=True):
                 places.setdefault((doc, i), []).append(start)
         for (doc, i), near in places.items():

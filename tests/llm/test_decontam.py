@@ -78,3 +78,36 @@ def test_edges(spark):
     assert (2, [(-1, 5, 5 + n + 1), (-1, n + 11, 2 * n + 11), (7, 5, 5 + n + 1), (7, n + 11, 2 * n + 11), (10, 0, 4)]) in got
     assert (3, [(-1, 60_000, 60_000 + n), (7, 60_000, 60_000 + n)]) in got
     assert decontam.with_matches(docs.limit(0), items.limit(0)).count() == 0
+
+
+def test_recall_at_the_ends_of_texts():
+    """Items with as many words left out as may be, or edited, as whole texts and at either end of one."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 60))) for _ in range(60)]
+    matcher = decontam.Matcher(items)
+    found, tried = [0, 0, 0], 150
+    around = [f"v{i}" for i in range(40)]
+    for _ in range(tried):
+        i = rng.randrange(len(items))
+        words = items[i].split()
+        most = matcher.edits(len(words))
+        match rng.randrange(3):
+            case 0:
+                words = words[most:]
+            case 1:
+                words = words[: len(words) - most]
+            case _:
+                for _ in range(most):
+                    words.pop(rng.randrange(len(words)))
+        for k, text in enumerate((words, [*words, *around], [*around, *words])):
+            before, hits, after = matcher.texts([" ".join(around), " ".join(text), " ".join(around)])
+            found[k] += any(h.item == i for h in hits)
+            assert not before and not after
+    assert min(found) >= 0.98 * tried, found
+
+
+def test_windows_do_not_join_texts():
+    item = "one two three four five six seven eight nine ten"
+    words = item.split()
+    assert decontam.Matcher([item]).texts([" ".join(words[:5]), " ".join(words[5:]), item]) == [[], [], [decontam.Hit(0, 0, 10, 0)]]
