@@ -6,7 +6,8 @@ item's size slide over each text and, by as many words as may be missing, over i
 items of its size, and only windows that do are looked at. The others are embedded by the CGK random walk, under which few edits
 give few Hamming differences: both sequences are read along shared random steps. Repeated samples of the
 embedding's places are hashed; an item that shares a sample with a window is a candidate, whose edit distance is
-computed exactly. The number of repetitions is set from a target recall and the share of places expected to agree; neighbouring windows
+computed exactly. Walks drift apart over many edits, so items of more than CUT words are looked up by overlapping parts of at
+most PART: of parts that cover an item, one has no more than its share of the edits. The number of repetitions is set from a target recall and the share of places expected to agree; neighbouring windows
 add to it.
 
 Items are the stated query set: they go to the workers in blocks of at most BLOCK_BYTES, each matched with all rows.
@@ -39,6 +40,8 @@ PLACES, RECALL, AGREEING, WALKS = 4, 0.999, 0.5, 8
 READ = 2
 #: Longest runs of words that windows are sifted by.
 GRAMS = 4
+#: Items of more words than CUT are looked up by parts of at most PART words.
+CUT, PART = 29, 20
 BLOCK_BYTES = 16 << 20
 CACHE = 200_000
 #: Stands for a word that no item has, and for what is past a sequence's end.
@@ -53,6 +56,15 @@ def samples(recall: float = RECALL, agreeing: float = AGREEING, places: int = PL
     return math.ceil(math.log(1 - recall) / math.log(1 - agreeing**places))
 
 
+def parts(length: int) -> list[tuple[int, int]]:
+    """(offset, words) of what an item is looked up by: itself, or parts that cover it and parts between their middles."""
+    if length <= CUT:
+        return [(0, length)]
+    edges = np.linspace(0, length, -(-length // PART) + 1).astype(int).tolist()
+    middles = [(a + b) // 2 for a, b in zip(edges, edges[1:], strict=False)]
+    return [(a, b - a) for line in (edges, middles) for a, b in zip(line, line[1:], strict=False)]
+
+
 def plain(chunk: str) -> str:
     """A lower-case chunk without the marks at its edges; one of marks only stays as it is."""
     return chunk if chunk.isalpha() else _EDGE.sub("", chunk) or chunk
@@ -148,9 +160,10 @@ class Matcher:
         self.chunks: dict[str, int] = {}
         self.tables: dict[int, dict[int, list[int]]] = {}
         by_length: dict[int, list[int]] = {}
-        for i, ids in enumerate(self.items):
-            if ids:
-                by_length.setdefault(len(ids), []).append(i)
+        #: (item, offset, words) of what is looked up.
+        self.units = [(i, a, n) for i, ids in enumerate(self.items) if ids for a, n in parts(len(ids))]
+        for u, (_, _, n) in enumerate(self.units):
+            by_length.setdefault(n, []).append(u)
         #: Runs of 1 to GRAMS words that items have, each as the number of its first words and the last one.
         self.grams: list[np.ndarray] = [np.zeros(0, np.int64)]
         known: list[dict[tuple[int, ...], int]] = [{}, {(i,): i for i in range(len(self.vocabulary))}]
@@ -161,15 +174,16 @@ class Matcher:
             self.grams.append(np.unique(values))
             known.append(dict(zip(keys, np.searchsorted(self.grams[-1], values).tolist(), strict=True)))
         for length, some in sorted(by_length.items()):
-            flat = np.array([x for i in some for x in self.items[i]], np.int64)
+            held = [self.items[i][a : a + n] for i, a, n in (self.units[u] for u in some)]
+            flat = np.array([x for ids in held for x in ids], np.int64)
             table: dict[int, list[int]] = {}
-            for i, keys in zip(some, sample_keys(flat, np.arange(len(some)) * length, np.full(len(some), length)).tolist(), strict=True):
+            for u, keys in zip(some, sample_keys(flat, np.arange(len(some)) * length, np.full(len(some), length)).tolist(), strict=True):
                 for key in filter(None, keys):
-                    table.setdefault(key, []).append(i)
+                    table.setdefault(key, []).append(u)
             self.tables[length] = table
             # the longest runs of which a match must still hold one
             q = max(q for q in range(1, min(GRAMS, length) + 1) if length - q + 1 - q * self.edits(length) >= 1)
-            own = {tuple(self.items[i][k : k + q]) for i in some for k in range(length - q + 1)}
+            own = {tuple(ids[k : k + q]) for ids in held for k in range(length - q + 1)}
             self.needs[length] = (q, length - q + 1 - q * self.edits(length), np.array([known[q][g] for g in own], np.int64))
         self.gap = 1 + max(map(self.edits, by_length), default=0)
         self.known = np.array(sorted({k for t in self.tables.values() for k in t}), np.uint64)
@@ -231,11 +245,12 @@ class Matcher:
             some, lens = starts[at : at + 20_000], sizes[at : at + 20_000]
             keys = sample_keys(ids, some, lens)
             row, column = np.nonzero(np.isin(keys, self.known))
-            pairs = {(s, i) for s, n, k in zip(some[row].tolist(), lens[row].tolist(), keys[row, column].tolist(), strict=True) for i in self.tables[n].get(k, ())}
+            pairs = {(s, u) for s, n, k in zip(some[row].tolist(), lens[row].tolist(), keys[row, column].tolist(), strict=True) for u in self.tables[n].get(k, ())}
             # past what a window may have before its text, it is inside
-            docs = np.searchsorted(ends, np.array([s + self.edits(len(self.items[i])) for s, i in pairs], np.int64), "right").tolist()
-            for (start, i), doc in zip(pairs, docs, strict=True):
-                places.setdefault((doc, i), []).append(start)
+            docs = np.searchsorted(ends, np.array([s + self.edits(self.units[u][2]) for s, u in pairs], np.int64), "right").tolist()
+            for (start, u), doc in zip(pairs, docs, strict=True):
+                item, offset, _ = self.units[u]
+                places.setdefault((doc, item), []).append(start - offset)
         for (doc, i), near in places.items():
             first, last = int(ends[doc] - lengths[doc]), int(ends[doc])
             length = len(self.items[i])
@@ -247,11 +262,18 @@ class Matcher:
                     runs[-1][1] = start
                 else:
                     runs.append([start, start])
+            # edits before a part shift it against its item, as those inside shift its window
+            slack = most if length <= CUT else 2 * most
             for a, b in runs:
-                left = max(first, a - most)
-                distance, c, d = closest(self.items[i], ids[left : min(last, b + length + most)].tolist())
-                if distance <= most:
+                stretches = [(max(first, a - slack), min(last, b + length + slack))]
+                while stretches:
+                    left, right = stretches.pop()
+                    distance, c, d = closest(self.items[i], ids[left:right].tolist())
+                    if distance > most:
+                        continue
                     found[doc].append(Hit(i, left + c - first, left + d - first, distance))
+                    if d > c:  # other occurrences may stand beside this one
+                        stretches += [(x, y) for x, y in ((left, left + c), (left + d, right)) if y - x >= length - most]
         return [apart(hits) for hits in found]
 
 

@@ -111,3 +111,26 @@ def test_windows_do_not_join_texts():
     item = "one two three four five six seven eight nine ten"
     words = item.split()
     assert decontam.Matcher([item]).texts([" ".join(words[:5]), " ".join(words[5:]), item]) == [[], [], [decontam.Hit(0, 0, 10, 0)]]
+
+
+def test_recall_of_long_items_at_full_tolerance():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    for length in (59, 100, 200, 300, 500):
+        for kind in range(3):
+            found = 0
+            for _ in range(20):
+                item = [rng.choice(vocabulary) for _ in range(length)]
+                matcher, words = decontam.Matcher([" ".join(item)]), item.copy()
+                for k in sorted(rng.sample(range(length), matcher.edits(length)), reverse=True):
+                    words[k : k + 1] = (["other"], [], [words[k], rng.choice(vocabulary)])[kind]
+                around = [rng.choice(vocabulary) for _ in range(80)]
+                (hits,) = matcher.texts([" ".join([*around[:40], *words, *around[40:]])])
+                found += len(hits) == 1
+            assert found >= 19, (length, kind, found)
+
+
+def test_long_items_side_by_side():
+    item = [f"w{i}" for i in range(150)]
+    (hits,) = decontam.Matcher([" ".join(item)]).texts([" ".join(["x", *item, *item, "y", *item])])
+    assert [(h.start, h.end, h.distance) for h in hits] == [(1, 151, 0), (151, 301, 0), (302, 452, 0)]
