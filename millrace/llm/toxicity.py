@@ -10,7 +10,7 @@ What is learned comes from a bounded sample of labelled rows (``sample``, taken
 weights go to the driver, whose size the sample bounds. All documents are scored.
 
 Defined results: null and empty texts get the score of a text without hits; a document without a doc_id is scored and
-counts as not held out; a document labelled twice counts twice in learning; without any labelled rows the lexicon is
+counts as not held out; a document labelled twice counts twice in learning weights, and equal texts of a label once in learning terms; without any labelled rows the lexicon is
 empty and every score is the same; repeated rows are scored alike; extra columns pass through.
 """
 
@@ -32,10 +32,8 @@ from millrace.llm.common import bounded_batches, bucket_of, byte_slices
 
 #: About so many labelled rows are learned from.
 SAMPLE = 40_000
-#: A term must stand in so many toxic documents, and in so many times more of these than of others (as shares).
+#: A term must stand in so many toxic documents of different texts, and in so many times more of these than of others (as shares).
 MIN_TOXIC, MIN_LIFT, MIN_PRECISION = 8, 8.0, 0.8
-#: Least share of the toxic documents that a term stands in: rarer ones are words of a few texts and their copies.
-MIN_SHARE = 0.02
 #: Terms in the lexicon at most.
 TERMS = 2000
 STEMS = (4, 5, 6, 7)
@@ -262,13 +260,14 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_i
     """Lexicon and weights from labelled rows for which ``keep``, a condition on the column id, holds."""
     bounded_batches(docs.sparkSession)
     rows = _sampled(docs, labels, doc_id, text, toxic, keep, sample)
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    distinct = rows.dropDuplicates(["text", "toxic"])  # a term isn't learned from copies of a text
+    sizes = {r["toxic"]: r["count"] for r in distinct.groupBy("toxic").count().collect()}
     good, bad = sizes.get(0, 0), sizes.get(1, 0)
     if not good or not bad:
         return Model((), (0.0 if not good and bad else -4.0, *[0.0] * FEATURES))
-    frequent = _term_counts(rows.filter("toxic = 1"), None).filter(F.col("n") >= max(min(MIN_TOXIC, max(2, bad // 20)), MIN_SHARE * bad))
+    frequent = _term_counts(distinct.filter("toxic = 1"), None).filter(F.col("n") >= min(MIN_TOXIC, max(2, bad // 20)))
     toxic_in = {r["term"]: r["n"] for r in frequent.collect()}  # bounded by the sample
-    other = {r["term"]: r["n"] for r in _term_counts(rows.filter("toxic = 0"), frozenset(toxic_in)).collect()}
+    other = {r["term"]: r["n"] for r in _term_counts(distinct.filter("toxic = 0"), frozenset(toxic_in)).collect()}
     terms = _chosen(toxic_in, other, bad, good)
 
     bounded_batches(docs.sparkSession)

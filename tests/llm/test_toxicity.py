@@ -54,3 +54,12 @@ def test_edges(spark):
     assert dict(out.dtypes)["score"] == "double" and out.count() == 4 and out.filter("held_out IS NULL OR score IS NULL").count() == 0
     assert toxicity.scored(docs.limit(0), labels.limit(0)).count() == 0
     assert out.filter(F.col("predicted") == 1).count() == 0
+
+
+def test_rare_terms_are_learned_but_not_from_copies(spark):
+    """Of 1,000 toxic documents 10 hold an insult, and 12 are copies of one text."""
+    rows = [(i, f"you are a moron n{i}", 1) for i in range(978)] + [(i, f"such a gnorf n{i}", 1) for i in range(978, 988)]
+    rows += [(i, "copied zibble", 1) for i in range(988, 1000)] + [(i, f"you are a friend and such n{i}", 0) for i in range(1000, 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    terms = {t for t, _ in toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True)).terms}
+    assert {"w:moron", "w:gnorf"} <= terms and not any("zib" in t for t in terms)
