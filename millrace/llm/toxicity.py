@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -81,8 +81,8 @@ class Automaton:
             rows.append(low)
         return tuple(rows)
 
-    def accepts(self, state: tuple[int, ...]) -> bool:
-        return bool(state[-1] & self.end)
+    def accepts(self, state: tuple[int, ...], edits: int) -> bool:
+        return bool(state[min(edits, self.most)] & self.end)
 
 
 @dataclass
@@ -90,29 +90,49 @@ class Node:
     children: dict[str, Node] = field(default_factory=dict)
     word: float = 0.0
     stem: float = 0.0
+    edits: int = 0
+
+
+def misspelt(word: str) -> int:
+    """Edits in which a misspelling of a word may differ from it; two letters that changed places always count as one."""
+    return 0 if len(word) < 4 else 1 if len(word) < 6 else 2
+
+
+def shortened(text: str, edits: int) -> set[str]:
+    """``text`` and what is left of it without up to ``edits`` letters."""
+    out = last = {text}
+    for _ in range(edits):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
 
 
 class Lexicon:
-    """Words ("w:...") and stems ("s:...") in a trie, with their log odds. Misspellings are looked for among words only."""
+    """Words ("w:..."), stems ("s:...") and words that a stem covers ("n:...") in a trie, with their log odds. Misspellings are
+    looked for among words of both kinds: within ``edits`` of a word, or with two neighbouring letters swapped; without
+    ``edits``, one edit between words and tokens of five letters or more."""
 
-    def __init__(self, terms: Iterable[tuple[str, float]]):
+    def __init__(self, terms: Iterable[tuple[str, float]], edits: Callable[[str], int] | None = None):
         self.root, self.near_root = Node(), Node()
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        self.swaps, self.least = edits is not None, 0 if edits else 5
+        edits = edits or (lambda word: int(len(word) >= 5))
+        #: Words without up to their edits in letters: a token within these shares one with the word.
+        self.shortened: set[str] = set()
+        self.near_words: dict[str, float] = {}
+        self.most = self.longest = 0
         for term, weight in terms:
             kind, text = term[0], term[2:]
-            node = self._put(self.root, text)
             if kind == "s":
-                node.stem = weight
+                self._put(self.root, text).stem = weight
                 continue
-            node.word = weight
-            if len(text) >= 5:
-                self._put(self.near_root, text).word = weight
-                # of two halves, one is untouched by a single edit
-                self.heads.add(text[: len(text) // 2])
-                self.tails.add(text[len(text) // 2 :])
-        self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails})
+            if kind == "w":
+                self._put(self.root, text).word = weight
+            if most := edits(text):
+                node = self._put(self.near_root, text)
+                node.word, node.edits = weight, most
+                self.near_words[text] = weight
+                self.shortened |= shortened(text, most)
+                self.most, self.longest = max(self.most, most), max(self.longest, len(text) + most)
 
     @staticmethod
     def _put(node: Node, text: str) -> Node:
@@ -120,10 +140,6 @@ class Lexicon:
             node = node.children.setdefault(char, Node())
         return node
 
-    @staticmethod
-    def allowed(token: str) -> int:
-        return 1 if len(token) >= 5 else 0
-
     def kind(self, token: str) -> tuple[int, float]:
         """(1, weight): in the lexicon; (2, weight): a misspelling of a term; (0, 0): neither."""
         node, best = self.root, 0.0
@@ -136,19 +152,22 @@ class Lexicon:
             best = max(best, node.word)
         if best:
             return 1, best
-        most = self.allowed(token)
-        if most and (any(token[:n] in self.heads for n in self.head_sizes) or any(token[-n:] in self.tails for n in self.tail_sizes)):
-            weight = self._near(token, most)
+        if self.least <= len(token) <= self.longest and not self.shortened.isdisjoint(shortened(token, self.most)):
+            weight = self._near(token)
             return (2, weight) if weight else (0, 0.0)
         return 0, 0.0
 
-    def _near(self, token: str, most: int) -> float:
-        """Weight of the best word of five letters or more within ``most`` edits."""
-        auto, best = Automaton(token, most), 0.0
+    def _near(self, token: str) -> float:
+        """Weight of the best word that ``token`` may be a misspelling of."""
+        best = 0.0
+        if self.swaps:
+            swapped = (token[:i] + token[i + 1] + token[i] + token[i + 2 :] for i in range(len(token) - 1))
+            best = max((self.near_words.get(x, 0.0) for x in swapped), default=0.0)
+        auto = Automaton(token, self.most)
         stack = [(self.near_root, auto.start())]
         while stack:
             node, state = stack.pop()
-            if node.word and auto.accepts(state):
+            if node.word and auto.accepts(state, node.edits):
                 best = max(best, node.word)
             for char, child in node.children.items():
                 after = auto.step(state, char)
@@ -161,7 +180,7 @@ class Scorer:
     """Features of texts under a lexicon; keeps the kind of each chunk it has met."""
 
     def __init__(self, terms: Iterable[tuple[str, float]], cache: int = 200_000):
-        self.lexicon = Lexicon(terms)
+        self.lexicon = Lexicon(terms, misspelt)
         self.cache = cache
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[int, float]] = {}
@@ -285,7 +304,8 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_i
 
 
 def _chosen(toxic_in: dict[str, int], other: dict[str, int], bad: int, good: int) -> tuple[tuple[str, float], ...]:
-    """Terms of high lift and precision with their log odds, the most telling first; none that a chosen stem already covers."""
+    """Terms of high lift and precision with their log odds, the most telling first; words that a chosen stem already covers
+    only for their misspellings, other terms that it covers not at all."""
     ranked = []
     for term, n in toxic_in.items():
         rest = other.get(term, 0)
@@ -297,7 +317,8 @@ def _chosen(toxic_in: dict[str, int], other: dict[str, int], bad: int, good: int
         text = term[2:]
         if len(chosen) < TERMS and not any(f"s:{text[:k]}" in chosen for k in STEMS) and not (term[0] == "s" and any(c.startswith(f"w:{text}") and toxic_in[c] >= toxic_in[term] for c in chosen)):
             chosen[term] = odds
-    return tuple(chosen.items())
+    covered = [(f"n:{term[2:]}", odds) for *_, term, odds in sorted(ranked) if term[0] == "w" and term not in chosen and any(f"s:{term[2 : 2 + k]}" in chosen for k in STEMS)]
+    return (*chosen.items(), *covered)
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:

@@ -63,3 +63,27 @@ def test_rare_terms_are_learned_but_not_from_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     terms = {t for t, _ in toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True)).terms}
     assert {"w:moron", "w:gnorf"} <= terms and not any("zib" in t for t in terms)
+
+
+def test_deletions_swaps_and_words_of_stems():
+    scorer = toxicity.Scorer([("w:idiot", 1.0), ("w:trash", 1.0), ("w:moron", 1.0), ("w:scum", 1.0), ("w:stupid", 1.0), ("s:lose", 1.0), ("n:losers", 1.0)])
+    for token in ("idot", "trsh", "mron", "scm", "skum", "scumm", "csum", "idoit", "stupdi", "stpd", "stuupiid", "lsoers", "oosers", "kosers"):
+        assert scorer.lexicon.kind(token)[0] == 2, token
+    for token in ("idea", "sum1", "crash2", "tidy", "the", "students", "roses7"):
+        assert scorer.lexicon.kind(token)[0] == 0, token
+
+
+def test_misspellings_like_edit_distance():
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 9))) for _ in range(12)}
+    lexicon = toxicity.Lexicon([(f"w:{w}", 1.0) for w in words], toxicity.misspelt)
+    for _ in range(3000):
+        token = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 11)))
+        swapped = {token[:i] + token[i + 1] + token[i] + token[i + 2 :] for i in range(len(token) - 1)}
+        near = any((most := toxicity.misspelt(w)) and (distance(token, w) <= most or w in swapped) for w in words)
+        assert lexicon.kind(token)[0] == (1 if token in words else 2 if near else 0)
+
+
+def test_words_of_a_stem_are_kept_for_misspellings():
+    counts = {"s:lose": 40, "w:loser": 20, "w:losers": 20}
+    assert {t for t, _ in toxicity._chosen(counts, {}, 100, 1000)} == {"s:lose", "n:loser", "n:losers"}
