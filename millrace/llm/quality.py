@@ -5,11 +5,12 @@ whole corpus (integer sums, so the references do not depend on the order of rows
 limits widen as 1 / sqrt(words), as the distance of a small sample from its own source does; documents under the
 minimum lengths are judged by the base rules alone.
 
-Two passes over the text: one sums the references (at most one row for each language that has a word list, and one for
-all others), the other judges each row beside them. Nothing but those few rows is shuffled or broadcast.
+Two passes over the text: one sums the references (one row for each language, and for languages without a word list one for
+each script without case as well), the other judges each row beside them. Nothing but those few rows is shuffled or broadcast.
 
-Defined results: a null or empty text has no words and fails the base rule; a language without a word list, or null, is
-compared by character classes with all such documents; repeated rows are judged alike; extra columns pass through.
+Defined results: a null or empty text has no words and fails the base rule; a language without a word list is compared by
+character classes with the documents of the same language and script, a null one with those of null; repeated rows are
+judged alike; extra columns pass through.
 Windows of three words are compared by a chained 64-bit hash of the words.
 """
 
@@ -36,7 +37,10 @@ PLAIN = rf"[\p{{Ll}}{SPACE}]+"
 
 MIN_WORDS = 50
 MIN_CHARS = 200
-#: Share of lower-case letters in the words of a document that counts for a reference.
+#: Scripts without case, and all their letters and marks.
+SCRIPTS = ["Arabic", "Hebrew", "Devanagari", "Bengali", "Tamil", "Thai", "Han", "Hiragana", "Katakana", "Hangul"]
+CASELESS = r"[\p{Lo}\p{M}]"
+#: Share of lower-case letters, or of letters without case, in the words of a document that counts for a reference.
 MIN_LETTERS = 0.85
 #: Limits of the two distances: the floor, and what 1 / sqrt(words) is multiplied by.
 CLASS_FLOOR, CLASS_SPREAD = 0.16, 1.45
@@ -52,13 +56,21 @@ def _language(lang: Column) -> Column:
     return F.when(lang.isin(*COMMON), lang).otherwise(F.lit("other"))
 
 
+def _script(marked: Column, caseless: Column) -> Column:
+    """The script of most of the letters without case."""
+    found = F.lit("caseless")
+    for name in reversed(SCRIPTS):
+        found = F.when(2 * F.regexp_count(marked, F.lit(rf"[\p{{Is{name}}}&&[\p{{Lo}}\p{{M}}]]")) > caseless, name).otherwise(found)
+    return found
+
+
 def _among(words: list[str]):
     written = [x for w in words for x in dict.fromkeys((w, w.capitalize(), w.upper()))]
     return lambda w: w.isin(*written)
 
 
 def _histograms(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """``df`` with _words, _language, _classes and _common (counts as array<bigint>)."""
+    """``df`` with _words, _language, _group (whose reference it has), _letters, _classes and _common (counts as array<bigint>)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns({"_language": _language(F.col(lang)), "_words": _words(whole), "_marked": F.regexp_replace(whole, PLAIN, "")})
     listed = F.lit(None)
@@ -70,30 +82,37 @@ def _histograms(df: DataFrame, text: str, lang: str) -> DataFrame:
     df = df.withColumns({"_list": listed, "_known": known})
     counts = {k: F.regexp_count(F.col("_marked"), F.lit(p)).cast("long") for k, p in CLASSES.items()}
     df = df.withColumns({"_chars": F.length(whole).cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "_marks": F.length("_marked").cast("long"), **{f"_{k}": c for k, c in counts.items()}})
+    # cased texts of a listed language need no second count
+    caseless = F.when(F.col("_language") == "other", F.regexp_count("_marked", F.lit(CASELESS)).cast("long")).otherwise(F.lit(0).cast("long"))
+    df = df.withColumns({"_lower": F.col("word_chars") - F.col("_marks"), "_caseless": caseless})
+    without = F.col("_caseless") > F.col("_lower") + F.col("_upper")
+    own = F.struct(F.when(F.col("_language") == "other", F.col(lang)).alias("lang"), F.when(without, _script(F.col("_marked"), F.col("_caseless"))).alias("script"))
+    group = F.when(F.col("_language") == "other", F.to_json(own)).otherwise(F.col("_language"))
+    df = df.withColumns({"_group": group, "_letters": F.when(without, F.col("_caseless")).otherwise(F.col("_lower"))})
     rest = F.col("_marks")
     for k in counts:
         rest = rest - F.col(f"_{k}")
     common = F.transform("_list", lambda k: F.size(F.filter("_known", lambda w: w == k)).cast("long"))
     return df.withColumns(
         {
-            "_classes": F.array(F.col("word_chars") - F.col("_marks"), F.col("_chars") - F.col("word_chars"), *[F.col(f"_{k}") for k in counts], rest),
+            "_classes": F.array(F.col("_lower"), F.col("_chars") - F.col("word_chars"), *[F.col(f"_{k}") for k in counts], rest),
             "_common": F.when(F.col("_list").isNotNull(), F.concat(common, F.array((F.size("_words") - F.size("_known")).cast("long")))).otherwise(F.array(F.size("_words").cast("long"))),
         }
     )
 
 
 def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(_language, _ref_classes, _ref_common): summed counts of all documents of MIN_WORDS words or more, MIN_LETTERS of whose
-    characters in words are lower-case letters; a language without such documents has no reference and isn't judged."""
+    """(_group, _ref_classes, _ref_common): summed counts of all documents of MIN_WORDS words or more, MIN_LETTERS of whose
+    characters in words are lower-case letters, or letters of a script without case; a group without such documents has no reference and isn't judged."""
     marked = _histograms(df.select(F.col(text).alias("text"), F.col(lang).alias("lang")), "text", "lang")
     # not a filter, which would be pushed down and derive the words a second time
-    counted = (F.size("_words") >= MIN_WORDS) & (F.get("_classes", F.lit(0)) >= F.lit(MIN_LETTERS) * F.col("word_chars"))
-    marked = marked.select("_language", F.when(counted, F.col("_classes")).alias("_classes"), F.when(counted, F.col("_common")).alias("_common"))
+    counted = (F.size("_words") >= MIN_WORDS) & (F.col("_letters") >= F.lit(MIN_LETTERS) * F.col("word_chars"))
+    marked = marked.select("_group", F.when(counted, F.col("_classes")).alias("_classes"), F.when(counted, F.col("_common")).alias("_common"))
     sums = {f"c{i}": F.sum(F.get("_classes", F.lit(i))) for i in range(len(CLASSES) + 3)}
     longest = 1 + max(map(len, COMMON.values()))
     sums |= {f"w{i}": F.sum(F.get("_common", F.lit(i))) for i in range(longest)}
-    found = marked.groupBy("_language").agg(*[c.alias(k) for k, c in sums.items()])
-    return found.select("_language", F.array(*[f"c{i}" for i in range(len(CLASSES) + 3)]).alias("_ref_classes"), F.array_compact(F.array(*[f"w{i}" for i in range(longest)])).alias("_ref_common"))
+    found = marked.groupBy("_group").agg(*[c.alias(k) for k, c in sums.items()])
+    return found.select("_group", F.array(*[f"c{i}" for i in range(len(CLASSES) + 3)]).alias("_ref_classes"), F.array_compact(F.array(*[f"w{i}" for i in range(longest)])).alias("_ref_common"))
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -132,7 +151,7 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     )
-    out = out.join(F.broadcast(references(df, text, lang)), "_language", "left")
+    out = out.join(F.broadcast(references(df, text, lang)), "_group", "left")
     out = out.withColumns({"class_distance": distance(F.col("_classes"), F.col("_ref_classes")), "word_distance": distance(F.col("_common"), F.col("_ref_common"))})
     n = F.greatest(F.col("n_words"), F.lit(1))
     over = lambda d, floor, spread: F.coalesce(F.col(d) > F.greatest(F.lit(floor), F.lit(spread) / F.sqrt(n)), F.lit(False))

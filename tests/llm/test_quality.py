@@ -1,6 +1,7 @@
 """Quality rules against brute force; the base columns in full, the verdict by labels."""
 
 import collections
+import random
 import re
 
 from millrace.llm import quality, queries
@@ -53,3 +54,16 @@ def test_edges(spark):
     assert quality.judged(df.limit(0)).count() == 0
     # a filter on a verdict ends, and gives what the column says
     assert out.filter("kept").count() == sum(r["kept"] for r in out.collect())
+
+
+def test_languages_without_case_beside_cased_ones(spark):
+    rng = random.Random(6)
+    italian = " ".join("".join(rng.choice("abcdeilmnoprstuv") for _ in range(5)) for _ in range(120))
+    made = {"it": italian}
+    for lang, first in (("ar", 0x0628), ("hi", 0x0915), ("he", 0x05D0), (None, 0x0E01)):
+        made[lang] = " ".join("".join(chr(first + rng.randrange(17)) for _ in range(5)) for _ in range(120))
+    rows = [(n, text, lang) for n, (lang, text) in enumerate(made.items()) for _ in range(3)] + [(9, "#|$ %& " * 60 + italian[:200], "it")]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["class_distance"] is not None for r in got)
+    assert all(r["kept"] and r["class_distance"] < 0.01 for r in got if r["doc_id"] < 9)
+    assert not any(r["kept"] for r in got if r["doc_id"] == 9)
