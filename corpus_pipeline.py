@@ -1,9 +1,9 @@
 """The corpus pipeline: stages over documents, each one's rows written as Parquet and read again by the next.
 
-toxicity and quality drop the documents they reject, near_dedup keeps the smallest id of each group of near duplicates,
+toxicity and quality drop the documents they reject, near_dedup keeps one row of each group of near duplicates, of its smallest id,
 decontaminate drops documents that hold a passage of the benchmark, and bpe encodes what is left. All stages but the
-last return the columns of documents. A document without an id is never dropped as a near duplicate of another; rows
-that repeat a document, id and text, are one after near_dedup.
+last return the columns of documents. Rows without an id are never dropped as near duplicates of another;
+rows of one id with different texts stand for themselves.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest id."""
-    found = simhash.near_duplicates(docs)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    if found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    """One row of each group of near duplicates: one of the smallest id in it; and all rows without an id."""
+    named = docs.filter("doc_id IS NOT NULL")
+    marked = named.withColumn("_fp", simhash.fingerprints(F.col("text")))
+    roots = simhash.near_duplicates(docs).select(F.col("fp").alias("_fp"), "component").distinct()
+    least = F.struct("doc_id", F.xxhash64("text"), F.struct(*docs.columns))
+    first = marked.join(roots, "_fp").groupBy("component").agg(F.min(least).alias("x"))
+    return first.select("x.col3.*").unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -230,14 +230,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp (signed 64 bits), component_id (smallest doc_id reachable)."""
+    """One row per document: doc_id, fp (signed 64 bits), component_id (smallest doc_id reachable), component (a fingerprint of it)."""
     marked = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle).alias("fp")))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     found = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "component")
 
 
 def hex_digits(fp: Column) -> Column:

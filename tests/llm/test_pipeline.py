@@ -34,3 +34,12 @@ def test_stages_keep_columns_and_edges(spark):
     kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL).collect()
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 1, 4]
     assert dict(corpus_pipeline.STAGES)["bpe"](spark, docs, SMALL).count() == 6
+
+
+def test_near_dedup_keeps_a_row_of_each_component(spark):
+    """An id with two texts, one of them that of a smaller id, and one with two texts of its own."""
+    first, second, third, fourth = (" ".join(f"{w}{i * i}" for i in range(60)) for w in ("ab", "kq", "xz", "mo"))
+    rows = [(1, first), (2, first), (2, second), (3, third), (3, fourth), (3, fourth)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, first), (2, second), (3, third), (3, fourth)])
