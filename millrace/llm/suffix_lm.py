@@ -1,16 +1,23 @@
 """Language model scores by a probabilistic suffix tree over tokens.
 
-A symbol is a token: one of the training tokens, or the unknown. The tree's nodes are contexts of 0 to DEPTH preceding
-tokens, the latest first. A context's next-symbol counts are kept where the pair has a share of SHARE or more of all
-tokens, which bounds the tree by DEPTH / SHARE pairs whatever the corpus; a context is retained if these counts diverge
-from its parent's distribution by enough (a likelihood-ratio test). Distributions are smoothed by absolute discount, what
-is taken off goes to the parent; the root discounts single counts and gives that to the unknown. A token is scored in the
-longest retained suffix of what precedes it.
-
-Words are counted over all training documents (partial counts in each task, then one shuffle). Runs of tokens are counted
-level by level: those one token longer than the frequent runs found before, each over all of the training text, so that
-what is frequent does not depend on how the text is dealt. SHARE bounds how many each level finds. Then documents are scored: words of a share of HEAVY or more (at most 1 / HEAVY of them) are looked
-up in the worker, other words meet their counts in a join, as rows of a word with the documents that hold it.
+The tree's nodes are contexts of up to DEPTH preceding tokens. A context is retained if some token follows it LEAST times
+or more in the training texts and diverges there from its estimate after the next shorter context (a log-likelihood
+ratio of GAIN or more); the suffixes of a retained context are retained with it. A token is scored in the longest
+retained suffix of what precedes it: counts after a context are smoothed by MASS[k] tokens' worth of the distribution
+after its own suffix. After contexts of two tokens or more, tokens whose pair with the last one occurs once in all texts
+aren't counted, and what they have goes to the shorter context too; so every distribution sums to 1. The root discounts
+counts and gives what it takes to one unknown symbol. Nothing is cut by share or rank: the tree holds whatever the
+training texts make it hold.
+
+The tree is never in one place. Documents become chunks of some million tokens: numbers into the chunk's own sorted
+list of word hashes, stored once in buckets by chunk. Three exchanges follow. In each, a chunk sends its distinct runs
+of tokens (64-bit hashes, sorted, once for each chunk however often they occur) with what it knows of them, in slices
+by range of the hash; the task of a range adds up what all chunks sent and answers each in its own order. The first
+gives the counts of words and pairs, the second those of longer runs of pairs that recur, the third which contexts are
+retained and how often a lone pair follows them. Then each chunk has all it needs for its scores.
+Counts are exact and global, so scores don't depend on how the texts are dealt. A run that every text holds is still one
+row of each chunk, and ranges of hashes are even, so no key is hot; PART bounds what a range's task holds, CHUNK (and the
+longest text) what a chunk's does. Two different runs would have to share 64 bits to be taken for one.
 
 Defined results: a null or empty text is one end mark; a null doc_id is not held out; a repeated row is scored by itself
 and trains by itself; without training documents all counts are 0 and every token is the unknown, of probability 1; extra
@@ -19,405 +26,391 @@ columns of the input are not read.
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, bucket_of, byte_slices, stored
-from millrace.llm.vocab import NONE, PairTable
+from millrace.llm.common import bounded_batches, bucket_of, byte_slices, parallelism, scratch, stored
 
+#: Longest context, in tokens.
 DEPTH = 3
-SHARE = 2e-6
-HEAVY = 4e-6
-DISCOUNT = 0.75
-#: A run must occur so often at least, however small the training text.
-LEAST = 2
-#: Log-likelihood that a context must gain over its parent: so much, and so much for each next token it keeps.
-GAIN, GAIN_EACH = 4.0, 0.5
+#: Tokens of the shorter context's distribution that smooth counts after a context of 1, 2 and 3 tokens.
+MASS = (300.0, 30.0, 8.0)
+#: A token must follow a context so often, and with such a log-likelihood ratio, to have the context retained.
+LEAST, GAIN = 2, 4.0
 #: The end of a text, as a token; words hold no space.
 END = b" "
-#: Words that a task counts, tokens it looks for runs in, and links it gathers, before it passes them on.
-FLUSH_WORDS, FLUSH_TOKENS, FLUSH_LINKS = 300_000, 2_000_000, 1_000_000
-#: Words that a task numbers before it passes its links on and starts anew.
-CACHE = 250_000
+#: Tokens of a chunk, beyond which it takes no further text.
+CHUNK = 3_000_000
+#: Runs that a range of hashes is meant to hold of all chunks together.
+PART = 1_000_000
+#: Most buckets of the stored chunks.
+BUCKETS = 20_000
+_CODEC = "zstd"
+#: Bits below a context's flags, for a count.
+_FLAG = np.uint64(40)
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over a DataFrame of one column text."""
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, of which the empty ones cost nothing."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), _CODEC, asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type = np.uint64) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = pa.decompress(data, n * width, _CODEC, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(width, n).T).reshape(-1).view(kind)
+
+
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a run and the word after it."""
+    x = (before ^ (before >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+
+
+def edges(parts: int) -> np.ndarray:
+    """First hash of each of ``parts`` even ranges."""
+    return np.array([(k << 64) // parts for k in range(parts)], np.uint64)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and each key's place among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]] if len(keys) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], place
+
+
+def totals(place: np.ndarray, n: int, which: np.ndarray) -> np.ndarray:
+    """How often each of n keys stands at the places that ``which`` marks."""
+    return np.bincount(place[which], minlength=n).astype(np.uint64)
+
+
+class Chunk:
+    """Tokens of some texts one after another, as places in a sorted list of word hashes, with what is known of their runs.
+
+    Arrays over tokens tell of the run that ends there: ``place[k]`` is its place in ``keys[k]``, -1 where it isn't asked
+    for, and ``n[k]`` how often runs of k tokens occur in training texts.
+    """
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, held: np.ndarray, words: np.ndarray):
+        self.lengths = lengths
+        self.starts = np.cumsum(lengths) - lengths
+        self.room = np.arange(len(ids)) - np.repeat(self.starts, lengths)
+        self.train = np.repeat(~held, lengths)
+        hashes = words[ids]
+        self.keys, self.place = {1: words}, {1: ids}
+        self._run = {1: hashes}
+        for k in range(2, DEPTH + 2):
+            run = np.zeros(len(ids), np.uint64)
+            run[k - 1 :] = mixed(self._run[k - 1][:-1], hashes[1:])[k - 2 :] if len(ids) >= k else run[k - 1 :]
+            self._run[k] = run
+        self._ask(2, self.room >= 1)
+        self.n: dict[int, np.ndarray] = {}
+
+    def _ask(self, k: int, which: np.ndarray) -> None:
+        at = np.flatnonzero(which)
+        self.keys[k], found = distinct(self._run[k][at])
+        self.place[k] = np.full(len(which), -1, np.int32)
+        self.place[k][at] = found
+
+    def own(self, k: int) -> np.ndarray:
+        """How often each asked run of k tokens ends in the chunk's training texts."""
+        return totals(self.place[k], len(self.keys[k]), self.train & (self.place[k] >= 0))
+
+    def learn_pairs(self, answers: dict[int, np.ndarray]) -> None:
+        """Take the counts of words and pairs, and ask for longer runs all of whose pairs recur."""
+        for k in (1, 2):
+            self.n[k] = _at(answers[k], self.place[k])
+        recurs = self.n[2] >= 2
+        every = recurs
+        for k in range(3, DEPTH + 2):
+            every = np.r_[False, every[:-1]] & recurs & (self.room >= k - 1)
+            self._ask(k, every)
+            self.n[k] = np.zeros(len(every), np.int64)
+
+    def learn_runs(self, answers: dict[int, np.ndarray]) -> None:
+        for k in range(3, DEPTH + 2):
+            asked = self.place[k] >= 0
+            self.n[k][asked] = _at(answers[k], self.place[k][asked])
+
+    def _after(self, k: int, total: int) -> tuple[np.ndarray, ...]:
+        """Places with a context of k tokens; counts of it with the token there, of it, and of both without its first token."""
+        at = np.flatnonzero(self.room >= k)
+        shorter = self.n[k - 1][at - 1] if k > 1 else np.full(len(at), total)
+        return at, self.n[k + 1][at], self.n[k][at - 1], self.n[k][at], shorter
+
+    def contexts(self) -> dict[int, np.ndarray]:
+        """For each k the places in keys[k] of contexts that may be retained."""
+        out = {}
+        for k in range(1, DEPTH + 1):
+            often = np.zeros(len(self.keys[k]), bool)
+            often[self.place[k][(self.n[k] >= LEAST) & (self.place[k] >= 0)]] = True
+            out[k] = np.flatnonzero(often)
+        return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-        for batch in batches:
-            for part in byte_slices(batch.column(0)):
-                for text in part:
-                    found.update(text.lower().split())
-                found[END] += len(part)
-                if len(found) >= FLUSH_WORDS:
-                    yield from _counted(found)
-                    found = Counter()
-        yield from _counted(found)
-
-    bounded_batches(texts.sparkSession)
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _counted(found: Counter[bytes]) -> Iterator[pa.RecordBatch]:
-    words, counts = list(found), list(found.values())
-    for at in range(0, len(words), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], ["word", "n"])
-
-
-class Runs:
-    """Token ids of texts, one after another; ``other`` stands for every token that isn't heavy."""
-
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, other: int):
-        self.ids, self.other = ids, other
-        self.room = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-
-    def step(self, which: np.ndarray, node: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places with a heavy token ``level`` before, their nodes, and that token."""
-        keep = self.room[which] >= level
-        which, node = which[keep], node[keep]
-        before = self.ids[which - level]
-        keep = before != self.other
-        return which[keep], node[keep], before[keep]
-
-
-def extensions(runs: Runs, tables: list[PairTable]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the runs one token longer than those of the last table (heavy tokens themselves without tables): keys of
-    (place in that table) << 20 | token before, and how often each occurs here."""
-    which = np.flatnonzero(runs.ids != runs.other)
-    node = runs.ids[which]
-    for level, table in enumerate(tables, 1):
-        which, node, before = runs.step(which, node, level)
-        node = table.ranks(node, before)
-        keep = node < NONE
-        which, node = which[keep], node[keep]
-    _, node, before = runs.step(which, node, len(tables) + 1)
-    return np.unique(node.astype(np.int64) << 20 | before, return_counts=True)
-
-
-def lengthened(heads: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, PairTable]:
-    """Rows (next, latest, ..., earliest) of the runs with these keys, and the table that finds them by place and token."""
-    place, before = keys >> 20, keys & 0xFFFFF
-    return np.column_stack([heads[place], before]), PairTable(place, before, np.arange(len(keys)))
-
-
-def frequent_runs(runs: Runs, share: float = SHARE, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Runs of 2 to depth + 1 heavy tokens whose share here is ``share`` or more, and that occur LEAST times: for each length the
-    rows (next, latest, ..., earliest) and their counts."""
-    return grown(lambda tables: extensions(runs, tables), runs.other, max(LEAST, share * len(runs.ids)), depth)
-
-
-def grown(count: Callable[[list[PairTable]], tuple[np.ndarray, np.ndarray]], heavy: int, least: float, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Runs that occur ``least`` times, with their counts, level by level; ``count`` gives extensions() over a whole text."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    tables: list[PairTable] = []
-    heads = np.arange(heavy, dtype=np.int64)[:, None]
-    for _ in range(depth):
-        keys, n = count(tables)
-        keys, n = keys[n >= least], n[n >= least]
-        order = np.argsort(keys)
-        heads, table = lengthened(heads, keys[order])
-        tables.append(table)
-        out.append((heads, n[order]))
-        if not len(keys):
-            break
-    return out
+    def diverging(self, total: int) -> dict[int, np.ndarray]:
+        """For each k, by place in keys[k], whether texts here show that the context or one that it ends is to be retained."""
+        out: dict[int, np.ndarray] = {}
+        longer = np.zeros(len(self.room), bool)
+        for k in range(DEPTH, 0, -1):
+            at, pair, seen, less, whole = self._after(k, total)
+            some = pair >= LEAST
+            at, pair, seen, less, whole = at[some], pair[some], seen[some], less[some], whole[some]
+            ratio = np.log(pair.astype(float) * whole / (seen.astype(float) * less))
+            longer[at[pair * np.abs(ratio) >= GAIN] - 1] = True
+            out[k] = np.zeros(len(self.keys[k]), bool)
+            out[k][self.place[k][longer]] = True
+        return out
 
+    def lone(self, k: int) -> np.ndarray:
+        """By place in keys[k], how often a pair that occurs once follows the context in the training texts here."""
+        at = np.flatnonzero((self.room >= k) & (self.n[2] == 1) & self.train) - 1
+        return totals(self.place[k][at], len(self.keys[k]), self.place[k][at] >= 0) if k > 1 else np.zeros(len(self.keys[k]), np.uint64)
 
-class Contexts:
-    """Nodes of a tree of contexts (latest token first), node 0 the empty one, and pairs (node, next token)."""
-
-    def __init__(self, runs: list[tuple[int, ...]]):
-        self.runs = sorted(set(runs), key=lambda r: (len(r), r))
-        paths = {r[1:k] for r in self.runs for k in range(2, len(r) + 1)}
-        self.paths = [(), *sorted(paths, key=lambda p: (len(p), p))]
-        ids = {p: i for i, p in enumerate(self.paths)}
-        self.parent = np.array([0, *(ids[p[:-1]] for p in self.paths[1:])], np.int64)
-        self.level = np.array([len(p) for p in self.paths])
-        self.child = PairTable(self.parent[1:], np.array([p[-1] for p in self.paths[1:]], np.int64), np.arange(1, len(self.paths)))
-        self.node = np.array([ids[r[1:]] for r in self.runs], np.int64)
-        self.next = np.array([r[0] for r in self.runs], np.int64)
-        self.pair = PairTable(self.node, self.next, np.arange(len(self.runs)))
-
-    def walk(self, runs: Runs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places, their nodes) of each level that is reached, from one token of context on."""
-        which, node = np.arange(len(runs.ids)), np.zeros(len(runs.ids), np.int64)
-        for level in range(1, int(self.level.max()) + 1):
-            which, node, before = runs.step(which, node, level)
-            rank = self.child.ranks(node, before)
-            keep = rank < NONE
-            which, node = which[keep], self.child.merged[rank[keep]]
-            yield which, node
-
-    def counts(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-        """How often each node stands before a token, and each pair occurs."""
-        seen, pairs = np.zeros(len(self.paths), np.int64), np.zeros(len(self.runs), np.int64)
-        for which, node in self.walk(runs):
-            seen += np.bincount(node, minlength=len(seen))
-            rank = self.pair.ranks(node, runs.ids[which])
-            pairs += np.bincount(rank[rank < NONE], minlength=len(pairs))
-        return seen, pairs
-
-
-@dataclass
-class Tree:
-    """A retained tree over heavy tokens: log10 probabilities of (node, next token), and of falling back to the parent."""
-
-    runs: list[tuple[int, ...]]
-    logp: np.ndarray
-    fallback: np.ndarray
-    root: np.ndarray
-
-    def open(self) -> Tree:
-        """Ready to score; done once in each worker."""
-        self.contexts = Contexts(self.runs)
-        return self
-
-    def scores(self, runs: Runs) -> np.ndarray:
-        """log10 probability of each token; of an ``other`` one only what the contexts contribute, without the root's part."""
-        node = np.zeros(len(runs.ids), np.int64)
-        for which, at in self.contexts.walk(runs):
-            node[which] = at
-        out = np.zeros(len(runs.ids))
-        which = np.flatnonzero(node)
-        while len(which):
-            rank = self.contexts.pair.ranks(node[which], runs.ids[which])
-            hit = rank < NONE
-            out[which[hit]] += self.logp[rank[hit]]
-            node[which[hit]] = -1
-            which = which[~hit]
-            out[which] += self.fallback[node[which]]
-            node[which] = self.contexts.parent[node[which]]
-            which = which[node[which] > 0]
-        last = (node == 0) & (runs.ids != runs.other)
-        out[last] += self.root[runs.ids[last]]
-        return out
+    def scores(self, kept: dict[int, np.ndarray], lone: dict[int, np.ndarray], total: int, words: int, discount: float) -> np.ndarray:
+        """log10 probability of each token; by place in keys[k], ``kept`` says whether a context is retained and ``lone`` how
+        often a lone pair follows it."""
+        unknown = discount * words / total if total else 1.0
+        p = np.where(self.n[1] > 0, (self.n[1] - discount) / max(total, 1), unknown)
+        for k in range(1, DEPTH + 1):
+            at, pair, seen, _, _ = self._after(k, total)
+            place = self.place[k][at - 1]
+            good = (place >= 0) & kept[k][place] if len(kept[k]) else np.zeros(len(at), bool)
+            at, pair, seen = at[good], pair[good], seen[good]
+            p[at] = (pair + (MASS[k - 1] + lone[k][place[good]]) * p[at]) / (seen + MASS[k - 1])
+        return np.log10(p)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.starts)
+
+
+def _at(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Values at places, 0 at -1."""
+    return np.r_[values, np.uint64(0)].astype(np.int64)[place]
 
 
-def retained(contexts: Contexts, seen: np.ndarray, pairs: np.ndarray, unigram: np.ndarray, total: int, discount: float, share: float = SHARE) -> Tree:
-    """The tree of candidate contexts with their counts: pairs that are frequent, in contexts that diverge from their parents."""
-    root = (unigram - discount) / max(total, 1)
-    keep = pairs >= share * total
-    node, symbol, n = contexts.node[keep], contexts.next[keep], pairs[keep].astype(float)
-    up_node = contexts.parent[node]
-    up = contexts.pair.ranks(up_node, symbol)
-    top = up_node == 0
-    beyond = np.where(top, unigram[symbol] / max(total, 1), 1.0)
-    deep = np.flatnonzero(~top)
-    beyond[deep] = pairs[up[deep]] / np.maximum(seen[up_node[deep]], 1)
-    size = len(contexts.paths)
-    followers = np.bincount(node, minlength=size)
-    gain = np.bincount(node, n * np.log(n / np.maximum(seen[node], 1) / np.maximum(beyond, 1e-300)), minlength=size)
-    good = (followers > 0) & (gain >= GAIN + GAIN_EACH * followers)
-    for level in range(int(contexts.level.max()), 1, -1):
-        good[contexts.parent[good & (contexts.level == level)]] = True
-    mine = good[node]
-    runs = [(int(x), *contexts.paths[k]) for x, k in zip(symbol[mine].tolist(), node[mine].tolist(), strict=True)]
-    made = Contexts(runs)
-    old = {p: i for i, p in enumerate(contexts.paths)}
-    back = np.array([old[p] for p in made.paths], np.int64)
-    place = contexts.pair.ranks(back[made.node], made.next)
-    count, whole = pairs[place].astype(float), np.maximum(seen[back], 1).astype(float)
-    share_of = np.zeros(len(made.paths))
-    np.add.at(share_of, made.node, count - DISCOUNT)
-    left = np.maximum(1 - share_of / whole, 1e-12)  # what falls to the parent
-    prob = np.zeros(len(made.runs))
-    level = made.level[made.node]
-    for k in range(1, int(level.max(initial=0)) + 1):
-        at = np.flatnonzero(level == k)
-        parent = made.parent[made.node[at]]
-        below = np.ones(len(at))
-        todo, where = np.arange(len(at)), parent.copy()
-        value = np.zeros(len(at))
-        while len(todo):
-            end = where[todo] == 0
-            value[todo[end]] = below[todo[end]] * root[made.next[at[todo[end]]]]
-            todo = todo[~end]
-            rank = made.pair.ranks(where[todo], made.next[at[todo]])
-            hit = rank < NONE
-            value[todo[hit]] = below[todo[hit]] * prob[rank[hit]]
-            todo = todo[~hit]
-            below[todo] *= left[where[todo]]
-            where[todo] = made.parent[where[todo]]
-        prob[at] = (count[at] - DISCOUNT) / whole[made.node[at]] + left[made.node[at]] * value
-    return Tree(made.runs, np.log10(prob), np.log10(left), np.log10(root))
-
-
-def learn(texts: DataFrame, heavy: dict[bytes, int], total: int, discount: float, share: float = SHARE, depth: int = DEPTH) -> Tree:
-    """The tree of a DataFrame of one column text; ``heavy`` has the counts of heavy tokens."""
-    spark = texts.sparkSession
-    words = spark.sparkContext.broadcast(list(heavy))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Runs]:
-        index = {w: i for i, w in enumerate(words.value)}
-        other = len(index)
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(bucket_of(doc_id, 5) == 1, F.lit(False))
+
+
+def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
+    """Chunks of (text, held_out, doc_id): number, packed tokens and words, and their texts' lengths, flags and ids."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = count(TaskContext.get().partitionId() << 33)
+        index: dict[bytes, int] = {}
         ids: list[np.ndarray] = []
         lengths: list[int] = []
+        others: list[pa.RecordBatch] = []
+
+        def made() -> pa.RecordBatch:
+            words = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+            hashes, place = distinct(words)
+            flat = place[np.concatenate(ids)].astype(np.uint32)
+            held = pa.Table.from_batches(others)
+            one = {"chunk": next(number), "tokens": len(flat), "ids": packed(flat), "words": packed(gaps(hashes)), "n_words": len(hashes), "lengths": lengths}
+            arrays = [pa.array([v], t) for v, t in zip(one.values(), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)]
+            offsets = pa.array([0, held.num_rows], pa.int32())
+            arrays += [pa.ListArray.from_arrays(offsets, held.column(c).combine_chunks()) for c in range(2)]
+            return pa.RecordBatch.from_arrays(arrays, [*one, "held", "doc_ids"])
+
         size = 0
         for batch in batches:
+            at = 0
             for part in byte_slices(batch.column(0)):
                 lists = [tokens(t) for t in part]
+                new = list(set().union(*lists).difference(index))
+                index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
                 lengths += map(len, lists)
-                ids.append(np.fromiter((index.get(w, other) for x in lists for w in x), np.int64, sum(map(len, lists))))
+                ids.append(np.fromiter((i for x in lists for i in map(index.__getitem__, x)), np.int32, sum(map(len, lists))))
+                others.append(batch.slice(at, len(part)).select([1, 2]))
+                at += len(part)
                 size += len(ids[-1])
-                if size >= FLUSH_TOKENS:
-                    yield Runs(np.concatenate(ids), np.array(lengths), other)
-                    ids, lengths, size = [], [], 0
-        if ids:
-            yield Runs(np.concatenate(ids), np.array(lengths), other)
-
-    def count(tables: list[PairTable]) -> tuple[np.ndarray, np.ndarray]:
-        shared = spark.sparkContext.broadcast(tables)
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for runs in parts(batches):
-                keys, n = extensions(runs, shared.value)
-                for at in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["key", "n"])
-
-        # summed over all parts before anything is dropped; of each length no more than 1 / share runs are left
-        found = texts.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-        shared.unpersist()
-        return found["key"].to_numpy(), found["n"].to_numpy()
-
-    least = max(LEAST, share * total)
-    levels = grown(count, len(heavy), least, depth)
-    number = {tuple(row): k for rows, n in levels for row, k in zip(rows.tolist(), n.tolist(), strict=True)}
-    contexts = Contexts(list(number))
-    heavy_counts = list(heavy.values())
-    unigram = np.array(heavy_counts, float)
-    # a text's end follows whatever else it holds, so a context stands before a token as often as it occurs; as part of a
-    # frequent run it is one itself
-    seen = np.array([total, *(number[p] if len(p) > 1 else heavy_counts[p[0]] for p in contexts.paths[1:])], np.int64)
-    pairs = np.array([number[r] for r in contexts.runs], np.int64)
-    tree = retained(contexts, seen, pairs, unigram, total, discount, share)
-    words.unpersist()
-    return tree
-
-
-class Scorer:
-    """Sums over documents; keeps the number it has given to each word until it is cleared."""
-
-    def __init__(self, tree: Tree, heavy: dict[bytes, int], cache: int = CACHE):
-        self.tree, self.cache = tree.open(), cache
-        self.heavy = {w: i for i, w in enumerate(heavy)}
-        self.log_count = np.r_[np.log10(np.array(list(heavy.values()), float) + 0.5), 0.0]
-        self.clear()
-
-    def full(self) -> bool:
-        return len(self.words) > self.cache + len(self.heavy)
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = dict(self.heavy)
-        self.words: list[bytes] = list(self.heavy)
-
-    def documents(self, texts: list[bytes]):
-        """(tokens, heavy tokens, base sum, score) of each text over heavy words, and (text, word, n) of the others."""
-        lists = [tokens(t) for t in texts]
-        new = list(set().union(*lists).difference(self.index))
-        self.index.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-        self.words += new
-        lengths = np.array([len(x) for x in lists])
-        ids = np.fromiter((i for x in lists for i in map(self.index.__getitem__, x)), np.int64, int(lengths.sum()))
-        other = len(self.heavy)
-        runs = Runs(np.minimum(ids, other), lengths, other)
-        starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        rare = ids >= other
-        base = np.add.reduceat(self.log_count[runs.ids], starts)
-        known = np.add.reduceat((~rare).astype(np.int64), starts)
-        score = np.add.reduceat(self.tree.scores(runs), starts)
-        doc = np.repeat(np.arange(len(lists)), lengths)[rare]
-        keys, n = np.unique(ids[rare] << 32 | doc, return_counts=True)
-        return lengths, known, base, score, (keys & 0xFFFFFFFF, keys >> 32, n)
+                if size >= chunk:
+                    yield made()
+                    index, ids, lengths, others, size = {}, [], [], [], 0
+        if lengths:
+            yield made()
 
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(build, f"chunk long, tokens long, ids binary, words binary, n_words long, lengths array<long>, held array<boolean>, doc_ids array<{id_type}>")
+
+
+_CHUNK = ["chunk", "ids", "words", "n_words", "lengths", "held"]
+_ASKED = "part long, chunk long, size long, keys binary, n binary"
+
+
+def _opened(batch: pa.RecordBatch, row: int) -> Chunk:
+    get = {name: batch.column(name)[row] for name in _CHUNK}
+    lengths = get["lengths"].values.to_numpy(zero_copy_only=False)
+    words = np.cumsum(unpacked(get["words"].as_py(), get["n_words"].as_py()), dtype=np.uint64)
+    ids = unpacked(get["ids"].as_py(), int(lengths.sum()), np.uint32).astype(np.int32)
+    return Chunk(ids, lengths, get["held"].values.to_numpy(zero_copy_only=False).astype(bool), words)
+
+
+def _asked(chunk: int, kind: int, parts: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A chunk's rows for the ranges of one kind of keys; each range has a row, so that answers line up."""
+    cut = np.r_[np.searchsorted(keys, edges(parts)), len(keys)]
+    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([kind * parts + p for p in range(parts)], pa.int64()),
+            pa.array([chunk] * parts, pa.int64()),
+            pa.array([b - a for a, b in spans], pa.int64()),
+            pa.array([packed(gaps(keys[a:b])) if b > a else b"" for a, b in spans], pa.binary()),
+            pa.array([packed(n[a:b]) if b > a else b"" for a, b in spans], pa.binary()),
+        ],
+        ["part", "chunk", "size", "keys", "n"],
+    )
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(bucket_of(doc_id, 5) == 1, F.lit(False))
 
+def _summed(asked: pa.Table) -> pa.Table:
+    """One range: what all chunks sent of each key added up, and the sums in each chunk's own order. Of words the first row
+    also tells how many there are that occur, once, and twice."""
+    rows = asked.to_pylist()
+    keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["size"]), dtype=np.uint64) for r in rows])
+    n = np.concatenate([unpacked(r["n"], r["size"]) for r in rows])
+    found, place = distinct(keys)
+    whole = np.zeros(len(found), np.uint64)
+    np.add.at(whole, place, n)
+    out, at = [], 0
+    for r in rows:
+        out.append(packed(whole[place[at : at + r["size"]]]) if r["size"] else b"")
+        at += r["size"]
+    stats = [[int((whole > 0).sum()), int((whole == 1).sum()), int((whole == 2).sum()), int(whole.sum())]] + [None] * (len(rows) - 1)
+    return pa.table({"chunk": asked["chunk"], "part": asked["part"], "size": asked["size"], "n": pa.array(out, pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
+
+
+class Exchange:
+    """Stored chunks and answers, in buckets by chunk, so that they meet without a shuffle."""
+
+    def __init__(self, rows: DataFrame, chunk: int):
+        spark = rows.sparkSession
+        self.spark, self.tables = spark, []
+        self.buckets = min(BUCKETS, 2 * max(1, rows.rdd.getNumPartitions()))
+        self.chunks = self._kept(_chunks(rows, chunk))
+        n = self.chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        self.parts = max(min(parallelism(spark), 32), n // PART)
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        name = f"millrace_{uuid.uuid4().hex}"
+        df.write.option("path", scratch(self.spark, "chunks")).option("compression", "zstd").bucketBy(self.buckets, "chunk").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def met(self, answers: list[DataFrame], columns: list[str]) -> DataFrame:
+        out = self.chunks.select(*columns)
+        for k, df in enumerate(answers):
+            out = out.join(df.select("chunk", F.col("rows").alias(f"rows{k}")), "chunk")
+        return out
 
-_MADE = "uid long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, docs array<long>, ns array<int>"
-_NAMES = [x.split(" ")[0] for x in _MADE.split(", ")] + ["doc_id"]
+    def asked(self, answers: list[DataFrame], send: Callable[[Chunk, list[dict[int, np.ndarray]]], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> tuple[DataFrame, tuple[int, int, int, int]]:
+        """The answers, stored, to what ``send`` gives of each chunk: kind of keys, keys and numbers; and for keys of kind 1
+        how many have a sum, one of 1, one of 2, and the sum of all."""
+        parts, given = self.parts, len(answers)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    for kind, keys, n in send(_opened(batch, row), _answers(batch, row, given, parts)):
+                        yield _asked(batch.column("chunk")[row].as_py(), kind, parts, keys, n)
+
+        sent = self.met(answers, _CHUNK).mapInArrow(ask, _ASKED)
+        back = sent.groupBy("part").applyInArrow(_summed, "chunk long, part long, size long, n binary, stats array<long>")
+        listed = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "size", "n", "stats"))).alias("rows"))
+        kept = self._kept(listed)  # a chunk's slices are as large as the chunk
+        one = kept.select(F.explode("rows").alias("r")).filter((F.col("r.part") < 2 * parts) & F.col("r.stats").isNotNull())
+        return kept, tuple(one.agg(*[F.coalesce(F.sum(F.col("r.stats")[k]), F.lit(0)) for k in range(4)]).first())
+
+
+def _answers(batch: pa.RecordBatch, row: int, given: int, parts: int) -> list[dict[int, np.ndarray]]:
+    """By exchange and kind the numbers in the order of the chunk's own keys."""
+    out = []
+    for k in range(given):
+        found: dict[int, list[np.ndarray]] = {}
+        for r in batch.column(f"rows{k}")[row].as_py():
+            found.setdefault(r["part"] // parts, []).append(unpacked(r["n"], r["size"]))
+        out.append({kind: np.concatenate(x) for kind, x in found.items()})
+    return out
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), held_out(F.col(doc_id)).alias("held_out"), F.col(doc_id).alias("doc_id"))
-    counts = stored(word_counts(rows.filter(~F.col("held_out")).select("text")))
-    total, distinct, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    exchange = Exchange(rows, chunk)
+
+    def words_and_pairs(c: Chunk, known: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        yield from ((k, c.keys[k], c.own(k)) for k in (1, 2))
+
+    pairs, (distinct_words, once, twice, total) = exchange.asked([], words_and_pairs)
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    heavy = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= max(1.0, HEAVY * total)).orderBy("word").toLocalIterator()}
-    tree = learn(rows.filter(~F.col("held_out")).select("text"), heavy, total, discount)
-    shared = spark.sparkContext.broadcast((tree, heavy))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def longer(c: Chunk, known: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        c.learn_pairs(known[0])
+        yield from ((k, c.keys[k], c.own(k)) for k in range(3, DEPTH + 2))
+
+    runs, _ = exchange.asked([pairs], longer)
+
+    def contexts(c: Chunk, known: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        c.learn_pairs(known[0])
+        c.learn_runs(known[1])
+        good = c.diverging(total)
+        for k, at in c.contexts().items():
+            yield k, c.keys[k][at], good[k][at].astype(np.uint64) << _FLAG | c.lone(k)[at]
+
+    kept, _ = exchange.asked([pairs, runs], contexts)
+    parts, norm = exchange.parts, float(np.log10(total + 0.5 * (distinct_words + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, heavy = shared.value
-        scorer = Scorer(tree, heavy)
-        uid = TaskContext.get().partitionId() << 33
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            at, id_kind = 0, batch.column(2).type
-            for part in byte_slices(batch.column(0)):
-                lengths, known, base, total_score, (doc, word, n) = scorer.documents(part)
-                m = len(part)
-                mine = batch.slice(at, m)
-                fields = [pa.array(np.arange(uid, uid + m)), mine.column(1), pa.array(lengths), pa.array(known), pa.array(base), pa.array(total_score), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int32())), mine.column(2)]
-                yield pa.RecordBatch.from_arrays(fields, names=_NAMES)
-                held.append((word.astype(np.int32), uid + doc, n.astype(np.int32)))
-                at += m
-                uid += m
-                if scorer.full() or sum(len(x[0]) for x in held) >= FLUSH_LINKS:
-                    yield from _links(held, scorer.words, id_kind)
-                    held = []
-                    scorer.clear()
-        if held:
-            yield from _links(held, scorer.words, id_kind)
-
-    made = stored(rows.mapInArrow(score, f"{_MADE}, doc_id {id_type}"))
-    rare = made.filter(F.col("word").isNotNull()).select("word", "docs", "ns")
-    joined = rare.join(counts, "word", "left").select(F.explode(F.arrays_zip("docs", "ns")).alias("x"), F.coalesce("n", F.lit(0)).alias("c"))
-    unknown = float(np.log10(discount * distinct / total)) if total else 0.0
-    root = F.when(F.col("c") > 0, F.log10(F.col("c") - F.lit(float(discount))) - F.lit(float(np.log10(max(total, 1))))).otherwise(F.lit(unknown))
-    joined = joined.select(F.col("x.docs").alias("uid"), F.col("x.ns").alias("k"), F.log10(F.col("c") + 0.5).alias("base"), (F.col("c") > 0).alias("known"), root.alias("root"))
-    sums = joined.groupBy("uid").agg(F.sum(F.col("k") * F.col("base")).alias("more"), F.sum(F.when(F.col("known"), F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.col("root")).alias("more_score"))
-    whole = made.filter(F.col("word").isNull()).drop("word", "docs", "ns").join(sums, "uid", "left")
-    norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    return whole.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
-    )
-
+            for row in range(batch.num_rows):
+                c, known = _opened(batch, row), _answers(batch, row, 3, parts)
+                c.learn_pairs(known[0])
+                c.learn_runs(known[1])
+                retained, lone = {}, {}
+                for k, at in c.contexts().items():
+                    retained[k], lone[k] = np.zeros(len(c.keys[k]), bool), np.zeros(len(c.keys[k]))
+                    retained[k][at] = known[2][k] >> _FLAG > 0
+                    lone[k][at] = known[2][k] & ((np.uint64(1) << _FLAG) - np.uint64(1))
+                base = c.sums(np.log10(c.n[1] + 0.5)) - c.lengths * norm
+                fields = [
+                    batch.column("doc_ids")[row].values,
+                    batch.column("held")[row].values,
+                    pa.array(c.lengths, pa.int64()),
+                    pa.array(c.sums((c.n[1] > 0).astype(np.int64)), pa.int64()),
+                    pa.array(np.full(len(c.lengths), total), pa.int64()),
+                    pa.array(base),
+                    pa.array(c.sums(c.scores(retained, lone, total, distinct_words, discount))),
+                ]
+                yield pa.RecordBatch.from_arrays(fields, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-def _links(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: list[bytes], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows (word, docs, ns): the documents that hold each word that isn't heavy."""
-    word, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(word, kind="stable")
-    word, doc, n = word[order], doc[order], n[order]
-    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(word)]
-    for at in range(0, len(starts), 20_000):
-        a, b = starts[at : at + 20_000], ends[at : at + 20_000]
-        offsets = pa.array(np.r_[a, b[-1]] - a[0], pa.int32())
-        m = len(a)
-        nulls = [pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[a[0] : b[-1]])) for x in (doc, n)]
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array([words[w] for w in word[a].tolist()], pa.binary()), *lists, pa.nulls(m, id_type)], names=_NAMES)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    made = exchange.met([pairs, runs, kept], [*_CHUNK, "doc_ids"]).mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = stored(made)
+    exchange.close()
+    return out

@@ -28,63 +28,91 @@ def test_query(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) + 0.5 * sum(r["n_tokens"] for r in out)
 
 
-def rows_of(found):
-    return [tuple(row) for rows, _ in found for row in rows.tolist()]
-
-
-def tree_of(texts, share=1e-4):
-    lists = [suffix_lm.tokens(t) for t in texts]
-    counts = collections.Counter(w for x in lists for w in x)
-    words = sorted(counts)
-    index = {w: i for i, w in enumerate(words)}
-    runs = suffix_lm.Runs(np.array([index[w] for x in lists for w in x]), np.array(list(map(len, lists))), len(words))
-    contexts = suffix_lm.Contexts(rows_of(suffix_lm.frequent_runs(runs, share)))
-    seen, pairs = contexts.counts(runs)
-    unigram = np.array([counts[w] for w in words], float)
-    return words, suffix_lm.retained(contexts, seen, pairs, unigram, int(unigram.sum()), 0.5, share), runs, counts
+class BruteTree:
+    """The tree by its definition, in dictionaries."""
+
+    def __init__(self, texts):
+        self.n = collections.Counter()
+        for ws in map(suffix_lm.tokens, texts):
+            for k in range(1, suffix_lm.DEPTH + 2):
+                self.n.update(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+        words = {g: c for g, c in self.n.items() if len(g) == 1}
+        self.total, self.distinct = sum(words.values()), len(words)
+        once, twice = (sum(c == k for c in words.values()) for k in (1, 2))
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+        self.kept = set()
+        for g, c in self.n.items():
+            if len(g) > 1 and c >= suffix_lm.LEAST:
+                whole = self.n[g[1:-1]] if len(g) > 2 else self.total
+                if c * abs(math.log(c * whole / (self.n[g[:-1]] * self.n[g[1:]]))) >= suffix_lm.GAIN:
+                    self.kept.update(g[j:-1] for j in range(len(g) - 1))
+        self.lone = collections.Counter()
+        for g, c in self.n.items():
+            if len(g) > 2 and self.n[g[-2:]] == 1:
+                self.lone[g[:-1]] += c
+
+    def p(self, context, w):
+        while context and context not in self.kept:
+            context = context[1:]
+        if not context:
+            c = self.n[(w,)]
+            return (c - self.discount) / self.total if c else self.discount * self.distinct / self.total if self.total else 1.0
+        mass = suffix_lm.MASS[len(context) - 1]
+        n = self.n[(*context, w)] if len(context) == 1 or self.n[(context[-1], w)] > 1 else 0
+        return (n + (mass + self.lone[context]) * self.p(context[1:], w)) / (self.n[context] + mass)
+
+    def score(self, text):
+        ws = suffix_lm.tokens(text)
+        return sum(math.log10(self.p(tuple(ws[max(0, i - suffix_lm.DEPTH) : i]), w)) for i, w in enumerate(ws))
+
+
+def texts_of(rows):
+    return [(r["text"] or "").encode() for r in rows if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
+
+
+def test_scores_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    tree = BruteTree(texts_of(rows))
+    assert {len(c) for c in tree.kept} == {1, 2, 3}
+    got = suffix_lm.scored(spark.createDataFrame(rows).repartition(5), chunk=5_000).collect()
+    want = {r["doc_id"]: tree.score((r["text"] or "").encode()) for r in rows}
+    assert len(got) == len(rows) and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in got)
+
+
+def test_small_texts_against_brute_force(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice(list("abcde"), rng.integers(0, 12)).tolist())) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tree = BruteTree(texts_of(df.collect()))
+    want = {i: tree.score(t.encode()) for i, t in rows}
+    assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in suffix_lm.scored(df.repartition(3), chunk=100).collect())
 
 
 def test_contexts_are_proper_distributions():
-    """The next tokens' probabilities after each retained context sum to 1, with what the unknown has."""
     texts = [b"a b c d", b"a b c e", b"x a b c d", b"a b d"] * 30 + [b"b a", b"c c c"] * 10
-    words, tree, _, counts = tree_of(texts)
-    tree.open()
-    n = sum(counts.values())
-    assert len(tree.contexts.paths) > 1
-    for path in tree.contexts.paths[1:]:
-        before = list(path[::-1])
-        total = 0.0
-        for k in range(len(words)):
-            runs = suffix_lm.Runs(np.array([*before, k]), np.array([len(before) + 1]), len(words))
-            total += 10 ** tree.scores(runs)[-1]
-        unknown = suffix_lm.Runs(np.array([*before, len(words)]), np.array([len(before) + 1]), len(words))
-        total += 10 ** tree.scores(unknown)[-1] * 0.5 * len(words) / n
-        assert math.isclose(total, 1.0, rel_tol=1e-9)
-
-
-def test_longer_contexts_score_better():
-    texts = [b"k a p", b"m a q"] * 200
-    words, tree, runs, _ = tree_of(texts)
-    tree.open()
-    scores = tree.scores(runs)
-    assert any(len(p) == 2 for p in tree.contexts.paths)
-    assert 10 ** scores[2] > 0.9 and 10 ** scores[6] > 0.9
-
-
-def test_runs_against_brute_force():
-    rng = np.random.default_rng(0)
-    ids = rng.integers(0, 4, 300)
-    lengths = np.array([100, 50, 150])
-    runs = suffix_lm.Runs(ids, lengths, 3)
-    contexts = suffix_lm.Contexts(rows_of(suffix_lm.frequent_runs(runs, 0.01)))
-    seen, pairs = contexts.counts(runs)
-    docs = np.split(ids, np.cumsum(lengths)[:-1])
-    for run, n in zip(contexts.runs, pairs.tolist(), strict=True):
-        text = list(run[::-1])
-        assert n == sum(list(d[i : i + len(text)]) == text for d in docs for i in range(len(d) - len(text) + 1)) >= 3
-    for path, n in list(zip(contexts.paths, seen.tolist(), strict=True))[1:]:
-        text = list(path[::-1])
-        assert n == sum(list(d[i : i + len(text)]) == text for d in docs for i in range(len(d) - len(text)))
+    tree = BruteTree(texts)
+    assert tree.kept
+    words = [g[0] for g in tree.n if len(g) == 1]
+    for context in [(), *tree.kept]:
+        assert math.isclose(sum(tree.p(context, w) for w in [*words, b"unknown"]), 1.0, rel_tol=1e-9)
+
+
+def test_texts_seen_twice_stand_apart(spark):
+    """A run of rare words that two training documents share is foreseen, one that stands once is not."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
+    words = [f"w{k}" for k in range(4000)]
+    rows = [(i, " ".join(words[(j // 2 if j < 40 else j) * 40 :][:40])) for j, i in enumerate(ids)]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in suffix_lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in ids[:40]) > max(got[i] for i in ids[40:]) + 0.5
+
+
+def test_blobs():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    assert (np.cumsum(suffix_lm.unpacked(suffix_lm.packed(suffix_lm.gaps(keys)), len(keys)), dtype=np.uint64) == keys).all()
+    assert len(suffix_lm.unpacked(b"", 0)) == 0
+    found, place = suffix_lm.distinct(keys[rng.integers(0, len(keys), 5000)])
+    assert (np.sort(found) == found).all() and place.max() == len(found) - 1
 
 
 def test_edges(spark):
@@ -102,5 +130,7 @@ def test_edges(spark):
 
 def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(600).cache()
-    one, many = ({r["doc_id"]: r["score"] for r in suffix_lm.scored(docs.repartition(k, "doc_id")).collect()} for k in (1, 200))
-    assert one.keys() == many.keys() and all(math.isclose(one[i], many[i], rel_tol=1e-9) for i in one)
+    one, *more = ({r["doc_id"]: r["score"] for r in suffix_lm.scored(docs.repartition(k, "doc_id")).collect()} for k in (1, 4, 64))
+    for other in more:
+        assert one.keys() == other.keys() and all(math.isclose(one[i], other[i], rel_tol=1e-9) for i in one)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("millrace_")]
