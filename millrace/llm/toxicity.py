@@ -2,7 +2,8 @@
 
 A lexicon of words and stems is learned from labelled documents (terms that stand in many toxic documents and hardly
 any other), put into a trie, and every token of a text is matched with it: exactly, or by intersecting the token's
-Levenshtein automaton with the trie, which visits only prefixes that can still come within the allowed distance. Each
+Levenshtein automaton with the trie, which visits only prefixes that can still come within the allowed distance; the
+automata of a batch of tokens walk the trie together. Each
 hit is weighed by its window: quotation marks, reporting words and negation make it a mention, words of address make it
 abuse. A logistic regression over these sums gives the score.
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import bounded_batches, bucket_of, byte_slices
+from millrace.llm.common import bounded_batches, bucket_of, byte_slices, stored
 
 #: About so many labelled rows are learned from.
 SAMPLE = 40_000
@@ -37,6 +38,8 @@ MIN_TOXIC, MIN_LIFT, MIN_PRECISION = 8, 8.0, 0.8
 #: Terms in the lexicon at most.
 TERMS = 2000
 STEMS = (4, 5, 6, 7)
+#: Tokens that walk the trie together.
+BATCH = 20_000
 WINDOW = 5
 FEATURES = 9
 
@@ -59,30 +62,50 @@ def folded(chunk: str) -> str:
     return _EDGE.sub("", chunk.rstrip("!?.,;:").translate(_FOLD))
 
 
-class Automaton:
-    """Levenshtein automaton of one token, as bits: bit i of row d is set if d edits bring what was read to the token's first i characters."""
+class Automata:
+    """Levenshtein automata of many tokens of up to 31 characters, as bits: bit i of row d of a token is set if d edits bring
+    what was read to the token's first i characters."""
 
-    def __init__(self, token: str, most: int):
-        self.most, self.end = most, 1 << len(token)
-        self.inside = 2 * self.end - 1
-        self.places: dict[str, int] = {}
-        for i, char in enumerate(token):
-            self.places[char] = self.places.get(char, 0) | 1 << i
+    def __init__(self, tokens: list[str], most: int):
+        self.most = most
+        lengths = np.fromiter(map(len, tokens), np.uint32, len(tokens))
+        self.lengths, self.end = lengths, np.uint32(1) << lengths
+        self.inside = (self.end << np.uint32(1)) - np.uint32(1)
+        self.codes = np.array(tokens, "U32").view(np.uint32).reshape(len(tokens), 32)
+        self._places: dict[str, np.ndarray] = {}
 
-    def start(self) -> tuple[int, ...]:
-        return tuple((2 << d) - 1 & self.inside for d in range(self.most + 1))
+    def start(self) -> list[np.ndarray]:
+        return [np.uint32((2 << d) - 1) & self.inside for d in range(self.most + 1)]
 
-    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
-        places = self.places.get(char, 0)
-        low = (state[0] & places) << 1
+    def places(self, char: str) -> np.ndarray:
+        """Bits of the places of a character in each token."""
+        if char not in self._places:
+            self._places[char] = np.packbits(self.codes == np.uint32(ord(char)), axis=1, bitorder="little").view(np.uint32).reshape(-1)
+        return self._places[char]
+
+    def step(self, which: np.ndarray, state: list[np.ndarray], char: str) -> list[np.ndarray]:
+        """State of the tokens ``which`` after one more character."""
+        places, inside, one = self.places(char)[which], self.inside[which], np.uint32(1)
+        low = (state[0] & places) << one
         rows = [low]
         for d in range(1, self.most + 1):
-            low = ((state[d] & places) << 1 | state[d - 1] | state[d - 1] << 1 | low << 1) & self.inside
+            low = ((state[d] & places) << one | state[d - 1] | state[d - 1] << one | low << one) & inside
             rows.append(low)
-        return tuple(rows)
-
-    def accepts(self, state: tuple[int, ...], edits: int) -> bool:
-        return bool(state[min(edits, self.most)] & self.end)
+        return rows
+
+    def swapped(self, which: np.ndarray, word: str) -> np.ndarray:
+        """Which of the tokens become ``word`` when two neighbouring letters change places."""
+        which = which[self.lengths[which] == len(word)]
+        if len(word) < 2 or not len(which):
+            return which[:0]
+        codes, own = self.codes[which, : len(word)], np.array([word], f"U{len(word)}").view(np.uint32)
+        unlike = codes != own
+        first = unlike.argmax(1)
+        row, last = np.arange(len(which)), len(word) - 1
+        second = np.minimum(first + 1, last)
+        good = (unlike.sum(1) == 2) & unlike[row, second] & (codes[row, first] == own[second]) & (codes[row, second] == own[first])
+        # equal letters side by side may change places as well
+        return which[good | ~unlike.any(1) & bool((own[1:] == own[:-1]).any())]
 
 
 @dataclass
@@ -91,6 +114,9 @@ class Node:
     word: float = 0.0
     stem: float = 0.0
     edits: int = 0
+    text: str = ""
+    shortest: int = 0
+    longest: int = 0
 
 
 def misspelt(word: str) -> int:
@@ -98,15 +124,6 @@ def misspelt(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2
 
 
-def shortened(text: str, edits: int) -> set[str]:
-    """``text`` and what is left of it without up to ``edits`` letters."""
-    out = last = {text}
-    for _ in range(edits):
-        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
-        out = out | last
-    return out
-
-
 class Lexicon:
     """Words ("w:..."), stems ("s:...") and words that a stem covers ("n:...") in a trie, with their log odds. Misspellings are
     looked for among words of both kinds: within ``edits`` of a word, or with two neighbouring letters swapped; without
@@ -116,9 +133,6 @@ class Lexicon:
         self.root, self.near_root = Node(), Node()
         self.swaps, self.least = edits is not None, 0 if edits else 5
         edits = edits or (lambda word: int(len(word) >= 5))
-        #: Words without up to their edits in letters: a token within these shares one with the word.
-        self.shortened: set[str] = set()
-        self.near_words: dict[str, float] = {}
         self.most = self.longest = 0
         for term, weight in terms:
             kind, text = term[0], term[2:]
@@ -129,10 +143,10 @@ class Lexicon:
                 self._put(self.root, text).word = weight
             if most := edits(text):
                 node = self._put(self.near_root, text)
-                node.word, node.edits = weight, most
-                self.near_words[text] = weight
-                self.shortened |= shortened(text, most)
-                self.most, self.longest = max(self.most, most), max(self.longest, len(text) + most)
+                node.word, node.edits, node.text = weight, most, text
+                # two letters that changed places are two edits
+                self.most, self.longest = max(self.most, most, 2 * self.swaps), max(self.longest, len(text) + most)
+        self.shortest = self._measured(self.near_root, 0)
 
     @staticmethod
     def _put(node: Node, text: str) -> Node:
@@ -140,39 +154,61 @@ class Lexicon:
             node = node.children.setdefault(char, Node())
         return node
 
+    def _measured(self, node: Node, depth: int) -> int:
+        """Sets the lengths of the shortest and longest words through each node."""
+        for child in node.children.values():
+            self._measured(child, depth + 1)
+        below = [*([depth] if node.word else []), *(n for x in node.children.values() for n in (x.shortest, x.longest))]
+        node.shortest, node.longest = min(below, default=0), max(below, default=0)
+        return node.shortest
+
     def kind(self, token: str) -> tuple[int, float]:
-        """(1, weight): in the lexicon; (2, weight): a misspelling of a term; (0, 0): neither."""
+        return self.kinds([token])[0]
+
+    def kinds(self, tokens: list[str]) -> list[tuple[int, float]]:
+        """Of each token (1, weight): in the lexicon; (2, weight): a misspelling of a term; (0, 0): neither."""
+        out = [(1, found) if (found := self._exact(token)) else (0, 0.0) for token in tokens]
+        if self.most:
+            low, high = max(self.least, self.shortest - self.most), min(31, self.longest)
+            at = [i for i, token in enumerate(tokens) if low <= len(token) <= high and not out[i][0]]
+            for start in range(0, len(at), BATCH):
+                part = at[start : start + BATCH]
+                weights = self._near(Automata([tokens[i] for i in part], self.most))
+                for k in np.flatnonzero(weights).tolist():
+                    out[part[k]] = (2, float(weights[k]))
+        return out
+
+    def _exact(self, token: str) -> float:
         node, best = self.root, 0.0
         for char in token:
             node = node.children.get(char)  # type: ignore[assignment]
             if node is None:
-                break
+                return best
             best = max(best, node.stem)
-        else:
-            best = max(best, node.word)
-        if best:
-            return 1, best
-        if self.least <= len(token) <= self.longest and not self.shortened.isdisjoint(shortened(token, self.most)):
-            weight = self._near(token)
-            return (2, weight) if weight else (0, 0.0)
-        return 0, 0.0
-
-    def _near(self, token: str) -> float:
-        """Weight of the best word that ``token`` may be a misspelling of."""
-        best = 0.0
-        if self.swaps:
-            swapped = (token[:i] + token[i + 1] + token[i] + token[i + 2 :] for i in range(len(token) - 1))
-            best = max((self.near_words.get(x, 0.0) for x in swapped), default=0.0)
-        auto = Automaton(token, self.most)
-        stack = [(self.near_root, auto.start())]
+        return max(best, node.word)
+
+    def _near(self, auto: Automata) -> np.ndarray:
+        """For each token the weight of the best word that it may be a misspelling of: the trie is walked once for all of
+        them, and each goes along only where its automaton can still accept."""
+        best = np.zeros(len(auto.lengths))
+        lengths = auto.lengths.astype(np.int64)
+        stack = [(self.near_root, np.arange(len(lengths)), auto.start())]
         while stack:
-            node, state = stack.pop()
-            if node.word and auto.accepts(state, node.edits):
-                best = max(best, node.word)
+            node, which, state = stack.pop()
+            if node.word:
+                end = auto.end[which]
+                hit = which[(state[node.edits] & end) > 0]
+                best[hit] = np.maximum(best[hit], node.word)
+                if self.swaps and node.edits < 2:
+                    hit = auto.swapped(which[(state[2] & end) > 0], node.text)
+                    best[hit] = np.maximum(best[hit], node.word)
             for char, child in node.children.items():
-                after = auto.step(state, char)
-                if after[-1]:
-                    stack.append((child, after))
+                after = auto.step(which, state, char)
+                alive = after[-1] != 0
+                if child.shortest or child.longest:
+                    alive &= (lengths[which] >= child.shortest - self.most) & (lengths[which] <= child.longest + self.most)
+                if alive.any():
+                    stack.append((child, which[alive], [x[alive] for x in after]))
         return best
 
 
@@ -186,16 +222,24 @@ class Scorer:
         self.hits: dict[str, tuple[int, float]] = {}
 
     def features(self, text: str) -> tuple[float, ...]:
-        """(any exact, log exact abuse, log exact mentions, any near, log near abuse, log near mentions, exact per 100 words, largest and log sum of the weights of distinct hits)."""
-        chunks = text.lower().split()
-        distinct = set(chunks)
-        for chunk in distinct - self.seen:
-            kind = self.lexicon.kind(folded(chunk))
+        return self.rows([text])[0]
+
+    def rows(self, texts: list[str]) -> list[tuple[float, ...]]:
+        """Features of each text; the tokens that are new in any of them are looked up together."""
+        lists = [text.lower().split() for text in texts]
+        new = list(set().union(*lists) - self.seen)
+        for chunk, kind in zip(new, self.lexicon.kinds([folded(x) for x in new]), strict=True):
             if kind[0]:
                 self.hits[chunk] = kind
-        self.seen |= distinct
+        self.seen.update(new)
+        out = [self._features(chunks) for chunks in lists]
         if len(self.seen) > self.cache:
             self.seen = set(self.hits)
+        return out
+
+    def _features(self, chunks: list[str]) -> tuple[float, ...]:
+        """(any exact, log exact abuse, log exact mentions, any near, log near abuse, log near mentions, exact per 100 words, largest and log sum of the weights of distinct hits)."""
+        distinct = set(chunks)
         if self.hits.keys().isdisjoint(distinct):
             return (0.0,) * FEATURES
         sums = {1: [0.0, 0.0], 2: [0.0, 0.0]}
@@ -278,7 +322,7 @@ def _term_counts(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
     """Lexicon and weights from labelled rows for which ``keep``, a condition on the column id, holds."""
     bounded_batches(docs.sparkSession)
-    rows = _sampled(docs, labels, doc_id, text, toxic, keep, sample)
+    rows = stored(_sampled(docs, labels, doc_id, text, toxic, keep, sample))  # read several times
     distinct = rows.dropDuplicates(["text", "toxic"])  # a term isn't learned from copies of a text
     sizes = {r["toxic"]: r["count"] for r in distinct.groupBy("toxic").count().collect()}
     good, bad = sizes.get(0, 0), sizes.get(1, 0)
@@ -295,7 +339,7 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_i
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(terms)
         for arr in batches:
-            yield pa.array([list(scorer.features(x.decode("utf-8", "replace"))) for part in byte_slices(arr) for x in part], pa.list_(pa.float64()))
+            yield pa.array([list(row) for part in byte_slices(arr) for row in scorer.rows([x.decode("utf-8", "replace") for x in part])], pa.list_(pa.float64()))
 
     # equal rows of features are counted before they are collected
     table = rows.select(features("text").alias("f"), "toxic").groupBy("f", "toxic").count().collect()
@@ -344,7 +388,7 @@ def scores(text: Column, model: Model) -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model.terms)
         for arr in batches:
-            rows = [scorer.features(x.decode("utf-8", "replace")) for part in byte_slices(arr) for x in part]
+            rows = [row for part in byte_slices(arr) for row in scorer.rows([x.decode("utf-8", "replace") for x in part])]
             yield pa.array(model.score(np.array(rows).reshape(-1, FEATURES)), pa.float64())
 
     return score.asNondeterministic()(text)  # not to be run once for a filter and once for the column
