@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ LEAST, GAIN = 2, 4.0
 #: The end of a text, as a token; words hold no space.
 END = b" "
 #: Tokens of a chunk, beyond which it takes no further text.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 #: Runs that a range of hashes is meant to hold of all chunks together.
 PART = 1_000_000
 #: Most buckets of the stored chunks.
@@ -105,6 +105,14 @@ def totals(place: np.ndarray, n: int, which: np.ndarray) -> np.ndarray:
     return np.bincount(place[which], minlength=n).astype(np.uint64)
 
 
+class Numbers(dict):
+    """Words by the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Chunk:
     """Tokens of some texts one after another, as places in a sorted list of word hashes, with what is known of their runs.
 
@@ -115,21 +123,21 @@ class Chunk:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, held: np.ndarray, words: np.ndarray):
         self.lengths = lengths
         self.starts = np.cumsum(lengths) - lengths
-        self.room = np.arange(len(ids)) - np.repeat(self.starts, lengths)
+        self.room = np.arange(len(ids), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), lengths)
         self.train = np.repeat(~held, lengths)
-        hashes = words[ids]
+        self._hashes = words[ids]
         self.keys, self.place = {1: words}, {1: ids}
-        self._run = {1: hashes}
-        for k in range(2, DEPTH + 2):
-            run = np.zeros(len(ids), np.uint64)
-            run[k - 1 :] = mixed(self._run[k - 1][:-1], hashes[1:])[k - 2 :] if len(ids) >= k else run[k - 1 :]
-            self._run[k] = run
+        self._run = self._hashes
         self._ask(2, self.room >= 1)
         self.n: dict[int, np.ndarray] = {}
 
     def _ask(self, k: int, which: np.ndarray) -> None:
+        """Number the distinct runs of k tokens that end at the marked places; runs of k - 1 must have been asked before."""
+        run = np.zeros(len(which), np.uint64)
+        run[1:] = mixed(self._run[:-1], self._hashes[1:])
+        self._run = run
         at = np.flatnonzero(which)
-        self.keys[k], found = distinct(self._run[k][at])
+        self.keys[k], found = distinct(run[at])
         self.place[k] = np.full(len(which), -1, np.int32)
         self.place[k][at] = found
 
@@ -147,6 +155,7 @@ class Chunk:
             every = np.r_[False, every[:-1]] & recurs & (self.room >= k - 1)
             self._ask(k, every)
             self.n[k] = np.zeros(len(every), np.int64)
+        self._run = self._hashes = np.zeros(0, np.uint64)
 
     def learn_runs(self, answers: dict[int, np.ndarray]) -> None:
         for k in range(3, DEPTH + 2):
@@ -218,7 +227,7 @@ def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = count(TaskContext.get().partitionId() << 33)
-        index: dict[bytes, int] = {}
+        index = Numbers()
         ids: list[np.ndarray] = []
         lengths: list[int] = []
         others: list[pa.RecordBatch] = []
@@ -239,16 +248,14 @@ def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
             at = 0
             for part in byte_slices(batch.column(0)):
                 lists = [tokens(t) for t in part]
-                new = list(set().union(*lists).difference(index))
-                index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
                 lengths += map(len, lists)
-                ids.append(np.fromiter((i for x in lists for i in map(index.__getitem__, x)), np.int32, sum(map(len, lists))))
+                ids.append(np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int32, sum(map(len, lists))))
                 others.append(batch.slice(at, len(part)).select([1, 2]))
                 at += len(part)
                 size += len(ids[-1])
                 if size >= chunk:
                     yield made()
-                    index, ids, lengths, others, size = {}, [], [], [], 0
+                    index, ids, lengths, others, size = Numbers(), [], [], [], 0
         if lengths:
             yield made()
 
