@@ -36,10 +36,77 @@ def test_main_text(body, text):
 def test_wrapper_resolves_mismatches():
     import json
 
+    def bare(nodes):
+        return [["#"] if x[0] == "#" else [x[0], bare(x[1])] for x in nodes]
+
     one = html_extract.form(html_extract.stream("<div><h1>a</h1><p>b</p></div>"))
     two = html_extract.form(html_extract.stream("<div><h1>c</h1><p>d</p><p>e</p><em>f</em></div>"))
-    got = json.loads(html_extract.union_of([html_extract.dumps(one), html_extract.dumps(two)]))
-    assert got == [["div", [["h1", [["#"]]], ["+", [["p", [["#"]]]]], ["?", [["em", [["#"]]]]]]]]
+    counts = [1, 1, 0, 0, 0, [7]]
+    pages, got = json.loads(html_extract.union_of([html_extract.dumps([counts, one]), html_extract.dumps([counts, two])]))
+    assert pages[:2] == [2, 2] and got[0][1][1][1][0][1][0][1][:3] == [2, 3, 3]
+    assert bare(got) == [["div", [["h1", [["#"]]], ["+", [["p", [["#"]]]]], ["?", [["em", [["#"]]]]]]]]
+
+
+def host_wrapper(pages):
+    import json
+    import zlib
+
+    forms = [html_extract.dumps([[1, 1, 0, 0, 0, [zlib.crc32(p.encode())]], html_extract.form(html_extract.stream(p))]) for p in pages]
+    made, nodes = json.loads(html_extract.union_of(forms))
+    return html_extract.Wrapper(nodes, made)
+
+
+def words(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+
+
+def test_pages_without_telling_names():
+    """The wrapper tells what all pages share from what each says: no tag or class does. A page by itself would keep the
+    longer text beside its own."""
+    slogan, legal = words(1, 60), words(2, 40)
+
+    def made(i):
+        paragraphs = "".join(f"<p>{words(100 * i + k, 6)}</p>" for k in range(1 + i % 3))
+        return page(f"<div class=c1><div>{slogan}</div></div><div class=c2><h2>{words(5000 + i, 3)}</h2>{paragraphs}</div><div class=c3><p>{legal}</p></div>")
+
+    pages = [made(i) for i in range(12)]
+    wrapper = host_wrapper(pages)
+    for i, p in enumerate(pages):
+        items = html_extract.stream(p)
+        want = "\n".join([words(5000 + i, 3), *(words(100 * i + k, 6) for k in range(1 + i % 3))])
+        assert html_extract.main_text(items, wrapper) == want
+        alone = html_extract.main_text(items, html_extract.Wrapper([]))
+        assert alone != want and slogan in alone
+    # copies of one page share all their text and still have it
+    assert words(5001, 3) in html_extract.main_text(html_extract.stream(pages[1]), host_wrapper([pages[1]] * 12))
+
+
+def test_regions_by_the_wrapper():
+    article = "<p>one two three four</p><p>five six seven eight nine</p>"
+    cases = [
+        (f"<main><div class='article-header'><h1>Title</h1></div>{article}</main>", "Title\none two three four\nfive six seven eight nine"),
+        (f"<article>{article}<p class='form'>ten</p></article><article class='comment'>no no no</article>", "one two three four\nfive six seven eight nine\nten"),
+        (f"<article><header><h1>Title</h1></header>{article}<section class='comments'><p>no</p></section></article>", "Title\none two three four\nfive six seven eight nine"),
+        (f"<div><ul><li><a>a</a><li><a>b</a><li><a>c</a><li><a>d</a></ul></div><div><h1>Title</h1><div>{article}</div></div><div>foot</div>", "Title\none two three four\nfive six seven eight nine"),
+        (f"<article><p>x</p></article><article>{article}</article>", "x\none two three four\nfive six seven eight nine"),
+    ]
+    for body, want in cases:
+        assert html_extract.main_text(html_extract.stream(page(body)), html_extract.Wrapper([])) == want
+
+
+def test_wrappers_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    one, two = (sorted(map(tuple, html_extract.wrappers(df.repartition(k, "page_id")).collect())) for k in (1, 13))
+    assert one == two
+
+
+def test_deep_pages():
+    deep = page("<div>" * 3000 + "<p>x y z</p>" + "</div>" * 3000)
+    items = html_extract.stream(deep)
+    assert html_extract.main_text(items, host_wrapper([deep, page("<div><p>a</p></div>")])) == "x y z"
 
 
 def test_extraction_edges(spark):
