@@ -43,24 +43,26 @@ SELECT doc_id, n::BIGINT AS n_words, wc::BIGINT AS word_chars, len(regexp_extrac
 FROM j
 """
 
-#: Damage located by comparing all leaves; roots by joining digests level by level.
-OP7 = """
+_NODES = "sha256(string_agg(place || ':' || {0}, ',' ORDER BY place) FILTER ({0} IS NOT NULL)) AS {0}"
+_ABOVE = "SELECT file_id, place // 16 AS place, " + _NODES.format("h") + ", " + _NODES.format("g") + " FROM {} GROUP BY 1, 2"
+
+#: Damage located by comparing all records; roots by joining digests level by level.
+OP7 = f"""
 WITH r AS (
-  SELECT page_id, url, html,
+  SELECT page_id, url, html, page_id % 307 = 50 AS lost,
     CASE WHEN page_id % 97 = 13 THEN '#' || substr(html, 2) WHEN page_id % 211 = 5 THEN substr(html, 1, length(html) - 1) ELSE html END AS bad
   FROM pages),
 b AS (
-  SELECT page_id, page_id // 512 AS file_id,
+  SELECT page_id, page_id // 512 AS file_id, lost,
     'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || page_id || '>\r\nWARC-Target-URI: ' || url || '\r\nContent-Type: text/html\r\nContent-Length: ' AS head, html, bad FROM r),
-w AS (SELECT page_id, file_id, head || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n' AS rec, head || strlen(bad) || '\r\n\r\n' || bad || '\r\n\r\n' AS rep FROM b),
-l AS (SELECT page_id, file_id, row_number() OVER (PARTITION BY file_id ORDER BY page_id) - 1 AS seq,
+w AS (SELECT page_id, file_id, head || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n' AS rec, CASE WHEN NOT lost THEN head || strlen(bad) || '\r\n\r\n' || bad || '\r\n\r\n' END AS rep FROM b),
+l AS (SELECT page_id, file_id, page_id % 512 AS place, row_number() OVER (PARTITION BY file_id ORDER BY page_id) - 1 AS seq,
     coalesce(sum(strlen(rec)) OVER (PARTITION BY file_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset,
     strlen(rec)::BIGINT AS n_bytes, sha256(rec) AS h, sha256(rep) AS g FROM w),
-l1 AS (SELECT file_id, seq // 16 AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h, sha256(string_agg(g, '' ORDER BY seq)) AS g FROM l GROUP BY 1, 2),
-l2 AS (SELECT file_id, seq // 16 AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h, sha256(string_agg(g, '' ORDER BY seq)) AS g FROM l1 GROUP BY 1, 2),
-l3 AS (SELECT file_id, seq // 16 AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h, sha256(string_agg(g, '' ORDER BY seq)) AS g FROM l2 GROUP BY 1, 2)
-SELECT page_id, l.file_id, l.seq::BIGINT AS seq, start_offset, n_bytes, l.h AS leaf_hash, l.g AS replica_hash, l3.h AS root_hash, l3.g AS replica_root_hash, 'changed' AS kind
-FROM l JOIN l3 ON l.file_id = l3.file_id AND l.seq // 4096 = l3.seq WHERE l.h <> l.g
+l0 AS (SELECT file_id, place, sha256(page_id || ':' || h) AS h, sha256(page_id || ':' || g) AS g FROM l),
+l1 AS ({_ABOVE.format("l0")}), l2 AS ({_ABOVE.format("l1")}), l3 AS ({_ABOVE.format("l2")})
+SELECT page_id, l.file_id, l.seq::BIGINT AS seq, start_offset, n_bytes, l.h AS leaf_hash, l.g AS replica_hash, l3.h AS root_hash, l3.g AS replica_root_hash, CASE WHEN l.g IS NULL THEN 'missing' ELSE 'changed' END AS kind
+FROM l JOIN l3 ON l.file_id = l3.file_id WHERE l.h IS DISTINCT FROM l.g
 """.replace("\r\n", "' || chr(13) || chr(10) || '")
 
 OP9 = f"""

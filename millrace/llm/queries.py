@@ -46,11 +46,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC records against a replica in which some records are altered and some cut short."""
+    """The pages as WARC records against a replica in which some records are altered, some cut short, and some lost."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     damaged = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substr("html", F.lit(2)))).when(F.col("page_id") % 211 == 5, F.expr("substr(html, 1, length(html) - 1)")).otherwise(F.col("html"))
     left = warc.leaves(pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")))
-    right = warc.leaves(pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), damaged).alias("record")))
+    right = warc.leaves(pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), damaged).alias("record")).filter(F.col("page_id") % 307 != 50))
     return warc.damage(left, right).select("page_id", F.col("file").alias("file_id"), "seq", F.col("start").alias("start_offset"), F.col("length").alias("n_bytes"), F.col("hash").alias("leaf_hash"), F.col("other_hash").alias("replica_hash"), F.col("root").alias("root_hash"), F.col("other_root").alias("replica_root_hash"), "kind")
 
 
@@ -68,8 +68,8 @@ def url_list(hosts: DataFrame) -> DataFrame:
     made = made.when(digit.isin("4", "5", "6"), F.array(entry("malware", "block", host, "2024-03-10", True)))
     made = made.when(digit.isin("e", "f"), F.array(entry("trusted", "allow", host, "2024-01-15", True), entry("trusted", "allow", host, "2024-11-01", False)))
     own = hosts.filter(host.isNotNull()).distinct().select(F.explode(made).alias("e")).select("e.*")
-    fixed = [("parents", "block", "example.org", "2024-06-01", True), ("parents", "block", "example.org", "2024-07-01", False), ("spam", "block", "cheap-pills.example.com", "2024-01-20", True)]
-    return own.unionByName(hosts.sparkSession.createDataFrame(fixed, "list string, action string, key string, at string, added boolean").withColumn("at", F.col("at").cast("timestamp")))
+    fixed = "VALUES ('parents', 'block', 'example.org', TIMESTAMP'2024-06-01', true), ('parents', 'block', 'example.org', TIMESTAMP'2024-07-01', false), ('spam', 'block', 'cheap-pills.example.com', TIMESTAMP'2024-01-20', true)"
+    return own.unionByName(hosts.sparkSession.sql(f"SELECT * FROM {fixed} AS t(list, action, key, at, added)"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """WARC records and a Merkle fixity audit of replicas.
 
-Every record of a file is a leaf (SHA-256 of its bytes) at an ordered offset range; FANOUT neighbouring nodes make a
-parent, whose hash is that of their hashes joined and whose range is theirs, up to one root for each file. An audit
-compares roots, and below a mismatch compares only children of mismatching nodes, down to the damaged records.
-
-Only ids, lengths and digests are shuffled, never the records. A file holds RECORDS consecutive ids.
-
-Defined results: null url or html are empty; a null id goes to files of its own by content; copies of an id follow each
-other in the order of their digests; an empty table has no files and no damage; a record that one replica lacks is damage of
-kind "missing" or "extra"; extra columns of the input are not read.
+A file holds RECORDS consecutive ids, and each record's place in its file's tree is its id's (copies of an id share one), so a
+record that one replica lacks moves no other. A leaf hashes the records of a place (SHA-256 of their bytes) and covers their
+ordered offset range; FANOUT neighbouring nodes make a parent, whose hash is that of their places and hashes and whose range
+is theirs, up to one root for each file. An audit compares roots, and below a mismatch only reads and compares the children of
+mismatching nodes, down to the places; their records are then told apart by id and digest.
+
+Only ids, lengths and digests are shuffled, never the records.
+
+Defined results: null url or html are empty; a null id goes to a file and place of its content, so altered it is one record
+missing and another extra; copies of an id follow each other in the order of their digests, and as many as both replicas
+hold alike are undamaged; an empty table has no files and no damage; a record that one replica lacks is damage of kind
+"missing" or "extra"; extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from millrace.llm.common import checkpointed
 
@@ -46,54 +50,98 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def leaves(records: DataFrame, page_id: str = "page_id", content: str = "record") -> DataFrame:
-    """(file, seq, page_id, start, length, hash) of records (page_id, bytes)."""
+    """(file, place, seq, page_id, start, length, hash) of records (page_id, bytes); seq is the order in the file."""
     out = records.select(F.col(page_id).alias("page_id"), F.octet_length(F.col(content)).cast("long").alias("length"), F.sha2(F.col(content), 256).alias("hash"))
-    unplaced = -1 - F.pmod(F.xxhash64("hash"), F.lit(UNPLACED))
-    out = out.withColumn("file", F.coalesce(F.floor(F.col("page_id") / RECORDS).cast("long"), unplaced))
-    order = Window.partitionBy("file").orderBy("page_id", "hash")
+    unplaced = F.xxhash64("hash")
+    out = out.withColumns(
+        {
+            "file": F.coalesce(F.floor(F.col("page_id") / RECORDS).cast("long"), -1 - F.pmod(unplaced, F.lit(UNPLACED))),
+            "place": F.coalesce(F.pmod(F.col("page_id"), F.lit(RECORDS)), F.pmod(F.floor(unplaced / UNPLACED), F.lit(RECORDS))).cast("long"),
+        }
+    )
+    order = Window.partitionBy("file").orderBy("place", "page_id", "hash")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return out.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), "page_id", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")).alias("start"), "length", "hash")
+    return out.select("file", "place", (F.row_number().over(order) - 1).cast("long").alias("seq"), "page_id", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")).alias("start"), "length", "hash")
+
+
+def _joined(key: str) -> Column:
+    """Hash of the nodes of a group, by place and hash."""
+    ordered = F.sort_array(F.collect_list(F.struct(key, "hash")))
+    return F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat(x[key].cast("string"), F.lit(":"), x["hash"])), ","), 256).alias("hash")
+
+
+def places(base: DataFrame) -> DataFrame:
+    """The lowest level of the tree (file, node, start, length, hash): one node for each place that has a record."""
+    return base.groupBy("file", F.col("place").alias("node")).agg(F.min("start").alias("start"), F.sum("length").alias("length"), _joined("page_id"))
 
 
 def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The level above (file, seq, start, length, hash)."""
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "hash")))  # fanout rows at most
-    return nodes.groupBy("file", F.floor(F.col("seq") / fanout).cast("long").alias("seq")).agg(
-        F.min("start").alias("start"), F.sum("length").alias("length"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["hash"]), ""), 256).alias("hash")
-    )
+    """The level above (file, node, start, length, hash)."""
+    # fanout rows of a group at most
+    return nodes.groupBy("file", F.floor(F.col("node") / fanout).cast("long").alias("above")).agg(F.min("start").alias("start"), F.sum("length").alias("length"), _joined("node")).withColumnRenamed("above", "node")
 
 
 def tree(base: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels from the leaves to the roots."""
-    out = [base]
+    """Levels from the places to the roots."""
+    out = [places(base)]
     for _ in range(levels):
         out.append(parents(out[-1], fanout))
     return out
 
 
 def damage(left: DataFrame, right: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """Damaged records of two replicas' leaves: file, seq, page_id, start, length, hash, other_hash, root, other_root, kind.
-
-    A file of more than fanout ** levels records has several roots, compared each by itself.
-    """
-    one, two = tree(checkpointed(left), levels, fanout), tree(checkpointed(right), levels, fanout)
-    both = one[-1].select("file", "seq", F.col("hash").alias("root")).join(two[-1].select("file", "seq", F.col("hash").alias("other_root")), ["file", "seq"], "full")
-    open_nodes = both.filter(~F.col("root").eqNullSafe(F.col("other_root"))).withColumnRenamed("seq", "node")
+    """Damaged records of two replicas' leaves: file, seq, page_id, start, length, hash, other_hash, root, other_root, kind;
+    seq, start and length are those of the replica that has the record, the left one if both do."""
+    left, right = checkpointed(left), checkpointed(right)
+    one, two = tree(left, levels, fanout), tree(right, levels, fanout)
+    roots = one[-1].select("file", "node", F.col("hash").alias("root")).join(two[-1].select("file", "node", F.col("hash").alias("other_root")), ["file", "node"], "full")
+    roots = checkpointed(roots.filter(~F.col("root").eqNullSafe(F.col("other_root"))))
+    found = roots.select("file", "node")
     for level in range(levels - 1, -1, -1):
-        a = one[level].select("file", "seq", F.col("hash").alias("a"), *(["page_id", "start", "length"] if not level else []))
-        b = two[level].select("file", "seq", F.col("hash").alias("b"), *([F.col("page_id").alias("other_id")] if not level else []))
-        pairs = a.join(b, ["file", "seq"], "full").withColumn("node", F.floor(F.col("seq") / fanout).cast("long"))
-        below = pairs.join(open_nodes, ["file", "node"]).filter(~F.col("a").eqNullSafe(F.col("b")))
-        if level:
-            open_nodes = below.select("file", F.col("seq").alias("node"), "root", "other_root")
-    kind = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed")
-    return below.select("file", "seq", F.coalesce("page_id", "other_id").alias("page_id"), "start", "length", F.col("a").alias("hash"), F.col("b").alias("other_hash"), "root", "other_root", kind.alias("kind"))
+        # children of mismatching nodes only, of either side, before the sides meet
+        above = found.select("file", F.col("node").alias("above"))
+        sides = []
+        for nodes in (one[level], two[level]):
+            below = nodes.select("file", "node", "hash", F.floor(F.col("node") / fanout).cast("long").alias("above"))
+            sides.append(below.join(above, ["file", "above"], "left_semi").drop("above"))
+        both = sides[0].join(sides[1].withColumnRenamed("hash", "other"), ["file", "node"], "full")
+        found = checkpointed(both.filter(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node"))
+    spots = found.select("file", F.col("node").alias("place"))
+    return _told_apart(*(x.join(spots, ["file", "place"], "left_semi") for x in (left, right))).join(roots.drop("node"), "file")
+
+
+def _told_apart(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Records of the same places that differ: those that both have are taken off, others are paired by id in the order of their digests."""
+    copy = Window.partitionBy("file", "place", "page_id", "hash").orderBy("seq")
+    rank = Window.partitionBy("file", "place", "page_id").orderBy("hash", "seq")
+    keys = ["file", "place", "page_id", "hash"]
+    left, right = (x.withColumn("copy", F.row_number().over(copy)) for x in (left, right))
+
+    def without(x: DataFrame, y: DataFrame) -> DataFrame:
+        other = y.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "copy")])
+        same = [x[k].eqNullSafe(other[f"_{k}"]) for k in (*keys, "copy")]
+        rest = x.join(other, same, "left_anti")
+        # records without an id are what they hold: two of different content are no pair
+        return rest.withColumn("pair", F.when(F.col("page_id").isNotNull(), F.row_number().over(rank).cast("string")).otherwise(F.concat("hash", F.lit(" "), F.col("copy").cast("string"))))
+
+    a = without(left, right).select("file", "place", "page_id", "pair", "seq", "start", "length", "hash")
+    b = without(right, left).select(*[F.col(k).alias(f"_{k}") for k in ("file", "place", "page_id", "pair", "seq", "start", "length", "hash")])
+    met = a.join(b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("file", "place", "page_id", "pair")], "full")
+    kind = F.when(F.col("_pair").isNull(), "missing").when(F.col("pair").isNull(), "extra").otherwise("changed")
+    either = [F.coalesce(k, f"_{k}").alias(k) for k in ("file", "seq", "page_id", "start", "length")]
+    return met.select(*either, "hash", F.col("_hash").alias("other_hash"), kind.alias("kind"))
 
 
 def packed(records: DataFrame, page_id: str = "page_id", content: str = "record") -> DataFrame:
     """(file, content): each file's records in order, as the bytes of one WARC file."""
+
+    @arrow_udf("binary")
+    def together(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in batches:
+            yield pa.array([b"".join(x) for x in arr.to_pylist()], pa.binary())
+
     hashed = records.select(F.floor(F.col(page_id) / RECORDS).cast("long").alias("file"), F.struct(F.col(page_id), F.sha2(F.col(content), 256), F.col(content).alias("c")).alias("r"))
-    return hashed.groupBy("file").agg(F.sort_array(F.collect_list("r")).alias("r")).select("file", F.aggregate("r", F.lit(b""), lambda x, y: F.concat(x, y["c"])).alias("content"))
+    return hashed.groupBy("file").agg(F.sort_array(F.collect_list("r")).alias("r")).select("file", together(F.transform("r", lambda x: x["c"])).alias("content"))
 
 
 _LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)")

@@ -150,6 +150,11 @@ def test_damage_kinds(spark):
     right = [r if r[0] != 600 else (600, r[1], "<p>!</p>") for r in left[:-1]]
     got = {(r["page_id"], r["kind"], r["seq"]) for r in warc.damage(warc.leaves(records(spark, *left)), warc.leaves(records(spark, *right))).collect()}
     assert got == {(600, "changed", 88), (699, "missing", 187)}
+    # a record lost or put in between moves no other
+    less = [r for r in left if r[0] not in (50, 51)]
+    more = [(-3, "u", "new"), *less[:300], (less[300][0], "u", "twin"), *less[300:], (900, "u", "new")]
+    got = {(r["page_id"], r["kind"]) for r in warc.damage(warc.leaves(records(spark, *left)), warc.leaves(records(spark, *more))).collect()}
+    assert got == {(50, "missing"), (51, "missing"), (-3, "extra"), (less[300][0], "extra"), (900, "extra")}
     same = records(spark, *left)
     assert warc.damage(warc.leaves(same), warc.leaves(same)).count() == 0
 
@@ -159,7 +164,9 @@ def test_roots_by_hand(spark):
     base = warc.leaves(records(spark, *rows))
     hashes = [r["hash"] for r in base.orderBy("seq").collect()]
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    want = sha(sha("".join(hashes[:16])) + sha("".join(hashes[16:])))
+    above = lambda nodes: sha(",".join(f"{k}:{x}" for k, x in nodes))
+    places = [(i, above([(i, x)])) for i, x in enumerate(hashes)]
+    want = above([(0, above(places[:16])), (1, above(places[16:]))])
     assert [r["hash"] for r in warc.tree(base, 2)[-1].collect()] == [want]
 
 
@@ -197,4 +204,9 @@ def test_list_intervals(spark):
     assert got.count() == len(rows)
     for r in got.collect():
         assert (r["blocked"], r["n_active"]) == (r["want"], r["want_n"]), r
+    # keys that differ in case or a final dot are one; very long hosts are cut to no more parents than names have labels
+    pairs = spark.createDataFrame([("l", "block", "example.com", "2024-01-10", True), ("l", "block", "EXAMPLE.com.", "2024-01-10", False)], "list string, action string, key string, at string, added boolean").withColumn("at", F.col("at").cast("timestamp"))
+    assert url_filter.matched(df, pairs).filter("blocked").count() == 0
+    far = spark.createDataFrame([("http://" + "a." * 5000 + "example.com/",)], "url string").withColumn("fetched_at", F.lit("2024-01-15").cast("timestamp"))
+    assert url_filter.matched(far, entries).first()["blocked"]
     assert url_filter.matched(df.limit(0), entries).count() == 0 and url_filter.matched(df, entries.limit(0)).filter("blocked").count() == 0
