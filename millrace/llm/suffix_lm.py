@@ -292,8 +292,8 @@ def _asked(chunk: int, kind: int, parts: int, keys: np.ndarray, n: np.ndarray) -
 
 
 def _summed(asked: pa.Table) -> pa.Table:
-    """One range: what all chunks sent of each key added up, and the sums in each chunk's own order. Of words the first row
-    also tells how many there are that occur, once, and twice."""
+    """One range: what all chunks sent of each key added up, and the sums in each chunk's own order. The first row
+    also tells how many have a sum, one of 1, one of 2, and (as far as it fits) the sum of all."""
     rows = asked.to_pylist()
     keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["size"]), dtype=np.uint64) for r in rows])
     n = np.concatenate([unpacked(r["n"], r["size"]) for r in rows])
@@ -304,7 +304,7 @@ def _summed(asked: pa.Table) -> pa.Table:
     for r in rows:
         out.append(packed(whole[place[at : at + r["size"]]]) if r["size"] else b"")
         at += r["size"]
-    stats = [[int((whole > 0).sum()), int((whole == 1).sum()), int((whole == 2).sum()), int(whole.sum())]] + [None] * (len(rows) - 1)
+    stats = [[int((whole > 0).sum()), int((whole == 1).sum()), int((whole == 2).sum()), int(whole.sum()) & (1 << 62) - 1]] + [None] * (len(rows) - 1)
     return pa.table({"chunk": asked["chunk"], "part": asked["part"], "size": asked["size"], "n": pa.array(out, pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
 
 
@@ -335,9 +335,8 @@ class Exchange:
             out = out.join(df.select("chunk", F.col("rows").alias(f"rows{k}")), "chunk")
         return out
 
-    def asked(self, answers: list[DataFrame], send: Callable[[Chunk, list[dict[int, np.ndarray]]], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> tuple[DataFrame, tuple[int, int, int, int]]:
-        """The answers, stored, to what ``send`` gives of each chunk: kind of keys, keys and numbers; and for keys of kind 1
-        how many have a sum, one of 1, one of 2, and the sum of all."""
+    def asked(self, answers: list[DataFrame], send: Callable[[Chunk, list[dict[int, np.ndarray]]], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
+        """The answers, stored, to what ``send`` gives of each chunk: kind of keys, keys and numbers."""
         parts, given = self.parts, len(answers)
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,9 +348,12 @@ class Exchange:
         sent = self.met(answers, _CHUNK).mapInArrow(ask, _ASKED)
         back = sent.groupBy("part").applyInArrow(_summed, "chunk long, part long, size long, n binary, stats array<long>")
         listed = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "size", "n", "stats"))).alias("rows"))
-        kept = self._kept(listed)  # a chunk's slices are as large as the chunk
-        one = kept.select(F.explode("rows").alias("r")).filter((F.col("r.part") < 2 * parts) & F.col("r.stats").isNotNull())
-        return kept, tuple(one.agg(*[F.coalesce(F.sum(F.col("r.stats")[k]), F.lit(0)) for k in range(4)]).first())
+        return self._kept(listed)  # a chunk's slices are as large as the chunk
+
+    def word_stats(self, answers: DataFrame) -> tuple[int, int, int, int]:
+        """Of words: how many occur, once, twice, and how often in all."""
+        one = answers.select(F.explode("rows").alias("r")).filter((F.col("r.part") < 2 * self.parts) & F.col("r.stats").isNotNull())
+        return tuple(one.agg(*[F.coalesce(F.sum(F.col("r.stats")[k]), F.lit(0)) for k in range(4)]).first())
 
 
 def _answers(batch: pa.RecordBatch, row: int, given: int, parts: int) -> list[dict[int, np.ndarray]]:
@@ -374,14 +376,15 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: i
     def words_and_pairs(c: Chunk, known: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield from ((k, c.keys[k], c.own(k)) for k in (1, 2))
 
-    pairs, (distinct_words, once, twice, total) = exchange.asked([], words_and_pairs)
+    pairs = exchange.asked([], words_and_pairs)
+    distinct_words, once, twice, total = exchange.word_stats(pairs)
     discount = once / (once + 2 * twice) if once and twice else 0.5
 
     def longer(c: Chunk, known: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         c.learn_pairs(known[0])
         yield from ((k, c.keys[k], c.own(k)) for k in range(3, DEPTH + 2))
 
-    runs, _ = exchange.asked([pairs], longer)
+    runs = exchange.asked([pairs], longer)
 
     def contexts(c: Chunk, known: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         c.learn_pairs(known[0])
@@ -390,7 +393,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: i
         for k, at in c.contexts().items():
             yield k, c.keys[k][at], good[k][at].astype(np.uint64) << _FLAG | c.lone(k)[at]
 
-    kept, _ = exchange.asked([pairs, runs], contexts)
+    kept = exchange.asked([pairs, runs], contexts)
     parts, norm = exchange.parts, float(np.log10(total + 0.5 * (distinct_words + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
