@@ -86,5 +86,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(df) if table in ("documents", "pages") else df
 
 
+#: A key is hot if it has more than 1 / HOT_KEYS of all rows, so there are fewer than HOT_KEYS; below HOT_ROWS rows a task takes any.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+
+
+def met(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Inner join of stored ``rows`` with ``values``, one row for each key: hot keys' values are broadcast, so that their rows
+    stay where they are and no task gets all of them; other keys are shuffled."""
+    sizes = rows.groupBy(key).count()
+    least = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = [r[0] for r in sizes.filter(F.col("count") > least).select(key).collect()]
+    if not hot:
+        return rows.join(values, key)
+    some = F.col(key).isin(hot)
+    return rows.filter(some).join(F.broadcast(values.filter(some)), key).unionByName(rows.filter(~some).join(values, key))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

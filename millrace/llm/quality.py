@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import checkpointed
+
 #: Frequent function words of each language (fixed values).
 COMMON = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for"],
@@ -42,6 +44,8 @@ SCRIPTS = ["Arabic", "Hebrew", "Devanagari", "Bengali", "Tamil", "Thai", "Han",
 CASELESS = r"[\p{Lo}\p{M}]"
 #: Share of lower-case letters, or of letters without case, in the words of a document that counts for a reference.
 MIN_LETTERS = 0.85
+#: Rows of references that are broadcast; beyond, they meet the documents in a shuffle.
+REFERENCES = 10_000
 #: Limits of the two distances: the floor, and what 1 / sqrt(words) is multiplied by.
 CLASS_FLOOR, CLASS_SPREAD = 0.16, 1.45
 WORD_FLOOR, WORD_SPREAD = 0.22, 2.7
@@ -151,7 +155,9 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     )
-    out = out.join(F.broadcast(references(df, text, lang)), "_group", "left")
+    known = checkpointed(references(df, text, lang))
+    # languages without a word list have a row for each value and script: they may be garbage without number
+    out = out.join(F.broadcast(known) if known.count() <= REFERENCES else known, "_group", "left")
     out = out.withColumns({"class_distance": distance(F.col("_classes"), F.col("_ref_classes")), "word_distance": distance(F.col("_common"), F.col("_ref_common"))})
     n = F.greatest(F.col("n_words"), F.lit(1))
     over = lambda d, floor, spread: F.coalesce(F.col(d) > F.greatest(F.lit(floor), F.lit(spread) / F.sqrt(n)), F.lit(False))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import bounded_batches, byte_slices, checkpointed
+from millrace.llm.common import bounded_batches, byte_slices, checkpointed, met
 
 BITS = 64
 SEED = 42
@@ -36,6 +36,10 @@ BLOCK = 4096
 GROUP = 1024
 #: Buckets of more fingerprints are split by bands of their remaining bits before they are dealt out in blocks.
 SPLIT = 32 * BLOCK
+#: Links from which on hot centres are looked for in each round.
+LINKS = 100_000
+#: Keys of dropped rows that are broadcast; beyond, rows and keys are shuffled.
+BROADCAST_KEYS = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -214,15 +218,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     # large-star: each node's larger neighbours go to its smallest one; small-star: its smaller ones do
     edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     last = None
+    count = edges.count()
     for _ in range(rounds):
+        # a star of many links would meet its centre in one task
+        join = met if count > LINKS else lambda rows, values, key: rows.join(values, key)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join(both.filter("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = join(large, low, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        count = now[0]
         if now == last:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = now
@@ -232,12 +240,45 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fp (signed 64 bits), component_id (smallest doc_id reachable), component (a fingerprint of it)."""
     marked = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle).alias("fp")))
+    return met(marked, grouped(marked, radius), "fp").select("doc_id", "fp", "component_id", "component")
+
+
+def grouped(marked: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, component_id, component) of each fingerprint in stored rows (doc_id, fp)."""
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     found = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "component")
+    linked = checkpointed(distinct.join(found, distinct["fp"] == found["node"]).select("fp", "low", "root"))
+    # a root is a node too, whose row is not among the links' nodes
+    roots = linked.select("root").distinct().join(distinct, F.col("root") == F.col("fp")).select("fp", "low", "root")
+    least = linked.unionByName(roots).groupBy("root").agg(F.min("low").alias("component_id"))
+    named = met(linked.select("fp", "root"), least, "root").unionByName(least.select("root", F.col("root").alias("fp"), "component_id"))
+    alone = distinct.join(linked.select("fp").unionByName(roots.select("fp")).distinct(), "fp", "left_anti")
+    return named.select("fp", "component_id", F.col("root").alias("component")).unionByName(alone.select("fp", F.col("low").alias("component_id"), F.col("fp").alias("component")))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, one of the smallest id in it; rows without an id all stay.
+
+    Rows are told apart by id and a 64-bit hash of the text; only these are shuffled, and the texts where more than
+    BROADCAST_KEYS of them are dropped.
+    """
+    key = F.xxhash64(F.col(text))
+    marked = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), key.alias("_h"), fingerprints(F.col(text), shingle).alias("fp")))
+    rows = checkpointed(marked.filter("doc_id IS NOT NULL").groupBy("doc_id", "_h", "fp").count())
+    placed = checkpointed(met(rows, grouped(marked.select("doc_id", "fp"), radius), "fp"))
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "_h")).alias("x")).select("x.*")
+    ids, own = placed.select("doc_id", "_h", "count"), [F.col(doc_id).alias("_id"), key.alias("_h")]
+    gone = checkpointed(ids.join(first, ["doc_id", "_h"], "left_anti").select(F.col("doc_id").alias("_id"), "_h"))
+    again = checkpointed(ids.filter("count > 1").join(first, ["doc_id", "_h"], "left_semi").select(F.col("doc_id").alias("_id"), "_h"))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+    kept = docs.select(F.struct(*docs.columns).alias("_own"), *own).join(small(gone), ["_id", "_h"], "left_anti")
+    if not again.isEmpty():
+        repeated = kept.join(small(again), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+        kept = kept.join(small(again), ["_id", "_h"], "left_anti").unionByName(repeated)
+    return kept.select("_own.*")
 
 
 def hex_digits(fp: Column) -> Column:
