@@ -28,12 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: one of the smallest id in it; and all rows without an id."""
-    named = docs.filter("doc_id IS NOT NULL")
-    marked = named.withColumn("_fp", simhash.fingerprints(F.col("text")))
-    roots = simhash.near_duplicates(docs).select(F.col("fp").alias("_fp"), "component").distinct()
-    least = F.struct("doc_id", F.xxhash64("text"), F.struct(*docs.columns))
-    first = marked.join(roots, "_fp").groupBy("component").agg(F.min(least).alias("x"))
-    return first.select("x.col3.*").unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    return simhash.one_of_each(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
