@@ -346,8 +346,9 @@ class Exchange:
                         yield _asked(batch.column("chunk")[row].as_py(), kind, parts, keys, n)
 
         sent = self.met(answers, _CHUNK).mapInArrow(ask, _ASKED)
-        back = sent.groupBy("part").applyInArrow(_summed, "chunk long, part long, size long, n binary, stats array<long>")
-        listed = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "size", "n", "stats"))).alias("rows"))
+        # as many tasks as ranges, and as buckets, whatever the session's number of partitions
+        back = sent.repartition(max(parallelism(self.spark), 3 * self.parts), "part").groupBy("part").applyInArrow(_summed, "chunk long, part long, size long, n binary, stats array<long>")
+        listed = back.repartition(self.buckets, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "size", "n", "stats"))).alias("rows"))
         return self._kept(listed)  # a chunk's slices are as large as the chunk
 
     def word_stats(self, answers: DataFrame) -> tuple[int, int, int, int]:
