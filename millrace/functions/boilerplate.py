@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: Patterns of each category, in the order in which they are removed.
 CATALOG: dict[str, list[str]] = {
-    "legal": [r"(?i)required\s+qualifications(?:\s|$)", r"(?i)qualifications\s+experience", r"(?i)equal\s+opportunity", r"(?i)affirmative\s+action", r"(?i)fcra\s+disclosure", r"(?i)dbids", r"(?i)background\s+check", r"(?i)export\s+control", r"(?i)security\s+clearance", r"(?i)visa\s+sponsorship", r"(?i)compliance\s+requirements"],
-    "section": [r"(?i)\bjd\s*[:|-]", r"(?i)\bjob\s+description\s*[:|-]", r"(?i)\boverview\s*[:|-]", r"(?i)\brequirements\s*[:|-]", r"(?i)\bqualifications\s*[:|-]", r"(?i)\bresponsibilities\s*[:|-]", r"(?i)\bkey\s+responsibilities\s*[:|-]", r"(?i)\bwhat\s+you\s+will\s+do\s*[:|-]", r"(?i)\babout\s+the\s+role\s*[:|-]", r"(?i)\bskills\s*[:|-]", r"(?i)\btechnical\s+skills\s*[:|-]"],
-    "company": [r"(?i)we\s+are\s+committed", r"(?i)we\s+believe", r"(?i)our\s+company\s+culture", r"(?i)about\s+\w+\s+(?:inc|ltd|corporation|company)", r"(?i)company\s+mission", r"(?i)our\s+mission", r"(?i)our\s+values", r"(?i)diversity\s+and\s+inclusion"],
-    "time": [r"(?i)full[\s-]?time", r"(?i)part[\s-]?time", r"(?i)\bcontract\b(?!or|ing)", r"(?i)temporary", r"(?i)permanent", r"(?i)interim", r"(?i)shift\s+(?:work|position)"],
-    "salary": [r"(?i)salary.*?(?:\$|year|hour|annually)", r"(?i)\$[\d,]+.*?(?:year|hour|annually)", r"(?i)(?:competitive\s+)?salary", r"(?i)(?:health|medical)\s+benefits", r"(?i)401\s*\(\s*k\s*\)", r"(?i)retirement\s+(?:plan|benefits)", r"(?i)(?:dental|vision|insurance)", r"(?i)(?:pto|paid\s+time\s+off|vacation)", r"(?i)(?:base\s+)?pay", r"(?i)compensation", r"(?i)stock\s+options?", r"(?i)bonus(?:es)?"],
-    "formatting": [r"&nbsp;+", r"&amp;", r"&lt;|&gt;", r"&quot;", r"&#\d+;", r"\s{2,}", r"\n{2,}"],
+    "legal_compliance": [r"(?i)required\s+qualifications(?:\s|$)", r"(?i)qualifications\s+experience", r"(?i)equal\s+opportunity", r"(?i)affirmative\s+action", r"(?i)fcra\s+disclosure", r"(?i)dbids", r"(?i)background\s+check", r"(?i)export\s+control", r"(?i)security\s+clearance", r"(?i)visa\s+sponsorship", r"(?i)compliance\s+requirements"],
+    "section_headers": [r"(?i)\bjd\s*[:|-]", r"(?i)\bjob\s+description\s*[:|-]", r"(?i)\boverview\s*[:|-]", r"(?i)\brequirements\s*[:|-]", r"(?i)\bqualifications\s*[:|-]", r"(?i)\bresponsibilities\s*[:|-]", r"(?i)\bkey\s+responsibilities\s*[:|-]", r"(?i)\bwhat\s+you\s+will\s+do\s*[:|-]", r"(?i)\babout\s+the\s+role\s*[:|-]", r"(?i)\bskills\s*[:|-]", r"(?i)\btechnical\s+skills\s*[:|-]"],
+    "company_boilerplate": [r"(?i)we\s+are\s+committed", r"(?i)we\s+believe", r"(?i)our\s+company\s+culture", r"(?i)about\s+\w+\s+(?:inc|ltd|corporation|company)", r"(?i)company\s+mission", r"(?i)our\s+mission", r"(?i)our\s+values", r"(?i)diversity\s+and\s+inclusion"],
+    "time_references": [r"(?i)full[\s-]?time", r"(?i)part[\s-]?time", r"(?i)\bcontract\b(?!or|ing)", r"(?i)temporary", r"(?i)permanent", r"(?i)interim", r"(?i)shift\s+(?:work|position)"],
+    "salary_benefits": [r"(?i)salary.*?(?:\$|year|hour|annually)", r"(?i)\$[\d,]+.*?(?:year|hour|annually)", r"(?i)(?:competitive\s+)?salary", r"(?i)(?:health|medical)\s+benefits", r"(?i)401\s*\(\s*k\s*\)", r"(?i)retirement\s+(?:plan|benefits)", r"(?i)(?:dental|vision|insurance)", r"(?i)(?:pto|paid\s+time\s+off|vacation)", r"(?i)(?:base\s+)?pay", r"(?i)compensation", r"(?i)stock\s+options?", r"(?i)bonus(?:es)?"],
+    "special_formatting": [r"&nbsp;+", r"&amp;", r"&lt;|&gt;", r"&quot;", r"&#\d+;", r"\s{2,}", r"\n{2,}"],
     "navigation": [r"(?i)apply\s+now", r"(?i)share", r"(?i)save\s+job", r"(?i)next", r"(?i)previous", r"(?i)back\s+to\s+results", r"(?i)view\s+job", r"(?i)hide\s+details", r"(?i)show\s+more", r"(?i)read\s+more"],
 }
 #: Patterns that stand for white space: removed whole in the strict mode, else replaced by one space.

@@ -56,6 +56,7 @@ TECHNOLOGIES = {
     "Vue": [r"\bVue\.js\b", r"\bVue\b"], "Hibernate": [r"\bHibernate\b"], "ARINC 429": [r"ARINC\s+429"], "ARINC 717": [r"ARINC\s+717"], "ARINC 767": [r"ARINC\s+767"], "AWS": [r"\bAWS\b", r"\bAmazon\s+Web\s+Services\b"], "Azure": [r"\bAzure\b"],
     "Kubernetes": [r"\bKubernetes\b", r"\bK8s\b"], "Docker": [r"\bDocker\b"], "Jenkins": [r"\bJenkins\b"], "Git": [r"\bGit\b"], "Maven": [r"\bMaven\b"], "Gradle": [r"\bGradle\b"], "REST": [r"\bREST\b", r"\bRESTful\b"], "GraphQL": [r"\bGraphQL\b"],
     "OpenAPI": [r"\bOpenAPI\b"], "SOAP": [r"\bSOAP\b"], "AI": [r"\bAI\b", r"\bartificial\s+intelligence\b"], "MATLAB": [r"\bMATLAB\b"],
+    "Simulink": [r"\bSimulink\b"], "AI-assisted coding techniques": [r"AI-assisted\s+coding", r"AI\s+coding\s+techniques"], "DOORS Next Generation": [r"DOORS\s+Next\s+Generation", r"DOORS\s+NG"], "JIRA": [r"\bJIRA\b"], "ARM": [r"\bARM\b"],
 }
 #: Where an employer's name is looked for, in this order.
 EMPLOYER_PATTERNS = [

@@ -8,8 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Lines that stand for headers, and marks of raw HTML.
-HEADERS = ("responsibilities", "requirements", "qualifications", "benefits", "about us", "about the role", "what you'll do", "who you are", "skills", "experience", "education", "overview")
-RAW_HTML = ("<html", "<body", "<div", "<p>", "<br", "<span", "<ul", "<script")
+HEADERS = (
+    "qualifications", "desired qualifications", "preferred qualifications", "minimum qualifications", "essential qualifications",
+    "requirements", "must-have", "must haves", "must-haves", "nice-to-have", "nice-to-haves", "nice to have", "nice to haves", "needed",
+    "skills", "technical skills", "core skills", "competencies",
+    "knowledge", "understanding",
+    "responsibilities", "what you'll do", "duties", "accountabilities",
+    "experience", "background",
+    "education",
+    "benefits", "compensation",
+    "about the role", "about this role", "what we're looking for",
+)
+RAW_HTML = ("&lt;", "&gt;", "&amp;", "<html", "<div", "<p>", "<span", "<a href")
 FOLDS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
 BULLET = r"^\s*(?:[*+•-]|\d+[.)])\s+"
 
@@ -81,9 +91,21 @@ def header_title(line: Column) -> Column:
 
 
 def keyword_headers(md: Column) -> Column:
-    """Lines that are a known header word become headers of level 2."""
-    bare = lambda x: F.regexp_replace(F.lower(F.replace(F.btrim(x), F.lit("’"), F.lit("'"))), r":$", "")
-    return each_line(md, lambda x: F.when(bare(x).isin(*HEADERS), F.concat(F.lit("## "), F.regexp_replace(F.btrim(x), r":$", ""))).otherwise(x))
+    """Lines that are a known header phrase, bare or bold, become headers of level 2."""
+
+    def bare(x: Column) -> Column:
+        inner = F.regexp_extract(F.replace(F.btrim(x), F.lit("\\*"), F.lit("*")), r"^\*\*(.+?)\*\*$", 1)
+        return F.btrim(F.regexp_replace(F.btrim(F.when(inner != "", inner).otherwise(F.btrim(x))), r":+$", ""))
+
+    known = lambda x: F.lower(F.replace(bare(x), F.lit("’"), F.lit("'"))).isin(*HEADERS)
+    return each_line(md, lambda x: F.when(known(x), F.concat(F.lit("## "), bare(x))).otherwise(x))
+
+
+def bold_headers(md: Column) -> Column:
+    """Lines that are bold, or start so, become headers of level 3 of the bold part if the next filled line is no header."""
+    # what follows a line is looked at before any line is changed: a bold line is no header to the one before it
+    out = F.regexp_replace(F.coalesce(md, F.lit("")), r"(?m)^[ \t]*\\\*\\\*(.+?)\\\*\\\*[ \t]*$", "**$1**")
+    return F.regexp_replace(out, r"(?m)^[ \t]*\*\*[ \t]*(?!\*)([^*\n]+?)[ \t]*:?[ \t]*\*\*.*$(?=\s*\n\s*[^#\s])", "### $1")
 
 
 def colon_headers(md: Column) -> Column:
@@ -99,7 +121,7 @@ def divided(md: Column) -> Column:
 
 
 def structured(md: Column) -> Column:
-    return divided(colon_headers(keyword_headers(md)))
+    return divided(colon_headers(bold_headers(keyword_headers(md))))
 
 
 def bullets_plain(md: Column) -> Column:
@@ -115,20 +137,12 @@ def has_bullets(md: Column) -> Column:
 
 def bullets(md: Column) -> Column:
     """List items with their indented continuation lines; other text ends an item."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def step(acc: Column, line: Column) -> Column:
-        closed = F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-        item = F.btrim(F.regexp_replace(line, BULLET, ""))
-        more = acc["open"].isNotNull() & line.rlike(r"^\s+\S")
-        return (
-            F.when(line.rlike(BULLET), F.struct(closed.alias("done"), item.alias("open")))
-            .when(more, F.struct(acc["done"].alias("done"), F.concat_ws(" ", acc["open"], F.btrim(line)).alias("open")))
-            .when(F.btrim(line) == "", acc)
-            .otherwise(F.struct(closed.alias("done"), F.lit(None).cast("string").alias("open")))
-        )
-
-    return F.aggregate(lines(md), start, step, lambda acc: F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    marked = F.transform(lines(md), lambda x: F.when(x.rlike(BULLET), F.concat(F.lit("\x01"), F.btrim(F.regexp_replace(x, BULLET, "")))).when(F.btrim(x) == "", F.lit(None)).when(x.rlike(r"^\s+\S"), F.concat(F.lit("\x02"), F.btrim(x))).otherwise(F.lit("\x03")))
+    # one text of items, each with what continues it; other lines end an item and hold nothing
+    whole = F.regexp_replace(F.array_join(F.array_compact(marked), ""), "\x03\x02[^\x01\x03]*", "\x03")
+    whole = F.regexp_replace(whole, "^\x02[^\x01\x03]*", "")
+    found = F.filter(F.split(whole, "(?=[\x01\x03])"), lambda x: x.startswith("\x01"))
+    return F.transform(found, lambda x: F.replace(F.substr(x, F.lit(2)), F.lit("\x02"), F.lit(" ")))
 
 
 def without_emphasis(md: Column) -> Column:

@@ -1,31 +1,58 @@
-"""Chunks of sentences, by words or by tokens."""
+"""Chunks of sentences, by words or by tokens. Where a chunk ends depends on where the one before it did, so chunks are cut in
+one pass over each row's sentences, in Arrow batches."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from millrace.functions import scalars, text
 
+#: Pieces between Unicode white space, as scalars.words has them.
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _count(x: str) -> int:
+    return sum(1 for _ in _WORD.finditer(x))
+
+
+def _texts(x: list | None) -> list[str]:
+    return [s for s in x or [] if s is not None]
 
-def _counted(sentences: Column) -> Column:
-    """Sentences with their numbers of words, counted once each."""
-    return F.transform(sentences, lambda s: F.struct(s.alias("s"), F.size(scalars.words(s)).alias("n")))
+
+def _cut(cut: Callable[[list[str]], list[str]], sentences: Column) -> Column:
+    """Column of array<string>: ``cut`` of each row's sentences, without nulls."""
+
+    @arrow_udf("array<string>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in batches:
+            yield pa.array([cut(_texts(x)) for x in arr.to_pylist()], pa.list_(pa.string()))
+
+    return of(sentences)
 
 
 def chunked(sentences: Column, target_words: int = 100) -> Column:
     """Runs of sentences of at most so many words; a longer sentence is a chunk of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & (acc["n"] + x["n"] > target_words)
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], F.array_join(acc["open"], " "))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(x["s"])).otherwise(F.array_append(acc["open"], x["s"])).alias("open"),
-            F.when(full, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"),
-        )
+    def cut(parts: list[str]) -> list[str]:
+        out: list[str] = []
+        opened: list[str] = []
+        held = 0
+        for s in parts:
+            n = _count(s)
+            if held and held + n > target_words:
+                out.append(" ".join(opened))
+                opened, held = [], 0
+            opened.append(s)
+            held += n
+        return [*out, " ".join(opened)] if held else out
 
-    return F.aggregate(_counted(sentences), start, step, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], F.array_join(acc["open"], " "))).otherwise(acc["done"]))
+    return _cut(cut, sentences)
 
 
 def text_chunks(body: Column, target_tokens: int = 400) -> Column:
@@ -44,27 +71,47 @@ def total_tokens(chunks: Column) -> Column:
 def budgeted(body: Column, target_tokens: int = 400) -> Column:
     """Chunks of a text cut at . ! and ?, each of at most so many estimated tokens; the marks themselves go."""
     parts = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"[.!?]+"), lambda x: F.btrim(x)), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def step(acc: Column, s: Column) -> Column:
-        joined = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(". "), s))
-        full = (acc["open"] != "") & (scalars.word_tokens(joined) > target_tokens)
-        return F.struct(F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"), F.when(full, s).otherwise(joined).alias("open"))
+    def cut(parts: list[str]) -> list[str]:
+        out: list[str] = []
+        opened: list[str] = []
+        held = 0
+        for s in parts:
+            # a joined ". " stands at a word, so words add up; 1.3 tokens for each, as word_tokens has them
+            n = _count(s)
+            if opened and max(1, int((held + n) * 1.3)) > target_tokens:
+                out.append(". ".join(opened))
+                opened, held = [], 0
+            opened.append(s)
+            held += n
+        return [*out, ". ".join(opened)] if opened else out
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    return _cut(cut, parts)
 
 
 def guarded(sentences: Column, spans: Column, target_words: int = 100) -> Column:
     """As ``chunked``, but a chunk waits to end, up to twice its size, while it holds the first word of a span and not the whole."""
-    count = lambda x: F.size(scalars.words(x))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def split(open_text: Column) -> Column:
-        return F.exists(spans, lambda x: open_text.contains(F.substring_index(x, " ", 1)) & ~open_text.contains(x))
-
-    def step(acc: Column, s: Column) -> Column:
-        over = (acc["n"] > 0) & (acc["n"] + count(s) > target_words)
-        full = over & (~split(acc["open"]) | (acc["n"] >= 2 * target_words))
-        return F.struct(F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"), F.when(full | (acc["n"] == 0), s).otherwise(F.concat(acc["open"], F.lit(" "), s)).alias("open"), F.when(full, count(s)).otherwise(acc["n"] + count(s)).alias("n"))
 
-    return F.aggregate(sentences, start, step, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    def cut(parts: list[str], spans: list[str]) -> list[str]:
+        firsts = [(x.split(" ", 1)[0], x) for x in spans]
+        out: list[str] = []
+        opened: list[str] = []
+        held = 0
+        for s in parts:
+            n = _count(s)
+            if held and held + n > target_words:
+                # a chunk is at most twice its size when it is looked at
+                body = " ".join(opened)
+                if held >= 2 * target_words or not any(a in body and x not in body for a, x in firsts):
+                    out.append(body)
+                    opened, held = [], 0
+            opened.append(s)
+            held += n
+        return [*out, " ".join(opened)] if held else out
+
+    @arrow_udf("array<string>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for parts, held in batches:
+            yield pa.array([cut(_texts(x), _texts(y)) for x, y in zip(parts.to_pylist(), held.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    return of(sentences, spans)

@@ -145,14 +145,14 @@ def _(v):
     return v.spread("documents").select("doc_id", F.size(parts).cast("long").alias("n_lines"), F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long").alias("n_filled"))
 
 
-@query("boilerplate_flags", "SELECT doc_id, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in boilerplate.CATALOG["navigation"]) + " AS navigation, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in boilerplate.CATALOG["company"]) + " AS company FROM documents", views=False)
+@query("boilerplate_flags", "SELECT doc_id, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in boilerplate.CATALOG["navigation"]) + " AS navigation, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in boilerplate.CATALOG["company_boilerplate"]) + " AS company FROM documents", views=False)
 def _(v):
-    return v.spread("documents").select("doc_id", boilerplate.has_boilerplate(F.col("text"), "navigation").alias("navigation"), boilerplate.has_boilerplate(F.col("text"), "company").alias("company"))
+    return v.spread("documents").select("doc_id", boilerplate.has_boilerplate(F.col("text"), "navigation").alias("navigation"), boilerplate.has_boilerplate(F.col("text"), "company_boilerplate").alias("company"))
 
 
 def _removed(column: str) -> str:
     out = column
-    for category in ("legal", "company", "navigation"):
+    for category in ("legal_compliance", "company_boilerplate", "navigation"):
         for p in boilerplate.CATALOG[category]:
             out = f"regexp_replace({out}, '{p}', '', 'g')"
     return out
@@ -160,7 +160,7 @@ def _removed(column: str) -> str:
 
 @query("boilerplate_removed", f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {_removed('text')} AS t FROM documents)", views=False)
 def _(v):
-    clean = boilerplate.without_boilerplate(F.col("text"), ("section", "time", "salary", "formatting"))
+    clean = boilerplate.without_boilerplate(F.col("text"), ("section_headers", "time_references", "salary_benefits", "special_formatting"))
     return v.spread("documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.md5(clean).alias("digest"))
 
 

@@ -53,6 +53,53 @@ def test_markdown_lines(spark):
     assert value(spark, lambda x: text.sentences(x), "One e.g. two. Three!\nFour", None) == [["One e.g. two.", "Three!", "Four"], []]
 
 
+def test_header_lines(spark):
+    md = "Intro\nMust-Have:\n**Preferred Qualifications**\nx\n**Tools** include:\nGo\n**Last**\n# End\n\\*\\*Why\\*\\*\n\ny\n**Alone**\n\n**Then**\nz\nTeam:\n- a"
+    want = "Intro\n## Must-Have\n## Preferred Qualifications\nx\n### Tools\nGo\n**Last**\n# End\n### Why\n\ny\n### Alone\n\n### Then\nz\nTeam:\n- a"
+    assert value(spark, lambda x: text.bold_headers(text.keyword_headers(x)), md, None) == [want, ""]
+    assert value(spark, lambda x: text.structured(x), "a\n**Skills**\nb\nTeam:\nc") == ["a\n\n---\n## Skills\nb\n\n---\n### Team\nc"]
+    assert value(spark, lambda x: text.is_raw_html(x), "see <a href='x'>", "AT&amp;T", "a &lt;b", "a <br> b", "plain", "", None) == [True, True, True, False, False, True, True]
+    assert value(spark, lambda x: boilerplate.has_boilerplate(x, "legal_compliance"), "equal opportunity") == [True]
+
+
+def slow_bullets(md):
+    out, item = [], None
+    for line in md.split("\n"):
+        if m := re.match(r"\s*(?:[*+•-]|\d+[.)])\s+", line):
+            out += [item] if item is not None else []
+            item = line[m.end() :].strip()
+        elif not line.strip():
+            continue
+        elif item is not None and re.match(r"\s+\S", line):
+            item += " " + line.strip()
+        else:
+            out += [item] if item is not None else []
+            item = None
+    return out + ([item] if item is not None else [])
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["- a", "  b c", "", "d", "* e  f", "1. g", "   h", "-x", "2) i"]), max_size=12), min_size=1, max_size=6))
+def test_bullets_like_python(spark, cases):
+    texts = ["\n".join(x) for x in cases]
+    assert value(spark, lambda x: text.bullets(x), *texts) == [slow_bullets(x) for x in texts]
+
+
+def test_chunks_are_cut_in_one_pass(spark):
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        parts = [f"s{i} and some more words of it" for i in range(n)]
+        df = spark.createDataFrame([(parts,)], "x array<string>").cache()
+        df.count()
+        began = time.time()
+        got = df.select(chunking.chunked(F.col("x"), 100).alias("c")).first()["c"]
+        took.append(time.time() - began)
+        assert len(got) == -(-n // 14) and " ".join(got) == " ".join(parts)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_unknown_polish_rule(spark):
     with pytest.raises(ValueError):
         text.polished(F.lit(""), ["nope"])
