@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import bounded_batches, byte_slices
+from millrace.llm.common import bounded_batches, byte_slices, released
 from millrace.llm.vocab import NONE, Vocabulary, vocabulary_bytes
 
 #: The published word pattern of this vocabulary (a fixed value).
@@ -226,6 +226,7 @@ def round_trip(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     shared = _shared(vocabulary)
 
     @arrow_udf("struct<ids: array<int>, decoded: string>")
+    @released
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(shared.value)
         for arr in batches:

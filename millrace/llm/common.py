@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +37,22 @@ def byte_slices(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[bytes]]
             start, size = i + 1, 0
 
 
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over batches, after which the worker, which lives on for other tasks, gives its free memory back."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return run
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of this session hold BATCH_BYTES at most, so that a worker's memory does not follow its rows."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import bounded_batches, byte_slices
+from millrace.llm.common import bounded_batches, byte_slices, released
 
 #: Edits allowed, as a share of an item's words: similarity of 0.8 or more.
 TOLERANCE = 0.2
@@ -43,7 +43,7 @@ GRAMS = 4
 #: Items of more words than CUT are looked up by parts of at most PART words.
 CUT, PART = 29, 20
 BLOCK_BYTES = 16 << 20
-CACHE = 200_000
+CACHE = 100_000
 #: Stands for a word that no item has, and for what is past a sequence's end.
 FOREIGN, PAST = -1, -2
 
@@ -293,6 +293,7 @@ def _matches(text: Column, ids: list[int | None], items: list[str], tolerance: f
     shared = SparkSession.active().sparkContext.broadcast((ids, items))
 
     @arrow_udf(_HITS)
+    @released
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, texts = shared.value
         matcher = Matcher(texts, tolerance)

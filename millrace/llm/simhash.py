@@ -19,14 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import bounded_batches, byte_slices, checkpointed, met
+from millrace.llm.common import bounded_batches, byte_slices, checkpointed, met, released
 
 BITS = 64
 SEED = 42
@@ -66,6 +65,7 @@ def fingerprints(text: Column, shingle: int = 4) -> Column:
     bounded_batches(SparkSession.active())
 
     @arrow_udf("bigint")
+    @released
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in batches:
             yield pa.array(np.array([fingerprint(x, shingle) for part in byte_slices(arr) for x in part], np.uint64).view(np.int64), pa.int64())
@@ -194,9 +194,9 @@ def links(prints: DataFrame, radius: int = 4, block: int = BLOCK, split: int = S
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("fp", "own", "band", "key", "sub", "subkey", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
 
-    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        prints = frame["fp"].to_numpy().view(np.uint64)
-        signed, (a, b) = frame["fp"].to_numpy(), key[4:]
+    def compare(key: tuple, frame: pa.Table) -> pa.Table:
+        signed, (a, b) = frame["fp"].to_numpy(), (x.as_py() for x in key[4:])
+        prints = signed.view(np.uint64)
         mine = frame["own"].to_numpy() == a
         if a == b:
             i, j = near(prints, prints, radius)
@@ -208,9 +208,9 @@ def links(prints: DataFrame, radius: int = 4, block: int = BLOCK, split: int = S
         root = _forest(len(prints), i, j)
         member = np.flatnonzero(root != np.arange(len(prints)))
         u, v = signed[member], signed[root[member]]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    return dealt.groupBy("band", "key", "sub", "subkey", "a", "b").applyInPandas(compare, "u long, v long").distinct()
+    return dealt.groupBy("band", "key", "sub", "subkey", "a", "b").applyInArrow(compare, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

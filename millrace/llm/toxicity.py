@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from millrace.llm.common import bounded_batches, bucket_of, byte_slices, stored
+from millrace.llm.common import bounded_batches, bucket_of, byte_slices, released, stored
 
 #: About so many labelled rows are learned from.
 SAMPLE = 40_000
@@ -215,7 +215,7 @@ class Lexicon:
 class Scorer:
     """Features of texts under a lexicon; keeps the kind of each chunk it has met."""
 
-    def __init__(self, terms: Iterable[tuple[str, float]], cache: int = 200_000):
+    def __init__(self, terms: Iterable[tuple[str, float]], cache: int = 100_000):
         self.lexicon = Lexicon(terms, misspelt)
         self.cache = cache
         self.seen: set[str] = set()
@@ -316,7 +316,7 @@ def _term_counts(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
                 part_items = items[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part_items]), pa.array([label] * len(part_items), pa.int32()), pa.array([n for _, n in part_items], pa.int64())], ["term", "toxic", "n"])
 
-    return rows.mapInArrow(count, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(released(count), "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -336,6 +336,7 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_i
     bounded_batches(docs.sparkSession)
 
     @arrow_udf("array<double>")
+    @released
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(terms)
         for arr in batches:
@@ -385,6 +386,7 @@ def scores(text: Column, model: Model) -> Column:
     bounded_batches(SparkSession.active())
 
     @arrow_udf("double")
+    @released
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model.terms)
         for arr in batches:
