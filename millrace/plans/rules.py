@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import rules
 from millrace.operators import requirements
+from millrace.plans import sql
 from millrace.plans.catalog import query
 from millrace.plans.texts import SAID, said
 
@@ -41,9 +42,16 @@ def _(v):
     return v.table("customer").select("c_custkey", rules.is_employer(name).alias("whole"), rules.is_employer(name, whole=False).alias("part"))
 
 
-@query("named_technologies")
+#: Technologies whose patterns look ahead, which RE2 can't.
+_AHEAD = sorted(n for n, ps in rules.TECHNOLOGIES.items() if any("(?!" in p for p in ps))
+_NAMED = ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(t, {sql.quoted('(?i)' + p)})" for p in ps) + f" THEN {sql.quoted(n)} END" for n, ps in sorted(rules.TECHNOLOGIES.items()) if n not in _AHEAD)
+_USED = "concat(sentence, CASE kind WHEN 0 THEN ' DOORS NG, JIRA, K8s, ReactJS' WHEN 1 THEN ' AI coding techniques on ARM with Simulink' WHEN 2 THEN ' C++, RESTful APIs, Postgres' ELSE '' END)"
+
+
+@query("named_technologies", SAID + f"SELECT id, part, kind, array_to_string(list_filter([{_NAMED}], lambda x: x IS NOT NULL), '|') AS technologies FROM (SELECT id, part, kind, {_USED} AS t FROM said)", views=False)
 def _(v):
-    return said(v).select("id", "part", "kind", rules.named_technologies(F.col("sentence")).alias("technologies"))
+    named = rules.named_technologies(F.expr(_USED))
+    return said(v).select("id", "part", "kind", F.array_join(F.filter(named, lambda x: ~x.isin(*_AHEAD)), "|").alias("technologies"))
 
 
 @query("employer_of_markdown", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Acme ' || o_orderpriority WHEN 1 THEN 'Field Co ' || o_orderkey ELSE 'Blue Robotics' END AS employer FROM orders", views=False)
@@ -104,7 +112,7 @@ def _(v):
     return v.table("orders").select("o_orderkey", F.array_join(rules.bullet_texts(md), "|").alias("items"))
 
 
-@query("sentence_requirements")
+@query("sentence_requirements", SAID + f'SELECT id, part, sentence, "trigger", confidence, priority, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, part, sentence) AS rank FROM ({sql.classified("SELECT * FROM said")}) WHERE confidence >= 0.5) WHERE rank <= 20', views=False)
 def _(v):
     """Sentences of documents' items with the best trigger each, at most 20 to a posting."""
     from pyspark.sql import Window

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import boilerplate, lexicons, markdown, scalars, text
 from millrace.operators import chunking, cost, report, requirements, scoring, search, similarity
-from millrace.plans import batch
+from millrace.plans import batch, sql
 from millrace.plans.catalog import query
 from millrace.streaming import events
 
@@ -44,11 +44,7 @@ SAID = (
 )
 
 
-@query(
-    "trigger_requirements",
-    SAID + "SELECT id, part, kind, CASE kind WHEN 0 THEN 'required' WHEN 1 THEN 'must' WHEN 3 THEN 'nice to have' WHEN 4 THEN 'experience with' ELSE 'ability to' END AS trigger, CASE kind WHEN 0 THEN 0.95 WHEN 1 THEN 0.93 WHEN 3 THEN 0.15 WHEN 4 THEN 0.73 ELSE 0.92 END::DOUBLE AS confidence FROM said WHERE kind NOT IN (2, 5)",
-    views=False,
-)
+@query("trigger_requirements", SAID + 'SELECT id, part, kind, "trigger", confidence FROM (' + sql.classified("SELECT * FROM said") + ")", views=False)
 def _(v):
     return requirements.with_class(said(v), "sentence", "c").select("id", "part", "kind", "c.trigger", "c.confidence")
 
@@ -59,12 +55,12 @@ def _(v):
     return said(v).select("id", "part", spans).select("id", "part", "s.*")
 
 
-@query("technologies", SAID + "SELECT id, part, kind, CASE kind WHEN 1 THEN 'python' WHEN 4 THEN 'docker,sql' ELSE '' END AS technologies FROM said", views=False)
+@query("technologies", SAID + f"SELECT id, part, kind, array_to_string({sql.found_words('sentence', lexicons.terms(lexicons.TECHNOLOGY))}, ',') AS technologies FROM said", views=False)
 def _(v):
     return said(v).select("id", "part", "kind", F.array_join(lexicons.found_words(F.col("sentence"), lexicons.terms(lexicons.TECHNOLOGY)), ",").alias("technologies"))
 
 
-@query("soft_skills", SAID + "SELECT id, part, kind, CASE kind WHEN 6 THEN 'communication' ELSE '' END AS skills FROM said", views=False)
+@query("soft_skills", SAID + f"SELECT id, part, kind, array_to_string({sql.found_phrases('sentence', lexicons.terms(lexicons.SOFT_SKILLS))}, ',') AS skills FROM said", views=False)
 def _(v):
     return said(v).select("id", "part", "kind", F.array_join(lexicons.found_phrases(F.col("sentence"), lexicons.terms(lexicons.SOFT_SKILLS)), ",").alias("skills"))
 
@@ -78,23 +74,47 @@ def _(v):
     return v.table("events").select("event_id", lexicons.domain(F.expr(_DOMAIN_TEXT)).alias("domain"))
 
 
-@query("lexicon_counts")
+_LEXICONS = {"technology": lexicons.TECHNOLOGY, "soft_skills": lexicons.SOFT_SKILLS}
+
+
+@query("lexicon_counts", "SELECT lexicon, category, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS lexicon, '{c}' AS category, unnest({sql.listed(ts)}) AS term" for n, x in _LEXICONS.items() for c, ts in x.items()) + ") GROUP BY ALL", views=False)
 def _(v):
     return lexicons.counts(lexicons.table(v.spark, technology=lexicons.TECHNOLOGY, soft_skills=lexicons.SOFT_SKILLS))
 
 
-@query("entity_filter")
+_FLIPS = r"(len(list_filter(string_split(regexp_replace(regexp_replace(e, '([a-z])([A-Z])', '\1' || chr(1) || '\2', 'g'), '([A-Z])([a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda z: z <> '')) - 1)"
+_FRAGMENT = rf"({_FLIPS} >= 3 AND lower(e) <> 'javascript') OR length(regexp_replace(e, '[^(\[{{]', '', 'g')) <> length(regexp_replace(e, '[^)\]}}]', '', 'g')) OR regexp_matches(e, '<[^>]*>|&\w+;') OR (len(regexp_split_to_array(trim(e), '\s+')) >= 4 AND regexp_matches(e, '(?i)\s(?:and|or|but)\s'))"
+_NOISE = r"length(trim(e)) NOT BETWEEN 2 AND 70 OR regexp_matches(trim(e), '^[\d\s.,%+-]+$') OR contains(e, '$') OR regexp_matches(trim(e), '(?i)^(?:the|a|an)\s')"
+
+
+@query("entity_filter", f"SELECT p_partkey, array_to_string(list_sort(list(DISTINCT e)), '|') AS entities FROM (SELECT p_partkey, unnest([p_name, 'the ' || p_name, '(open', '12%', 'JavaScript', p_brand, 'one two and three four']) AS e FROM part) WHERE NOT ({_FRAGMENT}) AND NOT ({_NOISE}) GROUP BY p_partkey", views=False)
 def _(v):
     made = F.array(F.col("p_name"), F.concat(F.lit("the "), "p_name"), F.lit("(open"), F.lit("12%"), F.lit("JavaScript"), F.col("p_brand"), F.lit("one two and three four"))
-    return v.table("part").select("p_partkey", lexicons.entities(made, ("javascript",)).alias("entities"))
+    return v.table("part").select("p_partkey", F.array_join(lexicons.entities(made, ("javascript",)), "|").alias("entities"))
+
 
+_FACTS = {"years": r"\d+\+?\s*(?:years|yrs)", "degrees": r"(?:Bachelor|Master|PhD|BS|MS|BA|MA)(?:''s)?(?:\s+degree)?", "citizen": r"(?:U\.?S\.?\s+)?[Cc]itizen(?:ship)?"}
+_STATED = " A Master's degree, MS or BS; U.S. citizen, citizenship."
 
-@query("facts")
+
+@query("facts", SAID + "SELECT id, part, " + ", ".join(f"array_to_string(list_sort(list_distinct(regexp_extract_all(sentence || {sql.quoted(_STATED)}, '{p}'))), '|') AS {n}" for n, p in _FACTS.items()) + " FROM said", views=False)
 def _(v):
-    return said(v).select("id", "part", lexicons.facts(F.col("sentence")).alias("f")).select("id", "part", "f.*")
+    rows = said(v).select("id", "part", lexicons.facts(F.concat("sentence", F.lit(_STATED))).alias("f")).select("id", "part", "f.*")
+    return rows.withColumns({n: F.array_join(F.array_sort(n), "|") for n in _FACTS})
+
 
+_IN_SECTIONS = "SELECT id, 1 AS line, part, sentence, 0.15 AS boost, 'REQUIREMENTS' AS label FROM said UNION ALL SELECT DISTINCT id, 2, 0, 'Ability to sing.', -0.25, 'NICE_TO_HAVE' FROM said"
+_BY_SECTION = sql.classified("SELECT * EXCLUDE (sentence), unnest(" + sql.sentences("sentence") + f") AS sentence FROM ({_IN_SECTIONS})")
 
-@query("sections")
+
+@query(
+    "sections",
+    SAID
+    + f"""SELECT id AS doc_id, requirement, "trigger", confidence AS base_confidence, boost::DOUBLE AS section_boost, label AS section, final_confidence, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY final_confidence DESC, line, requirement) AS rank FROM (
+    SELECT DISTINCT id, line, sentence AS requirement, "trigger", confidence, boost, label, round(greatest(0, least(1, confidence + boost)), 3)::DOUBLE AS final_confidence FROM ({_BY_SECTION})) WHERE final_confidence >= 0.5) WHERE rank <= 20""",
+    views=False,
+)
 def _(v):
     docs = said(v).groupBy("id").agg(F.array_sort(F.collect_list("sentence")).alias("s")).select(F.col("id").alias("doc_id"), F.concat(F.lit("# Role\n\n## Requirements\n- "), F.array_join("s", "\n- "), F.lit("\n\n## Benefits\nRequired: a smile.\n\n**Nice to have**\nAbility to sing.")).alias("text"))
     return requirements.by_section(docs)
@@ -128,12 +148,12 @@ def _(v):
     return v.spread("documents").select("doc_id", F.round(cost.call_cost(scalars.word_tokens(F.col("text")), F.lit(300), 3.0, 15.0), 9).alias("cost"))
 
 
-@query("sentences")
+@query("sentences", "SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS n, unnest(s) AS sentence FROM (SELECT doc_id, " + sql.sentences("text") + " AS s FROM documents)", views=False)
 def _(v):
     return v.spread("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence"))
 
 
-@query("chunks")
+@query("chunks", "SELECT *, len(" + sql.words("chunk") + ")::INT AS words FROM (SELECT doc_id, (generate_subscripts(c, 1) - 1)::INT AS n, unnest(c) AS chunk FROM (SELECT doc_id, " + sql.chunks("s", 100) + " AS c FROM (SELECT doc_id, " + sql.sentences("text") + " AS s FROM documents)))", views=False)
 def _(v):
     docs = v.spread("documents").select("doc_id", text.sentences(F.col("text")).alias("s")).select("doc_id", chunking.chunked(F.col("s")).alias("c"))
     return docs.select("doc_id", F.posexplode("c").alias("n", "chunk")).withColumn("words", F.size(scalars.words(F.col("chunk"))))
@@ -187,9 +207,12 @@ def _(v):
     return v.spread("pages").select("page_id", text.structured(markdown.html_to_markdown(F.col("html"))).alias("md"))
 
 
-@query("raw_html_flags", "SELECT page_id, true AS raw FROM pages", views=False)
+_MARKED = "CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN '' WHEN 2 THEN concat(text, ' AT&amp;T') WHEN 3 THEN concat(text, '<BR>') WHEN 4 THEN concat(text, ' <A HREF=x>') ELSE concat('a &LT; b ', text) END"
+
+
+@query("raw_html_flags", f"SELECT doc_id, t = '' OR len(list_filter({sql.listed(text.RAW_HTML)}, lambda m: contains(lower(t), m))) > 0 AS raw FROM (SELECT doc_id, {_MARKED} AS t FROM documents)", views=False)
 def _(v):
-    return v.spread("pages").select("page_id", text.is_raw_html(F.col("html")).alias("raw"))
+    return v.table("documents").select("doc_id", text.is_raw_html(F.expr(_MARKED)).alias("raw"))
 
 
 @query("markdown_sections")
@@ -198,10 +221,18 @@ def _(v):
     return v.spread("pages").select("page_id", F.posexplode(text.sections(md)).alias("n", "section"))
 
 
-@query("bullets", "SELECT o_orderkey, list_transform(range(1, 4), lambda i: 'item ' || i || CASE WHEN i = 2 THEN ' more of ' || o_orderpriority ELSE '' END)[i] AS bullet, i - 1 AS n FROM orders, range(1, 4) t(i)".replace("list_transform(range(1, 4), lambda i: 'item ' || i || CASE WHEN i = 2 THEN ' more of ' || o_orderpriority ELSE '' END)[i]", "'item ' || i || CASE WHEN i = 2 THEN ' more of ' || o_orderpriority ELSE '' END"), views=False)
+#: Texts with some lines made list items and continuations of them.
+_LISTS = r"regexp_replace(regexp_replace(replace(text, '. ', chr(10)), '(?m)^([A-M])', '- \1', 'g'), '(?m)^([a-h])', '   \1', 'g')"
+_ITEM = r"'^\s*(?:[*+•-]|\d+[.)])\s+'"
+_ITEMS = rf"""list_reduce(list_transform(string_split(md, chr(10)), lambda l: {{'s': l, 'open': false}}), lambda a, x:
+  CASE WHEN regexp_matches(x.s, {_ITEM}) THEN {{'s': a.s || chr(1) || trim(regexp_replace(x.s, {_ITEM}, ''), ' '), 'open': true}}
+    WHEN a.open AND regexp_matches(x.s, '^\s+\S') THEN {{'s': a.s || ' ' || trim(x.s, ' '), 'open': true}} WHEN trim(x.s, ' ') = '' THEN a ELSE {{'s': a.s, 'open': false}} END, {{'s': '', 'open': false}}).s"""
+
+
+@query("bullets", f"SELECT doc_id, unnest(i) AS bullet, generate_subscripts(i, 1) - 1 AS n FROM (SELECT doc_id, string_split({_ITEMS}, chr(1))[2:] AS i FROM (SELECT doc_id, {_LISTS} AS md FROM documents))", views=False)
 def _(v):
-    md = F.concat(F.lit("Intro\n- item 1\n* item 2\n   more of "), "o_orderpriority", F.lit("\n\nlost text\n3. item 3\nend"))
-    return v.table("orders").select("o_orderkey", F.posexplode(text.bullets(md)).alias("n", "bullet")).withColumn("n", F.col("n").cast("long"))
+    md = F.regexp_replace(F.regexp_replace(F.replace("text", F.lit(". "), F.lit("\n")), r"(?m)^([A-M])", "- $1"), r"(?m)^([a-h])", "   $1")
+    return v.spread("documents").select("doc_id", F.posexplode(text.bullets(md)).alias("n", "bullet")).withColumn("n", F.col("n").cast("long"))
 
 
 @query("bullets_plain", "SELECT o_orderkey, 'one.' || chr(10) || 'two: x.' || chr(10) || o_orderpriority AS md FROM orders", views=False)
@@ -209,9 +240,16 @@ def _(v):
     return v.table("orders").select("o_orderkey", text.bullets_plain(F.concat(F.lit("- one\n* two: x.\n"), "o_orderpriority")).alias("md"))
 
 
-@query("normalized_markdown", "SELECT o_orderkey, 'bold it ' || chr(39) || 'q' || chr(39) || ' - ...' || chr(10) || chr(10) || o_orderpriority AS md FROM orders", views=False)
+_MD = ("**Bold** and __strong__ ‘q’ – “x”… ", "\n\n\n*end* _of it_")
+_NORMAL = f"{sql.quoted(_MD[0])} || text || {sql.quoted(_MD[1])}"
+for _p in (r"\*\*(.+?)\*\*", "__(.+?)__", r"\*(.+?)\*", "_(.+?)_"):
+    _NORMAL = f"regexp_replace({_NORMAL}, '{_p}', '\\1', 'g')"
+_NORMAL = f"regexp_replace(replace(translate({_NORMAL}, '‘’“”–—', {sql.quoted(chr(39) * 2 + chr(34) * 2 + '--')}), '…', '...'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query("normalized_markdown", f"SELECT doc_id, md5({_NORMAL}) AS md FROM documents", views=False)
 def _(v):
-    return v.table("orders").select("o_orderkey", text.normalized(F.concat(F.lit("**bold** *it* ‘q’ – …\n\n\n\n"), "o_orderpriority")).alias("md"))
+    return v.spread("documents").select("doc_id", F.md5(text.normalized(F.concat(F.lit(_MD[0]), "text", F.lit(_MD[1])))).alias("md"))
 
 
 @query("polished_markdown")
