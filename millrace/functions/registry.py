@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from millrace.functions import boilerplate, markdown, rules, text
 
@@ -49,8 +51,17 @@ def register_sql(spark: SparkSession) -> list[str]:
     """Registers html_to_markdown and text_likeness for SQL; gives their names."""
     from millrace.operators import similarity
 
-    spark.udf.register("html_to_markdown", markdown.to_markdown, "string")
-    spark.udf.register("text_likeness", similarity.likeness, "double")
+
+    @arrow_udf("string")
+    def to_markdown(html: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else markdown.to_markdown(x) for x in html.to_pylist()], pa.string())
+
+    @arrow_udf("double")
+    def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else similarity.likeness(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+    spark.udf.register("html_to_markdown", to_markdown)
+    spark.udf.register("text_likeness", likeness)
     return ["html_to_markdown", "text_likeness"]
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from millrace.functions import scalars, text
+from millrace.operators import similarity
 
 #: Trigger, pattern and confidence of requirement phrases.
 PHRASES = [
@@ -141,8 +142,11 @@ def section_lines(docs: DataFrame, md: str = "text", key: str = "doc_id") -> Dat
     return rows.withColumn("section", F.last("_header", ignorenulls=True).over(order)).filter(F.col("_header").isNull() & (F.btrim("line") != "")).drop("_header")
 
 
-def by_section(docs: DataFrame, md: str = "text", key: str = "doc_id", least: float = 0.5, most: int = 20, targets_only: bool = True) -> DataFrame:
-    """Requirements (key, requirement, trigger, base_confidence, section_boost, final_confidence, section) of each document, the best first."""
+def by_section(docs: DataFrame, md: str = "text", key: str = "doc_id", least: float = 0.5, most: int = 20, targets_only: bool = True, like: float | None = None) -> DataFrame:
+    """Requirements (key, requirement, trigger, base_confidence, section_boost, final_confidence, section) of each document, the best first.
+
+    With ``like``, of requirements that are so like each other (by similarity.likeness) the longest alone is kept, before the best are taken.
+    """
     rows = section_lines(docs, md, key).withColumn("label", section_of(F.col("section")))
     if targets_only:
         rows = rows.filter(F.col("label").isin(*[n for n, _, _, t in SECTIONS if t]))
@@ -150,10 +154,30 @@ def by_section(docs: DataFrame, md: str = "text", key: str = "doc_id", least: fl
     said = said.select(key, "line_no", "n", "requirement", F.col("_c.trigger").alias("trigger"), F.col("_c.confidence").alias("base_confidence"), section_boost(F.col("label")).alias("section_boost"), F.coalesce("label", F.lit("NONE")).alias("section"))
     said = said.withColumn("final_confidence", F.round(scalars.clamp(F.col("base_confidence") + F.col("section_boost")), 3)).filter(F.col("final_confidence") >= least)
     once = said.withColumn("_same", F.row_number().over(Window.partitionBy(key, F.lower(F.btrim("requirement"))).orderBy(F.desc("final_confidence"), "line_no", "n"))).filter("_same = 1")
+    if like is not None:
+        lists = once.groupBy(key).agg(F.sort_array(F.collect_list("requirement")).alias("_all"))  # a document's own
+        kept = lists.select(key, F.explode(similarity.fuzzy_distinct(F.col("_all"), like)).alias("requirement"))
+        once = once.join(kept, [key, "requirement"], "left_semi")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("final_confidence"), "line_no", "n"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= most).drop("_same", "line_no", "n")
 
 
+def extracted(docs: DataFrame, md: str = "text", key: str = "doc_id", least: float = 0.5, most: int = 25) -> DataFrame:
+    """(key, company, sentences, requirements_count, requirements): the phrases of each text with a confidence of ``least`` or more,
+    the best of equal ones, the most confident first, ``most`` of them at most; the company by the text's headers."""
+    spans = F.filter(requirement_spans(F.col(md)), lambda x: x["confidence"] >= least)
+    out = docs.select(key, _employer(F.col(md)).alias("company"), F.size(text.sentences(F.col(md))).alias("sentences"), spans.alias("_s"))
+    ordered = F.transform(F.array_sort(F.transform("_s", lambda x: F.struct((-x["confidence"]).alias("less"), x["start"].alias("start"), x.alias("x")))), lambda x: x["x"])
+    best = F.transform(F.slice(ordered, 1, most), lambda x: F.struct(*[x[n].alias(n) for n in ("text", "trigger_word", "confidence", "span_type")]))
+    return out.select(key, "company", "sentences", F.size(best).alias("requirements_count"), best.alias("requirements"))
+
+
+def _employer(md: Column) -> Column:
+    """Text of the first header of level 1, else 2, else what stands after company or employer."""
+    found = [F.btrim(F.regexp_extract(md, p, 1)) for p in (r"(?m)^#\s+([^\n]+)", r"(?m)^##\s+([^\n]+)", r"(?i)(?:company|employer):\s*([^\n]+)")]
+    return F.coalesce(*[F.when(x != "", x) for x in found])
+
+
 _PATTERNS = [(t, re.compile(p, re.I), c) for t, p, c in PHRASES]
 #: A word of which each phrase must have one.
 _BEGIN = [("required",), ("must",), ("essential",), ("ability",), ("experience", "background"), ("proficiency",), ("knowledge",), ("understanding",), ("should",), ("prefer",), ("bachelor", "master", "phd"), ("year",), ("nice",), ("ideal",), ("bonus",)]

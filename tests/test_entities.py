@@ -64,3 +64,52 @@ def test_entities_and_routing(spark):
     got = one(spark, ex.routed(F.col("t")), t=md)
     assert (got["skills"], got["requirements"], got["technologies"]) == (["Python 3"], ["Keep docker running", "Know SQL well"], ["docker", "python"])
     assert one(spark, ex.routed(F.col("t")), t=None)["skills"] == []
+
+
+def test_selectors():
+    from millrace.functions import selectors as s
+
+    page = "<div id=a class='x job'><h2> T &amp; U </h2><p>one<br>two<a class=go href='/j?x=1'>see</a></div><div class=job data-k=v7><h2>V</h2><ul><li>q</ul></div>"
+    assert [s.value(page, q) for q in ("h2", ".job > h2", "#a p", "div.job[data-k^=v] h2", "li, h2", "p a.go", "h3", "div > li", "")] == ["T & U", "T & U", "onetwosee", "V", "T & U", "see", None, None, None]
+    assert s.value(page, "a", "href") == "/j?x=1" and s.value(page, "ul", "html") == "<li>q" and s.value(None, "a") is None
+    assert [e.tag for e in s.select(page, "div.job")] == ["div", "div"]
+    for bad in ("h2:first-child", "> a", "a >", "a..b", ""):
+        with pytest.raises(ValueError):
+            s.parsed(bad)
+
+
+def test_landed_pages_by_selectors(spark):
+    from millrace.functions import selectors
+    from millrace.sources import files
+
+    rows = [("c", "http://h/list", "<div class=job><h2>A</h2><a href='/1'>x</a></div><div class=job><h2>B</h2><i>Ulm</i></div><div class=job></div>")]
+    pages = spark.createDataFrame(rows, "company string, url string, html string")
+    boxes = pages.select("company", "url", F.explode(selectors.contents(F.col("html"), "div.job")).alias("html"))
+    got = files.landed(boxes, selectors.extractor("h2", "i", "a")).select("title", "location", "url").collect()
+    assert sorted(map(tuple, got)) == [("A", "Not specified", "http://h/1"), ("B", "Ulm", "http://h/list")]
+
+
+def test_calls_are_made_again_and_fail_alone(spark):
+    from millrace.operators import scoring
+
+    def ask(text):
+        if text == "bad":
+            raise RuntimeError("no")
+        return '{"overall_score": 70, "tech_score": 60, "seniority_score": 50, "location_score": 40}' if text == "good" else "not json"
+
+    df = spark.createDataFrame([(1, "good", "x"), (2, "bad", "x"), (3, "odd", "x"), (4, None, "x")], "id int, prompt string, reply string")
+    out = scoring.scored_replies(scoring.replied(df, ask, attempts=3, pause=0.0))
+    got = {r["id"]: (r["overall_score"], r["is_default"], r["attempts"], r["error"]) for r in out.collect()}
+    assert got == {1: (70.0, False, 1, None), 2: (50.0, True, 3, "RuntimeError: no"), 3: (50.0, True, 1, None), 4: (50.0, True, 1, None)}
+
+
+def test_phrases_of_a_whole_text(spark):
+    from millrace.operators import requirements
+
+    md = "# Acme\n\nRequired: Java. Required: java. You must have a degree in art. Nice to have tea."
+    r = requirements.extracted(spark.createDataFrame([(1, md), (2, None)], "doc_id int, text string"), least=0.5).orderBy("doc_id").collect()
+    assert (r[0]["company"], r[0]["requirements_count"]) == ("Acme", len(r[0]["requirements"])) and r[1]["requirements"] == []
+    scores = [x["confidence"] for x in r[0]["requirements"]]
+    assert scores == sorted(scores, reverse=True) and len({x["text"].lower() for x in r[0]["requirements"]}) == len(scores) and min(scores) >= 0.5
+    docs = spark.createDataFrame([(1, "## Requirements\n- Must have 5+ years of Java work\n- Must have 5 years of Java work.\n- Ability to sing")], "doc_id int, text string")
+    assert [requirements.by_section(docs, like=x).count() for x in (None, 0.8)] == [3, 2]
