@@ -131,9 +131,9 @@ def _(v):
     return v.assessments.filter("overall_score >= 80").orderBy(F.lower("company"), "job_id").limit(200).select("job_id", "company", "overall_score")
 
 
-@query("search_and_status", f"SELECT {J} FROM jobs WHERE (contains(lower(title), 'an') OR contains(lower(company), 'an') OR contains(lower(location), 'an')) AND status = 'pending_review'")
+@query("search_and_status", f"SELECT {J} FROM jobs WHERE (contains(lower(title), 'ur') OR contains(lower(company), 'ur') OR contains(lower(location), 'ur')) AND status = 'pending_review'")
 def _(v):
-    has = lambda c: F.lower(c).contains("an")
+    has = lambda c: F.lower(c).contains("ur")
     return v.jobs.filter((has("title") | has("company") | has("location")) & (F.col("status") == "pending_review"))
 
 

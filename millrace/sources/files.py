@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,20 @@ from millrace import schemas
 COMPANIES = "companies map<string, struct<enabled: boolean, name: string, url: string, selectors: map<string, string>>>"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which goes when the JVM ends; in local mode without one a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def companies(spark: SparkSession, path: str) -> DataFrame:
     """(company, enabled, name, url, selectors, file) of one JSON file or a folder of them; of a company in several files the last file, by name, wins.
 
