@@ -138,10 +138,24 @@ def _(v):
     return found.select("o_orderkey", *[F.array_join(f"r.{n}", "|").alias(n) for n in ("skills", "technologies", "requirements")])
 
 
-@query("normal_requirements")
+def _normal(x: str) -> str:
+    """As extraction.normal_requirement has it, for requirements without an advanced degree."""
+    sub = lambda y, pattern, by: f"regexp_replace({y}, {sql.quoted(pattern)}, {sql.quoted(by)}, 'g')"
+    out = f"trim(replace(trim({x}, ' '), '(Preferred)', ''), ' ')"
+    for pattern, by in extraction.TRIMMED:
+        out = sub(out, pattern, by)
+    out = f"(SELECT CASE WHEN regexp_matches(y, '(?i)^Experience\\s+in\\s+development,\\s+implementation,\\s+and') THEN {sub(sub('y', '(?i)development,\\s+', ''), '(?i),\\s+and\\s+', ' and ')} WHEN regexp_matches(y, '(?i)^Experience\\s+in\\s+development\\s+and') THEN {sub('y', '(?i)development\\s+and\\s+', '')} ELSE y END FROM (SELECT {out} AS y))"
+    for pattern, by in rules.PLAINER:
+        out = sub(out, pattern, by)
+    return f"(SELECT trim(CASE WHEN lower(z) = 'experience in development' THEN '' WHEN contains({x}, '(Preferred)') THEN z || ' (Preferred)' ELSE z END, ' ') FROM (SELECT {sub(out, '\\s*\\(HIL\\)', '')} AS z))"
+
+
+_RAW = "CASE o_orderkey % 3 WHEN 0 THEN concat('Demonstrated experience in  avionics as well as ', o_orderpriority, ', simulations, and software (e.g. x) (Preferred)') WHEN 1 THEN concat('Experience in development, implementation, and testing of ', o_orderstatus, ' on fast-paced projects') ELSE concat('Knows  ', o_orderpriority, ' , rigs (HIL)') END"
+
+
+@query("normal_requirements", f"SELECT o_orderkey, {_normal('t')} AS normal FROM (SELECT o_orderkey, {_RAW} AS t FROM orders)", views=False)
 def _(v):
-    made = F.concat(F.lit("Demonstrated experience in  avionics as well as "), "o_orderpriority", F.lit(", simulations, and software (e.g. x) (Preferred)"))
-    return v.table("orders").select("o_orderkey", extraction.normal_requirement(made).alias("normal"))
+    return v.table("orders").select("o_orderkey", extraction.normal_requirement(F.expr(_RAW)).alias("normal"))
 
 
 __all__ = ["posts", "requirements"]

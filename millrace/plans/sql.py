@@ -64,3 +64,36 @@ def domain(t: str) -> str:
     sums = {n: "(" + " + ".join(f"regexp_matches(lower({t}), {quoted('(?i)' + p)})::INT" for p in ps) + ")" for n, ps in lexicons.DOMAINS.items()}
     best = f"greatest({', '.join(sums.values())})"
     return f"CASE WHEN {best} = 0 THEN 'general' " + " ".join(f"WHEN {s} = {best} THEN '{n}'" for n, s in sums.items()) + " END"
+
+
+#: What the tags of the test pages become in Markdown; all others go.
+_TAGS = [
+    (r"</?(?:p|div|article|footer|nav|title|body)\b[^>]*>", "chr(10) || chr(10)"),
+    (r"<h1[^>]*>", "chr(10) || chr(10) || '# '"),
+    (r"</(?:h1|ul|head|html)>", "chr(10) || chr(10)"),
+    (r"<ul[^>]*>", "chr(10)"),
+    (r"<li[^>]*>", "chr(10) || '- '"),
+    (r"</?b>", "'**'"),
+    (r"<br>", "chr(10)"),
+]
+
+
+def markdown(html: str) -> str:
+    """Markdown of the test pages: tags by what they stand for, then references, lines trimmed, no more than one blank line."""
+    x = html
+    for pattern in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<!DOCTYPE[^>]*>"):
+        x = f"regexp_replace({x}, '{pattern}', '', 'g')"
+    x = rf"regexp_replace({x}, '\s+', ' ', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '<a href=\"([^\"]*)\">(.*?)</a>', '[\2](\1)', 'g'), '</head>|</html>', '', 'g')"
+    for pattern, by in _TAGS:
+        x = rf"regexp_replace({x}, '{pattern}', {by}, 'g')"
+    x = rf"regexp_replace({x}, '<[^>]*>|<[a-zA-Z/!][^>]*$', '', 'g')"
+    for name, by in {"copy": "©", "middot": "·", "lt": "<", "gt": ">", "quot": '"', "nbsp": " ", "amp": "&"}.items():
+        x = f"replace({x}, '&{name};', {quoted(by)})"
+    x = rf"regexp_replace(regexp_replace({x}, '\*\*\s*\*\*|\[\s*\]\([^)]*\)', '', 'g'), '(?m)^[ \t]+|[ \t]+$', '', 'g')"
+    return rf"trim(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+def sections(md: str) -> str:
+    """List of what stands between headers and bold lines."""
+    return rf"list_filter(list_transform(string_split(regexp_replace({md}, '(?m)^(#{{1,3}}\s|\*\*.+\*\*\s*$)', chr(1) || '\1', 'g'), chr(1)), lambda z: trim(z, ' ' || chr(10))), lambda z: z <> '')"

@@ -197,7 +197,7 @@ def _(v):
     return v.spread("pages").select("page_id", text.plain(F.col("html")).alias("plain"))
 
 
-@query("html_markdown")
+@query("html_markdown", f"SELECT page_id, {sql.markdown('html')} AS md FROM pages", views=False)
 def _(v):
     return v.spread("pages").select("page_id", markdown.html_to_markdown(F.col("html")).alias("md"))
 
@@ -215,7 +215,7 @@ def _(v):
     return v.table("documents").select("doc_id", text.is_raw_html(F.expr(_MARKED)).alias("raw"))
 
 
-@query("markdown_sections")
+@query("markdown_sections", f"SELECT page_id, (generate_subscripts(s, 1) - 1)::INT AS n, unnest(s) AS section FROM (SELECT page_id, {sql.sections('md')} AS s FROM (SELECT page_id, {sql.markdown('html')} AS md FROM pages))", views=False)
 def _(v):
     md = markdown.html_to_markdown(F.col("html"))
     return v.spread("pages").select("page_id", F.posexplode(text.sections(md)).alias("n", "section"))
@@ -331,7 +331,15 @@ def _(v):
     return v.table("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("report_markdown")
+_CARD = """concat_ws(chr(10), '### ' || title || ' at ' || company, '- Score: ' || printf('%.1f', overall_score), '- Location: ' || location,
+  CASE WHEN starts_with(recommendations, '["l') THEN '- Advice: ' || array_to_string(from_json(recommendations, '["VARCHAR"]'), '; ') END, summary)"""
+
+
+@query(
+    "report_markdown",
+    f"""SELECT '# Assessments' || chr(10) || chr(10) || '## Top 10' || chr(10) || chr(10) || (SELECT string_agg(card, chr(10) || chr(10) ORDER BY overall_score DESC, job_id) FROM (SELECT job_id, overall_score, {_CARD} AS card FROM assessments ORDER BY overall_score DESC, job_id LIMIT 10))
+  || chr(10) || chr(10) || '## Figures' || chr(10) || chr(10) || (SELECT printf('%d assessments, average %.1f, from %.1f to %.1f; %d high, %d medium, %d low', count(*), round(avg(overall_score), 1), min(overall_score), max(overall_score), count(*) FILTER (WHERE overall_score >= 75), count(*) FILTER (WHERE overall_score >= 50 AND overall_score < 75), count(*) FILTER (WHERE overall_score < 50)) FROM assessments) AS report""",
+)
 def _(v):
     return report.markdown(v.assessments)
 
@@ -341,7 +349,16 @@ def _(v):
     return report.analytics(v.assessments)
 
 
-@query("entity_score")
+_OVERLAP = "CASE WHEN len({0}) = 0 THEN 100.0 ELSE len(list_intersect({0}, {1})) * 100.0 / len({0}) END::DOUBLE"
+
+
+@query(
+    "entity_score",
+    f"""SELECT *, (skill_match + tech_match + requirements_match) / 3 AS overall_entity_score, tech_match * 0.4::DOUBLE + skill_match * 0.3::DOUBLE + 50.0 * 0.3::DOUBLE AS overall_score FROM (
+  SELECT p_partkey, {_OVERLAP.format('s', "['cold', 'widget']")} AS skill_match, {_OVERLAP.format('t', "['economy']")} AS tech_match, 100.0::DOUBLE AS requirements_match
+  FROM (SELECT p_partkey, list_distinct(string_split_regex(lower(p_name), '\\s+')) AS s, list_distinct(string_split_regex(lower(p_type), '\\s+')) AS t FROM part))""",
+    views=False,
+)
 def _(v):
     words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
     jobs = v.table("part").select("p_partkey", words("p_name").alias("skills"), words("p_type").alias("technologies"), F.array().cast("array<string>").alias("requirements"))
