@@ -127,8 +127,40 @@ def checks(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
     return [rule(*[tables[n] for n in names]) for rule, names in rules if all(n in tables for n in names)]
 
 
+def assessment_issues(assessments: DataFrame, jobs: DataFrame, preprocessed: DataFrame) -> DataFrame:
+    """What the four checks of single assessments give (orphans, scores, JSON, missing preprocessing), from one pass: the parents'
+    keys are joined on the same key, and each row says what is wrong with it."""
+    keys = lambda df, key, name: df.select(F.col(key).alias("job_id")).distinct().withColumn(name, F.lit(True))
+    rows = assessments.select("job_id", *SCORES, "recommendations")
+    marked = rows.join(keys(jobs, "id", "_job"), "job_id", "left").join(keys(preprocessed, "job_id", "_ready"), "job_id", "left").withColumn("_bad", out_of_range())
+    text = F.col("recommendations")
+
+    def found(condition: Column, kind: str, severity: str, details: Column, action: str) -> Column:
+        return F.when(condition, F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), F.lit("job_assessments").alias("table"), F.col("job_id").cast("string").alias("record_id"), details.alias("details"), F.lit(action).alias("suggested_action")))
+
+    wrong = F.array_compact(
+        F.array(
+            found(F.col("_job").isNull(), "orphaned_assessment", "error", F.lit("no such posting"), "delete it"),
+            found(F.size("_bad") > 0, "invalid_score", "error", F.concat_ws(", ", "_bad"), "delete it"),
+            found(text.isNotNull() & ~is_json(text), "malformed_json", "warning", F.lit("recommendations are no JSON"), "set them to null"),
+            found(F.col("_ready").isNull(), "missing_preprocessing", "warning", F.lit("assessed without preprocessing"), "process it again"),
+        )
+    )
+    return marked.select(F.explode(wrong).alias("i")).select("i.*")
+
+
 def issues(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, checks(tables))
+    """All issues; checks that ask of the same rows share a pass over them."""
+    whole = dict(tables)
+    if {"assessments", "jobs", "preprocessed"} <= whole.keys():
+        shared = assessment_issues(whole["assessments"], whole["jobs"], whole["preprocessed"])
+        rest = [orphaned_preprocessed(whole["preprocessed"], whole["jobs"])]
+        # of the others only ids are read
+        ids = whole["assessments"].select(*[c for c in ("row_id", "job_id") if c in whole["assessments"].columns])
+        others: list[tuple[Callable[..., DataFrame], tuple[str, ...]]] = [(index_orphans, ("index", "assessments")), (index_mismatch, ("index",)), (duplicates, ("assessments",)), (inconsistent_status, ("jobs", "reviews")), (orphaned_costs, ("costs", "jobs")), (null_ids, ("assessments",)), (orphaned_reviews, ("reviews", "assessments"))]
+        rest += [rule(*[{**whole, "assessments": ids}[n] for n in names]) for rule, names in others if all(n in whole for n in names)]
+        return reduce(DataFrame.unionByName, rest, shared)
+    return reduce(DataFrame.unionByName, checks(whole))
 
 
 def report(found: DataFrame) -> DataFrame:

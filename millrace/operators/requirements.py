@@ -6,6 +6,7 @@ claimed.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -101,15 +102,17 @@ def adjusted(base: Column, sentence: Column, at: Column) -> Column:
 
 def classified(sentence: Column) -> Column:
     """Struct (trigger, confidence, priority) of the best trigger of a sentence, by priority and confidence; null for none or a negated one."""
-    found = F.array_compact(
-        F.array(*[F.when(sentence.rlike(f"(?i){p}"), F.struct(F.lit(k).alias("priority"), F.lit(-c).alias("less"), F.lit(i).alias("place"), F.lit(t).alias("trigger"), F.regexp_instr(sentence, F.lit(f"(?i){p}")).alias("at"))) for i, (t, p, c, k) in enumerate(TRIGGERS)])
-    )
+    # in order of rank, so that the search ends at the first one that is there
+    best = F.when(F.lit(False), F.lit(None))
+    for t, p, c, k in sorted(TRIGGERS, key=lambda x: (x[3], -x[2])):
+        best = best.when(sentence.rlike(f"(?i){p}"), F.struct(F.lit(k).alias("priority"), F.lit(c).alias("base"), F.lit(t).alias("trigger"), F.regexp_instr(sentence, F.lit(f"(?i){p}")).alias("at")))
+
     # the best candidate is bound to a variable of a function, so that its search runs once however often it is named
-    def verdict(best: Column) -> Column:
-        confidence = F.round(adjusted(-best["less"], sentence, best["at"]), 3)
-        return F.struct(best["trigger"].alias("trigger"), confidence.alias("confidence"), best["priority"].alias("priority"))
+    def verdict(x: Column) -> Column:
+        confidence = F.round(adjusted(x["base"], sentence, x["at"]), 3)
+        return F.struct(x["trigger"].alias("trigger"), confidence.alias("confidence"), x["priority"].alias("priority"))
 
-    bound = F.transform(F.filter(F.array(F.array_min(found)), lambda x: x.isNotNull()), verdict)
+    bound = F.transform(F.filter(F.array(best), lambda x: x.isNotNull()), verdict)
     return F.get(F.filter(bound, lambda x: x["confidence"] > 0), F.lit(0))
 
 
@@ -192,14 +195,15 @@ def phrase_spans(body: str) -> list[dict]:
     low = body.lower()
     if not any(word in low for word in _STARTS):
         return []
-    bounds = [m.span() for m in _SENTENCE.finditer(body) if m.group()]
-    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(body)]
+    bounds: list[tuple[int, int]] = []
     best: dict[str, tuple] = {}
     for (trigger, pattern, base), starts in zip(_PATTERNS, _BEGIN, strict=True):
         for m in () if not any(word in low for word in starts) else pattern.finditer(body):
             found = m.group(1).strip()
             start, end = m.start(1), m.start(1) + len(m.group(1).rstrip())
-            a, b = next(((x, y) for x, y in bounds if x <= start < y), (0, len(body)))
+            bounds = bounds or [x.span() for x in _SENTENCE.finditer(body) if x.group()]
+            at = bisect.bisect_right(bounds, (start, len(body) + 1)) - 1
+            a, b = bounds[at] if at >= 0 and start < bounds[at][1] else (0, len(body))
             near = body[max(a, start - NEAR) : min(b, end + NEAR)]
             score = base - 0.15 * bool(re.search(r"\bif\b", body[a:b], re.I)) - 0.25 * bool(re.search(r"nice\s+to\s+have", found, re.I))
             score = 0.0 if re.search(NEGATED, near) else round(min(1.0, max(0.0, score)), 3)
@@ -209,9 +213,11 @@ def phrase_spans(body: str) -> list[dict]:
             if rank > best.get(found.lower(), ((-1.0, 0, 0),))[0]:
                 best[found.lower()] = (rank, found, trigger, start, end)
     out = []
+    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(body)] if best else []
+    begins = [t[0] for t in tokens]
     for (score, _, _), found, trigger, start, end in sorted(best.values(), key=lambda x: (x[3], x[2])):
         first, last = expanded(tokens, start, end)
-        words = [t[2].lower() for t in tokens if first <= t[0] and t[1] <= last]
+        words = [t[2].lower() for t in tokens[bisect.bisect_left(begins, first) : bisect.bisect_left(begins, last)] if t[1] <= last]
         joins = sum(w in ("and", "or") for w in words)
         out.append({"text": found, "trigger_word": trigger, "confidence": score, "start": start, "end": end, "expanded_start": first, "expanded_end": last, "span_text": body[first:last], "span_type": "compound" if joins else "atomic", "conjunct_count": 1 + joins})
     return out
@@ -219,10 +225,11 @@ def phrase_spans(body: str) -> list[dict]:
 
 def expanded(tokens: list[tuple[int, int, str]], start: int, end: int) -> tuple[int, int]:
     """A span moved past a leading article, on to the end of its clause, and back over closing marks."""
-    inside = [i for i, (a, b, _) in enumerate(tokens) if a < end and b > start]
-    if not inside:
+    # tokens that a span touches: they are in order and don't overlap
+    first = bisect.bisect_right(tokens, start, key=lambda t: t[1])
+    last = bisect.bisect_left(tokens, end, key=lambda t: t[0]) - 1
+    if first > last:
         return start, end
-    first, last = inside[0], inside[-1]
     while first < last and tokens[first][2].lower() in ARTICLES:
         first += 1
     while last + 1 < len(tokens):
@@ -245,4 +252,5 @@ def requirement_spans(body: Column) -> Column:
         for arr in batches:
             yield pa.array([phrase_spans(x or "") for x in arr.to_pylist()], kind)
 
-    return spans(body)
+    # texts without a word that any phrase begins with go over as nulls
+    return spans(F.when(body.rlike("(?i)" + "|".join(_STARTS)), body))

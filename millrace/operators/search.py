@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LETTERS = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿœæß"
@@ -32,6 +33,44 @@ def index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(key, fields).select(key, "f.field", F.posexplode(tokens(F.col("f.body"))).alias("pos", "token"))
 
 
+#: Parts that a stored index is split in by token; a query reads only those of its words.
+PARTS = 256
+
+
+def _part(token: Column) -> Column:
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(PARTS)).cast("int")
+
+
+def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> None:
+    """Stores the index of some columns, in parts by token and sorted by it within, so that lookups read little of it."""
+    rows = index(df, key, columns).withColumn("part", _part(F.col("token")))
+    # a frequent word's postings are dealt by key as well, so that no task writes all of them
+    rows.repartition("part", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """What a stored index has of a query's words; of a query with prefixes all of it."""
+    tree, whole = parsed(query), spark.read.parquet(path)
+    words: list[str] = []
+    todo = [tree] if tree else []
+    while todo:
+        node = todo.pop()
+        if node.kind == "prefix":
+            return whole
+        if node.kind in ("term", "phrase"):
+            words += node.parts
+        else:
+            todo += node.parts
+    parts = sorted({zlib.crc32(w.encode()) % PARTS for w in words})
+    return whole.filter(F.col("part").isin(parts) & F.col("token").isin(words)).drop("part")
+
+
+def lookup(df: DataFrame, path: str, query: str, key: str = "job_id", low: float = 0, high: float = 100, limit: int = 20) -> DataFrame:
+    """As ``keyword``, through a stored index."""
+    out = indexed(df, read_index(df.sparkSession, path, query), query, key).filter(F.col("overall_score").between(low, high))
+    return out.orderBy(F.desc("overall_score"), key).limit(limit)
+
+
 @dataclass
 class Node:
     kind: str

@@ -9,6 +9,7 @@ from millrace.functions import boilerplate, lexicons, markdown, scalars, text
 from millrace.operators import chunking, cost, report, requirements, scoring, search, similarity
 from millrace.plans import batch, sql
 from millrace.plans.catalog import query
+from millrace.sources import files
 from millrace.streaming import events
 
 #: Sentences of many kinds, one for each line item by its number.
@@ -303,6 +304,17 @@ def _(v):
     return search.keyword(v.assessments, "urgent machinery", 40, 90).select("job_id", "overall_score")
 
 
+_LOOKED = "regexp_extract_all(lower(concat_ws(' ', title, company, summary)), '[a-z0-9]+')"
+
+
+@query("keyword_lookup", f"SELECT job_id, overall_score FROM assessments WHERE list_contains({_LOOKED}, 'urgent') AND list_contains({_LOOKED}, 'machinery') AND overall_score BETWEEN 40 AND 90 ORDER BY overall_score DESC, job_id LIMIT 20")
+def _(v):
+    """A search through an index that is stored first."""
+    path = files.scratch(v.spark, "index")
+    search.write_index(v.assessments, "job_id", ["title", "company", "summary"], path)
+    return search.lookup(v.assessments, path, "urgent machinery", "job_id", 40, 90).select("job_id", "overall_score")
+
+
 @query("frequent_words", "SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents) GROUP BY lang, word) WHERE r <= 10", views=False)
 def _(v):
     from pyspark.sql import Window
