@@ -108,8 +108,12 @@ def _values(entries: Column) -> Column:
 
 def _more(first: Column, second: Column, fold: Callable[[Column], Column] = lambda x: x) -> Column:
     """Entries of both; those of the second whose value the first has are left out."""
-    have = F.transform(first, lambda x: fold(x["value"]))
-    return F.concat(first, F.filter(second, lambda x: ~F.array_contains(have, fold(x["value"]))))
+
+    def joined(both: Column) -> Column:
+        have = F.transform(both["a"], lambda x: fold(x["value"]))
+        return F.concat(both["a"], F.filter(both["b"], lambda x: ~F.array_contains(have, fold(x["value"]))))
+
+    return _bound(F.struct(first.alias("a"), second.alias("b")), joined)
 
 
 def _escaped(x: str) -> str:
@@ -134,14 +138,17 @@ def skills(text: Column) -> Column:
     """Skills as array<struct<value, confidence, method>>: phrases of the text's domain, then what patterns imply, then, where these
     are fewer than FEW, single words."""
     text = _text(text)
-    domain = lexicons.domain(text)
-    exact = F.lit(None).cast("array<string>")
-    for name, phrases in KEYPHRASES.items():
-        exact = F.when(domain == name, F.regexp_extract_all(text, F.lit(_whole(phrases)), F.lit(0))).otherwise(exact)
     implied = _hits(text, {n: f"(?i)(?:{p})" for n, p in IMPLIED.items()})
-    bus = F.when(domain.isin("software", "defense") & text.rlike(BUS), F.array(*map(F.lit, BUS_SKILLS))).otherwise(F.array().cast("array<string>"))
-    found = _more(_with_method(F.array_distinct(exact), "keyphrase_exact"), _with_method(F.array_distinct(F.concat(implied, bus)), "context_inferred"))
+
+    def by_domain(domain: Column) -> Column:
+        exact = F.lit(None).cast("array<string>")
+        for name, phrases in KEYPHRASES.items():
+            exact = F.when(domain == name, F.regexp_extract_all(text, F.lit(_whole(phrases)), F.lit(0))).otherwise(exact)
+        bus = F.when(domain.isin("software", "defense") & text.rlike(BUS), F.array(*map(F.lit, BUS_SKILLS))).otherwise(F.array().cast("array<string>"))
+        return _more(_with_method(F.array_distinct(exact), "keyphrase_exact"), _with_method(F.array_distinct(F.concat(implied, bus)), "context_inferred"))
+
     single = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_whole(KEYWORDS)), F.lit(0)), lambda x: F.initcap(x)))
+    found = _bound(lexicons.domain(text), by_domain)
     return _bound(found, lambda x: F.when(F.size(x) < FEW, _more(x, _with_method(single, "skill_keyword"))).otherwise(x)).cast(_FOUND)
 
 
