@@ -20,7 +20,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SMALL)
     if name not in ORACLES:
-        assert got.columns and got.count() >= 0
+        assert got.columns and got.count() > 0  # held against plain Python in test_brute.py
         return
     got, want = got.toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
