@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -65,6 +66,14 @@ def register_sql(spark: SparkSession) -> list[str]:
     return ["html_to_markdown", "text_likeness"]
 
 
+def watched(df: DataFrame, callback: Callable[[dict], None], **metrics: Column) -> DataFrame:
+    """``df``, of which a callback gets the metrics (aggregates by name) once it has run for the first time; the rows aren't read again."""
+    seen = Observation()
+    out = df.observe(seen, *[c.alias(n) for n, c in metrics.items()])
+    threading.Thread(target=lambda: callback(seen.get), daemon=True).start()
+    return out
+
+
 def execute(spark: SparkSession, sql: str, **values) -> DataFrame:
     """A parameterised statement: values are bound as :name, never put into the text."""
     return spark.sql(sql, args=values)

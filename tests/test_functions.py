@@ -188,6 +188,25 @@ def test_registry(spark):
     assert registry.execute(spark, "SELECT html_to_markdown(:h) AS m, text_likeness('a', 'A') AS l", h="<b>x</b>").first() == ("**x**", 1.0)
 
 
+def test_watched(spark):
+    import threading
+
+    from millrace.functions import registry
+
+    got, done = {}, threading.Event()
+    df = registry.watched(spark.range(10), lambda m: (got.update(m), done.set()), n=F.count("*"), top=F.max("id"))
+    assert df.count() == 10 and done.wait(20) and got == {"n": 10, "top": 9}
+
+
+def test_bpe_tokens(spark, tmp_path):
+    pytest.importorskip("tokenizers")
+    import json
+
+    vocab = {"a": 0, "b": 1, "ab": 2, "abab": 3}
+    (tmp_path / "v.json").write_text(json.dumps({"version": "1.0", "added_tokens": [], "pre_tokenizer": {"type": "Whitespace"}, "model": {"type": "BPE", "vocab": vocab, "merges": [["a", "b"], ["ab", "ab"]]}}))
+    assert value(spark, lambda x: scalars.bpe_tokens(x, str(tmp_path / "v.json")), "abab ab", "aab", "", None) == [2, 2, 0, 0]
+
+
 def test_search_or_like(spark):
     df = spark.createDataFrame([("1", 'a "quoted'), ("2", "b")], "job_id string, title string")
     assert [r[0] for r in search.search_or_like(df, '"quoted', columns=("title",)).select("job_id").collect()] == ["1"]
