@@ -99,7 +99,25 @@ def _(v):
     return posts(v).select("o_orderkey", F.array_join(F.array_sort(F.array_distinct(extraction.company_requirements(F.col("body"), F.col("company")))), "|").alias("found"))
 
 
-@query("stated_requirements")
+_PARTS = [_section(names, "Preferred") for names in ("basic\\s+qualifications", "minimum\\s+qualifications", "required\\s+skills", "required\\s+skills/experience")]
+_SPAN = f"{extraction.YEARS}(?:\\s+(?:in|with|focused\\s+on|involving|related\\s+to|using)\\s+([^.\\n]+))?"
+_OF = f"regexp_replace(trim(regexp_extract(x, '{_SPAN}', 2), ' '), '[.,;]+$', '')"
+_ALL_YEARS = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all({p}, '{_SPAN}'), lambda x: regexp_extract(x, '{_SPAN}', 1) || '+ years of experience' || CASE WHEN {_OF} <> '' THEN ' ' || {_OF} ELSE '' END)" for p in _PARTS[:3]) + ")"
+_BULLETS = "list_concat(" + ", ".join(f"list_filter({_items(p)}, lambda x: NOT regexp_matches(x, '^\\d+\\+') AND NOT contains(lower(x), 'years of experience'))" for p in (_PARTS[0], _PARTS[1], _PARTS[3])) + ")"
+_WISHED = f"list_transform({_items(_section('(?:preferred|desired)\\s+(?:qualifications?|experience)', 'Background'))}, lambda x: CASE WHEN contains(x, '(Preferred)') THEN x ELSE x || ' (Preferred)' END)"
+_FOUND = f"SELECT o_orderkey, body, list_concat({_ALL_YEARS}, {_BULLETS}, {_WISHED}) AS f FROM posts"
+for _p, _names, _value, _low in (
+    ("(?i)U\\.S\\.\\s+(?:citizen|national)|permanent\\s+resident", ["U.S. citizen"], extraction.CITIZEN, False),
+    ("(?i)background\\s+check", ["Background Check"], extraction.STANDARD_CHECK, False),
+    ("(?i)drug", ["drug"], extraction.DRUG, True),
+    ("(?i)CodeVue|coding\\s+challenge|technical.*assessment", ["codevue", "coding"], extraction.CODING, True),
+    (extraction.BACHELOR, ["Bachelor", "Degree"], extraction.DEGREE, False),
+):
+    _has = " OR ".join(f"contains({'lower(x)' if _low else 'x'}, '{n}')" for n in _names)
+    _FOUND = f"SELECT o_orderkey, body, CASE WHEN regexp_matches(body, {sql.quoted(_p)}) AND len(list_filter(f, lambda x: {_has})) = 0 THEN list_append(f, {sql.quoted(_value)}) ELSE f END AS f FROM ({_FOUND})"
+
+
+@query("stated_requirements", POSTS + f"SELECT o_orderkey, array_to_string(list_sort(list_distinct(f)), '|') AS found FROM ({_FOUND})", views=False)
 def _(v):
     return posts(v).select("o_orderkey", F.array_join(F.array_sort(extraction.stated_requirements(F.col("body"))), "|").alias("found"))
 

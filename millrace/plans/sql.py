@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.functions import lexicons, text
+from millrace.functions import boilerplate, lexicons, text
 from millrace.operators import requirements
 
 
@@ -97,3 +97,56 @@ def markdown(html: str) -> str:
 def sections(md: str) -> str:
     """List of what stands between headers and bold lines."""
     return rf"list_filter(list_transform(string_split(regexp_replace({md}, '(?m)^(#{{1,3}}\s|\*\*.+\*\*\s*$)', chr(1) || '\1', 'g'), chr(1)), lambda z: trim(z, ' ' || chr(10))), lambda z: z <> '')"
+
+
+def structured(md: str) -> str:
+    """Markdown with header phrases, bold lines and lines that end in a colon as headers, by lists of lines; then dividers."""
+    bare = "regexp_replace(trim(CASE WHEN regexp_matches(trim(l, ' '), '^\\*\\*.+?\\*\\*$') THEN regexp_extract(trim(l, ' '), '^\\*\\*(.+?)\\*\\*$', 1) ELSE trim(l, ' ') END, ' '), ':+$', '')"
+    one = f"list_transform(string_split({md}, chr(10)), lambda l: CASE WHEN list_contains({listed(text.HEADERS)}, lower(replace({bare}, '’', chr(39)))) THEN '## ' || trim({bare}, ' ') ELSE l END)"
+    label = r"regexp_extract(l, '^[ \t]*\*\*[ \t]*([^*\n]+?)[ \t]*:?[ \t]*\*\*.*$', 1)"
+    after = "coalesce(list_filter(ls[i + 1:], lambda z: trim(z, ' ' || chr(9)) <> '')[1], '#')"
+    two = f"list_transform(ls, lambda l, i: CASE WHEN {label} <> '' AND NOT starts_with(trim({after}, ' ' || chr(9)), '#') THEN '### ' || {label} ELSE l END)"
+    three = r"list_transform(ms, lambda l: CASE WHEN regexp_matches(trim(l, ' '), '^[^#*+\-•|>].*:$') THEN '### ' || regexp_replace(trim(l, ' '), ':$', '') ELSE l END)"
+    four = r"array_to_string(list_transform(ns, lambda l, i: CASE WHEN i > 1 AND regexp_matches(l, '^#{2,3}\s') THEN chr(10) || '---' || chr(10) || l ELSE l END), chr(10))"
+    return f"(SELECT regexp_replace({four}, '(?m)(?:^---\\n\\s*)+^---$', '---', 'g') FROM (SELECT {three} AS ns FROM (SELECT {two} AS ms FROM (SELECT {one} AS ls))))"
+
+
+def polished(md: str) -> str:
+    """Markdown after the five rules of the polisher, by lists of lines."""
+    item, head = r"'^\s*[-*+] '", "'^#{1,6} '"
+    lines = lambda x: f"string_split({x}, chr(10))"
+    joined = lambda x: f"array_to_string({x}, chr(10))"
+    a = f"list_transform({lines(md)}, lambda l: rtrim(l, ' '))"
+    b = f"list_filter(a, lambda l, i: NOT (l = '' AND i > 1 AND i < len(a) AND regexp_matches(a[i - 1], {item}) AND regexp_matches(a[i + 1], {item})))"
+    c = f"list_transform(b, lambda l, i: CASE WHEN i > 1 AND regexp_matches(l, {head}) AND b[i - 1] <> '' THEN chr(10) || l ELSE l END)"
+    d = f"list_transform(c, lambda l, i: CASE WHEN i < len(c) AND regexp_matches(l, {head}) AND c[i + 1] <> '' THEN l || chr(10) ELSE l END)"
+    e = f"list_transform(d, lambda l, i: CASE WHEN i < len(d) AND regexp_matches(l, '^\\S') AND NOT starts_with(l, '#') AND NOT regexp_matches(l, {item}) AND regexp_matches(d[i + 1], {item}) THEN l || chr(10) ELSE l END)"
+    out = f"SELECT {a} AS a"
+    for name, x, before in (("b", b, "a"), ("c", c, "b")):
+        out = f"SELECT {x} AS {name} FROM ({out})"
+    out = f"SELECT {lines(joined('c'))} AS c FROM ({out})"
+    out = f"SELECT {lines(joined(d))} AS d FROM ({out})"
+    return f"(SELECT regexp_replace({joined(e)}, '\\n{{3,}}', chr(10) || chr(10), 'g') FROM ({out}))"
+
+
+def cleaned(html: str) -> str:
+    """Plain text of the test pages' HTML without boilerplate; of their empty elements, those of the tags that they have."""
+    sub = lambda x, p, by="''": f"regexp_replace({x}, {quoted(p)}, {by}, 'g')"
+    x = sub(f"coalesce({html}, '')", r"""\s+(?:data|aria)-[\w-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""")
+    x = sub(sub(x, r":(?:\s*[Rr]\d+|\w+\d+|\d{4,})"), r">\s*:\s*<", "'><'")
+    for tag in ("p", "div", "li", "a", "b", "h1"):
+        x = sub(x, rf"<{tag}\b[^>]*>\s*</{tag}>")
+    for p in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->"):
+        x = sub(x, p)
+    x = sub(sub(x, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|ul|ol|article|section|header|footer|nav|title)\s*>", "chr(10)"), "<[^>]*>")
+    named = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+    for k, v in named.items():
+        x = f"replace({x}, '{k}', {quoted(v)})"
+    x = f"trim({sub(sub(x, r'[ \t\x0B\f\r]+', chr(39) + ' ' + chr(39)), r' ?\n[ \n]*', 'chr(10)')}, ' ' || chr(10))"
+    for patterns in boilerplate.CATALOG.values():
+        for p in patterns:
+            x = sub(x, p.replace("(?!or|ing)", ""), "' '" if p in boilerplate.SPACES else "''")
+    for k, v in boilerplate.NAMED.items():
+        x = f"replace({x}, '{k}', {quoted(v)})"
+    x = sub(f"replace({x}, '&amp;', '&')", r"&#\d+;")
+    return f"trim({sub(sub(x, r'[ \t]+', chr(39) + ' ' + chr(39)), r'\n{3,}', 'chr(10) || chr(10)')}, ' ' || chr(9) || chr(10) || chr(13))"

@@ -185,7 +185,7 @@ def _(v):
     return v.spread("documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.md5(clean).alias("digest"))
 
 
-@query("clean_html")
+@query("clean_html", f"SELECT page_id, {sql.cleaned('html')} AS clean FROM pages", views=False)
 def _(v):
     return v.spread("pages").select("page_id", text.clean_description(F.col("html")).alias("clean"))
 
@@ -203,7 +203,7 @@ def _(v):
     return v.spread("pages").select("page_id", markdown.html_to_markdown(F.col("html")).alias("md"))
 
 
-@query("structured_markdown")
+@query("structured_markdown", f"SELECT page_id, {sql.structured('md')} AS md FROM (SELECT page_id, {sql.markdown('html')} AS md FROM pages)", views=False)
 def _(v):
     return v.spread("pages").select("page_id", text.structured(markdown.html_to_markdown(F.col("html"))).alias("md"))
 
@@ -253,7 +253,7 @@ def _(v):
     return v.spread("documents").select("doc_id", F.md5(text.normalized(F.concat(F.lit(_MD[0]), "text", F.lit(_MD[1])))).alias("md"))
 
 
-@query("polished_markdown")
+@query("polished_markdown", f"SELECT page_id, {sql.polished('md')} AS md FROM (SELECT page_id, {sql.markdown('html')} AS md FROM pages)", views=False)
 def _(v):
     return v.spread("pages").select("page_id", text.polished(markdown.html_to_markdown(F.col("html"))).alias("md"))
 
@@ -383,10 +383,21 @@ def _postings(v):
     return pages.select(F.col("page_id").alias("id"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("url", r"://([^/]+)", 1).alias("company"), F.lit("Remote").alias("location"), "url", F.col("html").alias("description"))
 
 
-@query("preprocessed_jobs")
+_POSTED = f"""SELECT page_id, title, company, {sql.sentences("concat_ws(chr(10), nullif(title, ''), 'Remote', nullif(clean, ''))")} AS s, concat_ws(chr(10), nullif(title, ''), 'Remote', nullif(clean, '')) AS body
+  FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(url, '://([^/]+)', 1) AS company, {sql.cleaned('html')} AS clean FROM pages)"""
+_PREPARED = f"SELECT *, {sql.chunks('s', 100)} AS c FROM ({_POSTED})"
+_COUNTED = f"SELECT *, coalesce(list_sum(list_transform(c, lambda x: greatest(1, floor(len({sql.words('x')}) * 1.3::DOUBLE)))), 0)::BIGINT AS token_count FROM ({_PREPARED})"
+
+
+@query(
+    "preprocessed_jobs",
+    f"""SELECT page_id::VARCHAR AS job_id, title, company, len(s)::INT AS n_sentences, len(c)::INT AS n_chunks, token_count, round(token_count / 1e6 * 3.0 + 300 / 1e6 * 15.0, 9) AS estimated_cost,
+  array_to_string({sql.found_words('body', lexicons.terms(lexicons.TECHNOLOGY))}, '|') AS technologies, array_to_string({sql.found_phrases('body', lexicons.terms(lexicons.SOFT_SKILLS))}, '|') AS skills FROM ({_COUNTED})""",
+    views=False,
+)
 def _(v):
     done = batch.costs(batch.preprocessed(_postings(v)))
-    return done.select("job_id", "title", "company", F.size("sentences").alias("n_sentences"), F.size("chunks").alias("n_chunks"), "token_count", F.round("estimated_cost", 9).alias("estimated_cost"), "technologies", "skills")
+    return done.select("job_id", "title", "company", F.size("sentences").alias("n_sentences"), F.size("chunks").alias("n_chunks"), "token_count", F.round("estimated_cost", 9).alias("estimated_cost"), F.array_join("technologies", "|").alias("technologies"), F.array_join("skills", "|").alias("skills"))
 
 
 @query("batch_report")
