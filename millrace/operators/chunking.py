@@ -17,8 +17,12 @@ from millrace.functions import scalars, text
 _WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+#: What str.split() takes for white space beside that.
+_ODD = re.compile("[\x1c-\x1f]")
+
+
 def _count(x: str) -> int:
-    return sum(1 for _ in _WORD.finditer(x))
+    return sum(1 for _ in _WORD.finditer(x)) if _ODD.search(x) else len(x.split())
 
 
 def _texts(x: list | None) -> list[str]:
