@@ -17,7 +17,8 @@ gives the counts of words and pairs, the second those of longer runs of pairs th
 retained and how often a lone pair follows them. Then each chunk has all it needs for its scores.
 Counts are exact and global, so scores don't depend on how the texts are dealt. A run that every text holds is still one
 row of each chunk, and ranges of hashes are even, so no key is hot; PART bounds what a range's task holds, CHUNK (and the
-longest text) what a chunk's does. Two different runs would have to share 64 bits to be taken for one.
+longest text) what a chunk's does. A slice has about CHUNK * PART / (all tokens) keys, one at least: for corpora of many
+billions of tokens both should grow with the executors' memory, so that slices stay longer than what a row costs. Two different runs would have to share 64 bits to be taken for one.
 
 Defined results: a null or empty text is one end mark; a null doc_id is not held out; a repeated row is scored by itself
 and trains by itself; without training documents all counts are 0 and every token is the unknown, of probability 1; extra
@@ -27,6 +28,7 @@ columns of the input are not read.
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain, count
 
@@ -276,16 +278,17 @@ def _opened(batch: pa.RecordBatch, row: int) -> Chunk:
 
 
 def _asked(chunk: int, kind: int, parts: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """A chunk's rows for the ranges of one kind of keys; each range has a row, so that answers line up."""
+    """A chunk's rows for the ranges that it has keys of, of one kind: never more rows than keys."""
     cut = np.r_[np.searchsorted(keys, edges(parts)), len(keys)]
-    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    held = np.flatnonzero(cut[1:] > cut[:-1])
+    spans = list(zip(cut[held].tolist(), cut[held + 1].tolist(), strict=True))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([kind * parts + p for p in range(parts)], pa.int64()),
-            pa.array([chunk] * parts, pa.int64()),
+            pa.array(kind * parts + held, pa.int64()),
+            pa.array([chunk] * len(spans), pa.int64()),
             pa.array([b - a for a, b in spans], pa.int64()),
-            pa.array([packed(gaps(keys[a:b])) if b > a else b"" for a, b in spans], pa.binary()),
-            pa.array([packed(n[a:b]) if b > a else b"" for a, b in spans], pa.binary()),
+            pa.array([packed(gaps(keys[a:b])) for a, b in spans], pa.binary()),
+            pa.array([packed(n[a:b]) for a, b in spans], pa.binary()),
         ],
         ["part", "chunk", "size", "keys", "n"],
     )
@@ -302,7 +305,7 @@ def _summed(asked: pa.Table) -> pa.Table:
     np.add.at(whole, place, n)
     out, at = [], 0
     for r in rows:
-        out.append(packed(whole[place[at : at + r["size"]]]) if r["size"] else b"")
+        out.append(packed(whole[place[at : at + r["size"]]]))
         at += r["size"]
     stats = [[int((whole > 0).sum()), int((whole == 1).sum()), int((whole == 2).sum()), int(whole.sum()) & (1 << 62) - 1]] + [None] * (len(rows) - 1)
     return pa.table({"chunk": asked["chunk"], "part": asked["part"], "size": asked["size"], "n": pa.array(out, pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
@@ -332,7 +335,7 @@ class Exchange:
     def met(self, answers: list[DataFrame], columns: list[str]) -> DataFrame:
         out = self.chunks.select(*columns)
         for k, df in enumerate(answers):
-            out = out.join(df.select("chunk", F.col("rows").alias(f"rows{k}")), "chunk")
+            out = out.join(df.select("chunk", F.col("rows").alias(f"rows{k}")), "chunk", "left")
         return out
 
     def asked(self, answers: list[DataFrame], send: Callable[[Chunk, list[dict[int, np.ndarray]]], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
@@ -358,13 +361,13 @@ class Exchange:
 
 
 def _answers(batch: pa.RecordBatch, row: int, given: int, parts: int) -> list[dict[int, np.ndarray]]:
-    """By exchange and kind the numbers in the order of the chunk's own keys."""
+    """By exchange and kind the numbers in the order of the chunk's own keys; none where it asked for none."""
     out = []
     for k in range(given):
         found: dict[int, list[np.ndarray]] = {}
-        for r in batch.column(f"rows{k}")[row].as_py():
+        for r in batch.column(f"rows{k}")[row].as_py() or []:
             found.setdefault(r["part"] // parts, []).append(unpacked(r["n"], r["size"]))
-        out.append({kind: np.concatenate(x) for kind, x in found.items()})
+        out.append(defaultdict(lambda: np.zeros(0, np.uint64), {kind: np.concatenate(x) for kind, x in found.items()}))
     return out
 
 
@@ -373,7 +376,13 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: i
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), held_out(F.col(doc_id)).alias("held_out"), F.col(doc_id).alias("doc_id"))
     exchange = Exchange(rows, chunk)
+    try:
+        return _scored(exchange, rows.schema["doc_id"].dataType.simpleString())
+    finally:
+        exchange.close()
 
+
+def _scored(exchange: Exchange, id_type: str) -> DataFrame:
     def words_and_pairs(c: Chunk, known: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield from ((k, c.keys[k], c.own(k)) for k in (1, 2))
 
@@ -420,8 +429,5 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: i
                 ]
                 yield pa.RecordBatch.from_arrays(fields, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
     made = exchange.met([pairs, runs, kept], [*_CHUNK, "doc_ids"]).mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    out = stored(made)
-    exchange.close()
-    return out
+    return stored(made)
