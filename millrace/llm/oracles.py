@@ -92,4 +92,18 @@ SELECT page_id, host, ts AS fetched_s, coalesce(n, 0) AS n_active, coalesce(acti
 FROM cap LEFT JOIN hits ON cap.rid = hits.rid AND rank = 1
 """
 
-ORACLES = {"op2_quality": OP2, "op7_warc_fixity": OP7, "op9_url_filter": OP9}
+#: Main text of the test pages by what their tags say: the article, cut at paragraphs and headings. (The operator doesn't read
+#: it so: it finds the region by the wrapper.) Named references are those that the pages have.
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "#39": "\'\'", "#x27": "\'\'", "copy": "©", "middot": "·", "nbsp": " ", "amp": "&"}
+_UNESCAPED = "regexp_replace(x, '<[^>]*>', '', 'g')"
+for _name, _char in _NAMED.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', '{_char}')"
+    if _name.isalpha():  # one that a page's end cuts off
+        _UNESCAPED = f"regexp_replace({_UNESCAPED}, '&{_name}$', '{_char}')"
+OP5 = rf"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1), '<(/?[a-z!][^>]*)?\z', '') AS body FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(replace(body, '<br>', ' '), '</?(?:p|h1)>'), lambda x: trim(regexp_replace({_UNESCAPED}, '\s+', ' ', 'g'), ' ')), lambda x: x <> '') AS blocks FROM a)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10)))::BIGINT AS n_chars FROM b
+"""
+
+ORACLES = {"op2_quality": OP2, "op5_html_text": OP5, "op7_warc_fixity": OP7, "op9_url_filter": OP9}
