@@ -97,11 +97,6 @@ def _with_method(values: Column, method: str, confidence: float | None = None) -
     return F.transform(values, lambda x: _entry(x, method, confidence))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is bound to a variable, so that it is derived once however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _values(entries: Column) -> Column:
     return F.transform(entries, lambda x: x["value"])
 
@@ -113,7 +108,7 @@ def _more(first: Column, second: Column, fold: Callable[[Column], Column] = lamb
         have = F.transform(both["a"], lambda x: fold(x["value"]))
         return F.concat(both["a"], F.filter(both["b"], lambda x: ~F.array_contains(have, fold(x["value"]))))
 
-    return _bound(F.struct(first.alias("a"), second.alias("b")), joined)
+    return lines.bound(F.struct(first.alias("a"), second.alias("b")), joined)
 
 
 def _escaped(x: str) -> str:
@@ -148,8 +143,8 @@ def skills(text: Column) -> Column:
         return _more(_with_method(F.array_distinct(exact), "keyphrase_exact"), _with_method(F.array_distinct(F.concat(implied, bus)), "context_inferred"))
 
     single = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_whole(KEYWORDS)), F.lit(0)), lambda x: F.initcap(x)))
-    found = _bound(lexicons.domain(text), by_domain)
-    return _bound(found, lambda x: F.when(F.size(x) < FEW, _more(x, _with_method(single, "skill_keyword"))).otherwise(x)).cast(_FOUND)
+    found = lines.bound(lexicons.domain(text), by_domain)
+    return lines.bound(found, lambda x: F.when(F.size(x) < FEW, _more(x, _with_method(single, "skill_keyword"))).otherwise(x)).cast(_FOUND)
 
 
 def technologies(text: Column) -> Column:
@@ -267,7 +262,7 @@ def stated_requirements(text: Column) -> Column:
         (text.rlike(BACHELOR), ("Bachelor", "Degree"), DEGREE, False),
     ]
     for rule in rest:
-        found = _bound(found, unless(*rule))
+        found = lines.bound(found, unless(*rule))
     return F.array_distinct(found)
 
 
@@ -364,20 +359,27 @@ def routed(md: Column) -> Column:
     from words under headers of skills, duties and descriptions. Sections of pay, culture and the like are passed over.
     """
     tech = lexicons.terms(lexicons.TECHNOLOGY)
-    sections = F.filter(F.map_entries(rules.section_map(md)), lambda s: ~rules._any(F.replace(s["key"], F.lit("_"), F.lit(" ")), SKIPPED_SECTIONS) & (F.btrim(s["value"]) != ""))
+    skilled = lambda k: rules._any(k, SKILL_SECTIONS)
+    asked = lambda k: rules._any(k, REQUIREMENT_SECTIONS) & ~skilled(k)
+    worded = lambda k: skilled(k) | rules._any(k, DESCRIPTION_SECTIONS) | (k == "responsibilities")
 
     def items(s: Column) -> Column:
         found = F.transform(F.regexp_extract_all(s["value"], F.lit(r"(?m)^(?:[*\-+]|\d+\.)\s+(.+)$"), F.lit(1)), lambda x: F.btrim(x))
         return F.filter(found, lambda x: (F.length(x) > 3) & ~x.rlike(MEASURES) & (F.size(F.split(x, ",")) < 3))
 
-    def of(keep: Callable[[Column], Column], take: Callable[[Column], Column]) -> Column:
-        return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(sections, lambda s: keep(s["key"])), take))))
+    def kept(s: Column) -> Column:
+        skipped = lines.bound(F.replace(s["key"], F.lit("_"), F.lit(" ")), lambda k: rules._any(k, SKIPPED_SECTIONS))
+        return ~skipped & (F.btrim(s["value"]) != "")
 
-    skilled = lambda k: rules._any(k, SKILL_SECTIONS)
-    asked = lambda k: rules._any(k, REQUIREMENT_SECTIONS) & ~skilled(k)
-    worded = lambda k: skilled(k) | rules._any(k, DESCRIPTION_SECTIONS) | (k == "responsibilities")
-    return F.struct(
-        of(skilled, items).alias("skills"),
-        of(worded, lambda s: F.filter(lexicons.found_words(s["value"], tech), lambda w: F.length(w) > 2)).alias("technologies"),
-        of(asked, items).alias("requirements"),
-    )
+    def parted(sections: Column) -> Column:
+        def of(keep: Callable[[Column], Column], take: Callable[[Column], Column]) -> Column:
+            return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(sections, lambda s: keep(s["key"])), take))))
+
+        return F.struct(
+            of(skilled, items).alias("skills"),
+            of(worded, lambda s: F.filter(lexicons.found_words(s["value"], tech), lambda w: F.length(w) > 2)).alias("technologies"),
+            of(asked, items).alias("requirements"),
+        )
+
+    # sections are bound, so that a text is cut into them once for all three
+    return lines.bound(F.filter(rules.section_entries(md), kept), parted)

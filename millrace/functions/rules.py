@@ -156,23 +156,33 @@ def is_markdown(text: Column) -> Column:
 
 def section_name(header: Column) -> Column:
     """Canonical section of a header; an unknown one with underscores."""
-    low = F.lower(header)
-    out = F.when(F.lit(False), "")
-    for name, words in SECTION_WORDS:
-        out = out.when(_any(low, words), name)
-    return out.otherwise(F.replace(low, F.lit(" "), F.lit("_")))
+    def named(low: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, words in SECTION_WORDS:
+            out = out.when(_any(low, words), name)
+        return out.otherwise(F.replace(low, F.lit(" "), F.lit("_")))
 
+    return lines.bound(F.lower(header), named)
 
-def section_map(md: Column) -> Column:
-    """Map of canonical sections to their texts; a later section of a name takes the place of an earlier one, text before the first header has none."""
+
+def section_entries(md: Column) -> Column:
+    """Array of (key, value): canonical sections with their texts; a later section of a name takes the place of an earlier one, text before the first header has none."""
     parts = F.filter(lines.sections(md), lambda x: x.rlike(r"^(?:#{1,3}\s|\*\*)"))
     head = lambda x: F.btrim(F.regexp_replace(F.substring_index(x, "\n", 1), r"^#+\s*|\*\*|:\s*$", ""))
     body = lambda x: F.btrim(F.regexp_replace(F.when(F.instr(x, "\n") > 0, F.substr(x, F.instr(x, "\n") + 1)).otherwise(""), r"(?m)^---\s*$", ""), F.lit(" \n"))
     entries = F.transform(parts, lambda x: F.struct(section_name(head(x)).alias("key"), lines.without_phrases(body(x), STRAY_PHRASES).alias("value")))
+
     # of equal keys the last one stays: the first in reverse
-    turned = F.reverse(entries)
-    once = F.filter(turned, lambda x, i: F.array_position(F.transform(turned, lambda y: y["key"]), x["key"]) == i + 1)
-    return F.map_from_entries(F.reverse(once))
+    def once(both: Column) -> Column:
+        return F.filter(both["turned"], lambda x, i: F.array_position(both["keys"], x["key"]) == i + 1)
+
+    with_keys = lines.bound(F.reverse(entries), lambda t: F.struct(t.alias("turned"), F.transform(t, lambda y: y["key"]).alias("keys")))
+    return F.reverse(lines.bound(with_keys, once))
+
+
+def section_map(md: Column) -> Column:
+    """Map of canonical sections to their texts, as ``section_entries`` has them."""
+    return F.map_from_entries(section_entries(md))
 
 
 def narrative(text: Column) -> Column:

@@ -81,7 +81,7 @@ def _(v):
 @query("section_map", "SELECT o_orderkey, 'new ' || o_orderpriority AS qualifications, 'c' AS responsibilities, 3 AS n FROM orders", views=False)
 def _(v):
     md = F.concat(F.lit("lost\n## Requirements\nold\n## What you do:\nc\nBase pay is fine\n**Odd Head**\nx\n## Minimum qualifications\nnew "), "o_orderpriority")
-    found = v.table("orders").select("o_orderkey", rules.section_map(md).alias("m"))
+    found = v.spread("orders").select("o_orderkey", rules.section_map(md).alias("m"))
     return found.select("o_orderkey", F.col("m.qualifications").alias("qualifications"), F.col("m.responsibilities").alias("responsibilities"), F.size("m").alias("n"))
 
 
