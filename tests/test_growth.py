@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.functions import extraction, rules
+from millrace.functions import extraction, markdown, rules
 
 
 def planned(df) -> str:
@@ -13,3 +13,8 @@ def test_sections_of_a_text_are_cut_once(spark):
     docs = spark.createDataFrame([("# A\n## Skills\n- Rust x\n",)], "t string").repartition(2)
     for made in (extraction.routed(F.col("t")), rules.section_map(F.col("t"))):
         assert planned(docs.select(made.alias("r"))).count(r"(?=^(?:#{1,3}") == 1
+
+
+def test_only_whole_references_are_decoded():
+    assert markdown.to_markdown("<title>a&&amp</title><p>&copy; &copy x &ampx; &nope; &#65; &#65</p>") == "a&&amp\n\n© &copy x &ampx; &nope; A &#65"
+    assert markdown.to_markdown('<a href="/x?a=1&amp;b=2&c=3">y</a>') == "[y](/x?a=1&b=2&c=3)"
