@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,14 +14,22 @@ from pyspark.sql.functions import arrow_udf
 
 #: Rewritings before two requirements are compared.
 REWRITES = [(r"\([^)]*\)", " "), (r"\b(?:strong|excellent|good|solid|proven)\b", " "), (r"(\d+)\+?\s*(?:years?|yrs?)", r"\1 years"), (r"[^\w\s]", " "), (r"\b(?:the|a|an)\b", " "), (r"\s+", " ")]
-_REWRITES = [(re.compile(p), r) for p, r in REWRITES]
+#: The steps of REWRITES, the last ones over words: between white space and marks they are the same.
+_BRACKETS, _PRAISE, _YEARS, _MARKS = (re.compile(p) for p, _ in REWRITES[:4])
+_PRAISED = ("strong", "excellent", "good", "solid", "proven")
+_ARTICLES = {"the", "a", "an"}
 
 
+@lru_cache(maxsize=1 << 14)
 def comparable(text: str) -> str:
     out = text.lower()
-    for pattern, by in _REWRITES:
-        out = pattern.sub(by, out)
-    return out.strip()
+    if "(" in out:
+        out = _BRACKETS.sub(" ", out)
+    if any(w in out for w in _PRAISED):
+        out = _PRAISE.sub(" ", out)
+    if "year" in out or "yr" in out:
+        out = _YEARS.sub(r"\1 years", out)
+    return " ".join([w for w in _MARKS.sub(" ", out).split() if w not in _ARTICLES])
 
 
 def likeness(a: str, b: str) -> float:
@@ -35,12 +44,52 @@ def likeness(a: str, b: str) -> float:
     return ratio
 
 
+class _Kept:
+    """A text that others are held against: what is asked of it again and again is made once."""
+
+    __slots__ = ("full", "masks", "matcher", "text")
+
+    def __init__(self, text: str):
+        self.text, self.full = text, (1 << len(text)) - 1
+        self.masks: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+        self.matcher: SequenceMatcher | None = None
+
+    def common(self, x: str) -> int:
+        """Length of the longest common subsequence, bit-parallel: the ratio's runs can't hold more."""
+        rest, full, masks = self.full, self.full, self.masks
+        for c in x:
+            hit = rest & masks.get(c, 0)
+            rest = ((rest + hit) | (rest - hit)) & full
+        return len(self.text) - rest.bit_count()
+
+    def like(self, x: str, threshold: float) -> bool:
+        """Whether the likeness of ``x`` to this text, both comparable, is ``threshold`` or more."""
+        y = self.text
+        if x == y:
+            return threshold <= 1.0
+        short, long = sorted((len(x), len(y)))
+        if short and (x in y or y in x) and short / long * (1.1 if short > 40 else 1.0) >= threshold:
+            return True
+        # what bounds the ratio from above settles most pairs
+        if 2.0 * short / (short + long) < threshold or 2.0 * self.common(x) / (short + long) < threshold:
+            return False
+        if self.matcher is None:
+            self.matcher = SequenceMatcher(None, "", y)
+        self.matcher.set_seq1(x)
+        return self.matcher.ratio() >= threshold
+
+
 def distinct_texts(texts: list[str], threshold: float = 0.8) -> list[str]:
     """The longest first, each kept if it is like none kept before."""
     kept: list[str] = []
+    held: list[_Kept] = []
     for text in sorted(texts, key=lambda t: (-len(t), t)):
-        if all(likeness(text, k) < threshold for k in kept):
+        x = comparable(text)
+        if not any(k.like(x, threshold) for k in held):
             kept.append(text)
+            held.append(_Kept(x))
     return kept
 
 

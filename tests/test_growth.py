@@ -1,8 +1,11 @@
 """Work that grows with the rows is done once a row, and results hold on inputs that small tables lack."""
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from millrace.functions import extraction, markdown, rules
+from millrace.operators import similarity
 
 
 def planned(df) -> str:
@@ -18,3 +21,17 @@ def test_sections_of_a_text_are_cut_once(spark):
 def test_only_whole_references_are_decoded():
     assert markdown.to_markdown("<title>a&&amp</title><p>&copy; &copy x &ampx; &nope; &#65; &#65</p>") == "a&&amp\n\n© &copy x &ampx; &nope; A &#65"
     assert markdown.to_markdown('<a href="/x?a=1&amp;b=2&c=3">y</a>') == "[y](/x?a=1&b=2&c=3)"
+
+
+def test_pairs_that_cannot_be_alike_are_not_matched(monkeypatch):
+    calls = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(similarity, "SequenceMatcher", Counted)
+    texts = ["Must have knowledge of red steel and Python.", "We sell red steel to many people.", "Strong communication skills and the ability to lead 9 people.", "must have knowledge of red steel and python"]
+    assert similarity.distinct_texts(texts) == [texts[2], texts[0], texts[1]]
+    assert not calls
