@@ -1,11 +1,15 @@
 """Work that grows with the rows is done once a row, and results hold on inputs that small tables lack."""
 
+import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import extraction, markdown, rules
-from millrace.operators import similarity
+from millrace.functions import extraction, lexicons, markdown, needles, rules
+from millrace.operators import requirements, similarity
+from millrace.plans import QUERIES
+from tests.conftest import SMALL
 
 
 def planned(df) -> str:
@@ -23,6 +27,30 @@ def test_only_whole_references_are_decoded():
     assert markdown.to_markdown('<a href="/x?a=1&amp;b=2&c=3">y</a>') == "[y](/x?a=1&b=2&c=3)"
 
 
+def test_patterns_need_their_words():
+    assert needles.needs(r"(?i)\bGNC\b|guidance\s+(?:and\s+)?control") == ("or", "gnc", ("and", "guidance", "control"))
+    assert needles.needs(r"(?is)x*[ab]+") is None and needles.needs(r"\p{L}+") is None
+    held = lambda need, low: need in low if isinstance(need, str) else (all if need[0] == "and" else any)(held(x, low) for x in need[1:])
+    patterns = [p for ps in lexicons.DOMAINS.values() for p in ps] + [t[1] for t in requirements.TRIGGERS] + list(extraction.IMPLIED.values()) + [p for ps in rules.TECHNOLOGIES.values() for p in ps]
+    texts = ["GUIDANCE and Control", "ci/cd REST api", "Must have 5+ years of C++ or C#", "Bachelor's degree, PhD", "test system design review", "cross functional team leadership", "System  Verilog FPGA"]
+    for p in patterns:
+        for text in texts:
+            if re.search(p, text, re.I):
+                assert held(needles.needs(p), text.lower()), (p, text)
+
+
+@pytest.mark.parametrize("made", [extraction.skills, extraction.stated_requirements, lexicons.domain, extraction.technologies])
+def test_texts_without_a_patterns_words_are_not_searched(spark, made):
+    docs = spark.createDataFrame([("Guidance and Control, Python",)], "t string")
+    assert "contains" in planned(docs.repartition(2).select(made(F.col("t")).alias("r"))).lower()
+
+
+def test_phrases_and_triggers_are_searched_only_where_they_may_stand(spark):
+    docs = spark.createDataFrame([("Team leadership is required",)], "t string").repartition(2)
+    for made in (lexicons.found_phrases(F.col("t"), ["leadership"]), requirements.classified(F.col("t"))):
+        assert "contains" in planned(docs.select(made.alias("r"))).lower()
+
+
 def test_pairs_that_cannot_be_alike_are_not_matched(monkeypatch):
     calls = []
 
