@@ -27,6 +27,11 @@ def test_only_whole_references_are_decoded():
     assert markdown.to_markdown('<a href="/x?a=1&amp;b=2&c=3">y</a>') == "[y](/x?a=1&b=2&c=3)"
 
 
+def test_a_report_cleans_each_page_once_a_pass(spark):
+    df = QUERIES["batch_report"](spark, SMALL)
+    assert planned(df).count("affirmative") <= 4  # a pattern of the cleaning; twice in each of two passes would be more
+
+
 def test_patterns_need_their_words():
     assert needles.needs(r"(?i)\bGNC\b|guidance\s+(?:and\s+)?control") == ("or", "gnc", ("and", "guidance", "control"))
     assert needles.needs(r"(?is)x*[ab]+") is None and needles.needs(r"\p{L}+") is None
