@@ -3,11 +3,12 @@
 import re
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import extraction, lexicons, markdown, needles, rules
-from millrace.operators import requirements, similarity
+from millrace.operators import chunking, requirements, similarity
 from millrace.plans import QUERIES
 from tests.conftest import SMALL
 
@@ -68,3 +69,23 @@ def test_pairs_that_cannot_be_alike_are_not_matched(monkeypatch):
     texts = ["Must have knowledge of red steel and Python.", "We sell red steel to many people.", "Strong communication skills and the ability to lead 9 people.", "must have knowledge of red steel and python"]
     assert similarity.distinct_texts(texts) == [texts[2], texts[0], texts[1]]
     assert not calls
+
+
+def test_a_batch_is_cut_slice_by_slice():
+    seen = []
+
+    class Watched:
+        def __init__(self, arr):
+            self.arr = arr
+
+        def __len__(self):
+            return len(self.arr)
+
+        def slice(self, i, n):
+            seen.append(n)
+            return self.arr.slice(i, n)
+
+    rows = [[f"a {i}."] * (i % 3) for i in range(3 * chunking.SLICE + 5)] + [None]
+    got = chunking._by_slices(lambda x: [" ".join(x or [])], Watched(pa.array(rows, pa.list_(pa.string()))))
+    assert got.to_pylist() == [[" ".join(x or [])] for x in rows] and seen == [chunking.SLICE] * 4
+    assert chunking._by_slices(lambda x: x, pa.array([], pa.list_(pa.string()))).to_pylist() == []
