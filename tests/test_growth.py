@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import extraction, lexicons, markdown, needles, rules
+from millrace.functions import boilerplate, extraction, lexicons, markdown, needles, rules
 from millrace.operators import chunking, requirements, similarity
 from millrace.plans import QUERIES
 from tests.conftest import SMALL
@@ -89,3 +89,10 @@ def test_a_batch_is_cut_slice_by_slice():
     got = chunking._by_slices(lambda x: [" ".join(x or [])], Watched(pa.array(rows, pa.list_(pa.string()))))
     assert got.to_pylist() == [[" ".join(x or [])] for x in rows] and seen == [chunking.SLICE] * 4
     assert chunking._by_slices(lambda x: x, pa.array([], pa.list_(pa.string()))).to_pylist() == []
+
+
+def test_boilerplate_is_searched_where_its_words_are_and_what_is_glued_goes_too(spark):
+    docs = spark.createDataFrame([("SHnextare now; apply  now",), ("Rock & roll",)], "t string").repartition(2)
+    df = docs.select("t", boilerplate.without_boilerplate(F.col("t")).alias("r"))
+    assert "contains" in planned(df).lower()
+    assert {x["t"]: x["r"] for x in df.collect()} == {"SHnextare now; apply  now": "SHare now; ", "Rock & roll": "Rock & roll"}
