@@ -236,6 +236,11 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
     return df.withColumn("is_duplicate", rank > 1)
 
 
+def repeated(df: DataFrame, times: Column) -> DataFrame:
+    """Each row as often as a column says, from one pass: a union of a table with itself would make its rows anew."""
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).drop("_copy")
+
+
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -74,7 +74,7 @@ def _(v):
 def _(v):
     """Issues written a folder for each type and read again."""
     some = v.assessments
-    found = integrity.duplicates(some.unionByName(some)).unionByName(integrity.invalid_scores(some.select("job_id", (F.col("overall_score") + 60).alias("overall_score"), *[F.lit(1.0).alias(n) for n in integrity.SCORES[1:]])))
+    found = integrity.duplicates(store.repeated(some, F.lit(2))).unionByName(integrity.invalid_scores(some.select("job_id", (F.col("overall_score") + 60).alias("overall_score"), *[F.lit(1.0).alias(n) for n in integrity.SCORES[1:]])))
     path = files.scratch(v.spark, "issues")
     files.write_issues(found, path)
     return v.spark.read.option("header", True).csv(path).select("issue_type", F.col("record_id").cast("string").alias("record_id"))

@@ -1,5 +1,6 @@
 """Work that grows with the rows is done once a row, and results hold on inputs that small tables lack."""
 
+import os
 import re
 from difflib import SequenceMatcher
 
@@ -8,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import boilerplate, extraction, lexicons, markdown, needles, rules
-from millrace.operators import chunking, requirements, similarity
+from millrace.operators import chunking, requirements, similarity, store
 from millrace.plans import QUERIES
+from millrace.plans.adapters import Views
+from millrace.sources import partitions
 from tests.conftest import SMALL
 
 
@@ -96,3 +99,22 @@ def test_boilerplate_is_searched_where_its_words_are_and_what_is_glued_goes_too(
     df = docs.select("t", boilerplate.without_boilerplate(F.col("t")).alias("r"))
     assert "contains" in planned(df).lower()
     assert {x["t"]: x["r"] for x in df.collect()} == {"SHnextare now; apply  now": "SHare now; ", "Rock & roll": "Rock & roll"}
+
+
+def test_assessments_are_dealt_to_parts_by_the_size_of_their_table(spark, monkeypatch):
+    def found():
+        return {name: sorted(map(str, QUERIES[name](spark, SMALL).collect())) for name in ("issue_files", "issue_report")}
+
+    parts = lambda: re.findall(r"RepartitionByExpression \[l_orderkey#\d+L\], (\d+)", planned(Views(spark, SMALL).assessments))
+    small = found()
+    assert parts() == []
+    size = os.path.getsize(f"{SMALL}/lineitem.parquet")
+    for n in (50, 100):
+        monkeypatch.setattr(partitions, "PART_BYTES", -(-size // n))
+        assert [abs(int(x) - n) <= 1 for x in parts()] == [True]
+    assert found() == small
+
+
+def test_rows_are_repeated_in_one_pass(spark):
+    df = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "id int, n int").repartition(2)
+    assert sorted(x["id"] for x in store.repeated(df, F.col("n")).collect()) == [1, 1, 3]
