@@ -192,7 +192,7 @@ def _(v):
 @query("issue_report", "SELECT '# Integrity' || chr(10) || chr(10) || '- error: duplicate_assessment (' || count(*) || ')' || chr(10) || '- warning: missing_preprocessing (' || count(*) FILTER (WHERE job_id % 5 = 0) || ')' AS report FROM assessments")
 def _(v):
     some = v.assessments
-    found = integrity.duplicates(some.unionByName(some)).unionByName(integrity.missing_preprocessing(v.assessments, v.assessments.filter("job_id % 5 <> 0")))
+    found = integrity.duplicates(store.repeated(some, F.lit(2))).unionByName(integrity.missing_preprocessing(v.assessments, v.assessments.filter("job_id % 5 <> 0")))
     return report.issue_report(found)
 
 

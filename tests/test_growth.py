@@ -118,3 +118,5 @@ def test_assessments_are_dealt_to_parts_by_the_size_of_their_table(spark, monkey
 def test_rows_are_repeated_in_one_pass(spark):
     df = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "id int, n int").repartition(2)
     assert sorted(x["id"] for x in store.repeated(df, F.col("n")).collect()) == [1, 1, 3]
+    # of the three views of assessments, the first has each row twice without being made twice
+    assert planned(QUERIES["issue_report"](spark, SMALL)).count("Aggregate [l_orderkey") == 3
