@@ -120,3 +120,15 @@ def test_rows_are_repeated_in_one_pass(spark):
     assert sorted(x["id"] for x in store.repeated(df, F.col("n")).collect()) == [1, 1, 3]
     # of the three views of assessments, the first has each row twice without being made twice
     assert planned(QUERIES["issue_report"](spark, SMALL)).count("Aggregate [l_orderkey") == 3
+
+
+def test_equal_texts_of_a_batch_are_searched_for_spans_once(monkeypatch):
+    texts = ["Must have knowledge of red steel and Python.", None, "", "We sell steel.", "İf asked: ability to K.", "Not required, nice to have X."] * 50
+    calls, search = [], requirements._phrases
+    monkeypatch.setattr(requirements, "_phrases", lambda x: calls.append(x) or search(x))
+    got = requirements.span_lists(pa.array(texts, pa.string())).to_pylist()
+    assert len(calls) == 6
+    assert got == [requirements.phrase_spans(x or "") for x in texts]
+    assert requirements.span_lists(pa.array([], pa.string())).to_pylist() == [] and requirements.span_lists(pa.array([None, "x"])).to_pylist() == [[], []]
+    # a capital dotted i folds to if: the condition counts
+    assert [(x["trigger_word"], x["confidence"]) for x in got[4]] == [("ability to", 0.77)]
