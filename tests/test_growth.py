@@ -132,3 +132,14 @@ def test_equal_texts_of_a_batch_are_searched_for_spans_once(monkeypatch):
     assert requirements.span_lists(pa.array([], pa.string())).to_pylist() == [] and requirements.span_lists(pa.array([None, "x"])).to_pylist() == [[], []]
     # a capital dotted i folds to if: the condition counts
     assert [(x["trigger_word"], x["confidence"]) for x in got[4]] == [("ability to", 0.77)]
+
+
+def test_sentences_are_dealt_to_parts_by_the_size_of_their_table(spark, monkeypatch):
+    names = ("sections", "fuzzy_dedup")
+    small = [sorted(map(str, QUERIES[name](spark, SMALL).collect())) for name in names]
+    n = 40
+    monkeypatch.setattr(partitions, "PART_BYTES", -(-os.path.getsize(f"{SMALL}/lineitem.parquet") // n))
+    made = [QUERIES[name](spark, SMALL) for name in names]
+    for df in made:
+        assert [abs(int(x) - n) <= 1 for x in re.findall(r"RepartitionByExpression \[id#\d+L\], (\d+)", planned(df))] == [True]
+    assert [sorted(map(str, df.collect())) for df in made] == small
