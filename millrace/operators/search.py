@@ -41,11 +41,16 @@ def _part(token: Column) -> Column:
     return F.pmod(F.crc32(token.cast("binary")), F.lit(PARTS)).cast("int")
 
 
-def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> None:
-    """Stores the index of some columns, in parts by token and sorted by it within, so that lookups read little of it."""
+def write_index(df: DataFrame, key: str, columns: list[str], path: str, tasks: int = 0) -> None:
+    """Stores the index of some columns, in parts by token and sorted by it within, so that lookups read little of it.
+
+    ``tasks`` is how many tasks write it, for large tables: what each sorts is then bounded however many rows there are.
+    """
     rows = index(df, key, columns).withColumn("part", _part(F.col("token")))
-    # a frequent word's postings are dealt by key as well, so that no task writes all of them
-    rows.repartition("part", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(path)
+    # a frequent word's postings are dealt by key as well, to more tasks the more there are, so that no task writes all of them
+    deal = ["part", F.pmod(F.xxhash64(key), F.lit(max(8, tasks // 8)))]
+    held = rows.repartition(tasks, *deal) if tasks else rows.repartition(*deal)
+    held.sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, query: str) -> DataFrame:

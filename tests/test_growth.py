@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import boilerplate, extraction, lexicons, markdown, needles, rules
-from millrace.operators import chunking, requirements, similarity, store
+from millrace.operators import chunking, requirements, search, similarity, store
 from millrace.plans import QUERIES
 from millrace.plans.adapters import Views
 from millrace.sources import partitions
@@ -143,3 +143,16 @@ def test_sentences_are_dealt_to_parts_by_the_size_of_their_table(spark, monkeypa
     for df in made:
         assert [abs(int(x) - n) <= 1 for x in re.findall(r"RepartitionByExpression \[id#\d+L\], (\d+)", planned(df))] == [True]
     assert [sorted(map(str, df.collect())) for df in made] == small
+
+
+def test_a_frequent_words_postings_are_dealt_to_more_tasks_the_more_write(spark, tmp_path, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("k"), F.lit("word").alias("t"))
+    for tasks, least, most in ((0, 1, 8), (256, 9, 32)):
+        path = str(tmp_path / str(tasks))
+        search.write_index(docs, "k", ["t"], path, tasks)
+        read = search.read_index(spark, path, "word")
+        assert least <= len(read.inputFiles()) <= most and read.select("k").distinct().count() == 4000
+    small = QUERIES["keyword_lookup"](spark, SMALL).collect()
+    monkeypatch.setattr(partitions, "PART_BYTES", 1 << 13)
+    assert partitions.parts_of(Views(spark, SMALL).table("lineitem")) > 8
+    assert QUERIES["keyword_lookup"](spark, SMALL).collect() == small
