@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import identity
 from millrace.operators import cost, integrity, mutations, store
 from millrace.plans.catalog import query
+from millrace.sources.partitions import dealt
 
 J = "id, title, company, location, crawled_at, status"
 R = "job_id, title, company, status, reason, tokens, crawled_at, reviewed_at, preprocessing_version"
@@ -333,9 +334,9 @@ def _tables(v):
     """Views with faults: postings that were rejected are gone, long assessments are there twice, some scores are too high, some ids lost."""
     jobs = v.jobs.filter("status <> 'rejected'")
     assessments = v.assessments.withColumn("overall_score", F.col("overall_score") + F.when(F.col("job_id") % 11 == 0, 60.0).otherwise(0.0))
-    twice = assessments.unionByName(assessments.filter("output_tokens >= 9")).withColumn("row_id", F.col("job_id"))
+    twice = store.repeated(assessments, F.when(F.col("output_tokens") >= 9, 2).otherwise(1)).withColumn("row_id", F.col("job_id"))
     reviews = v.reviews.withColumn("status", F.when(F.col("job_id") % 13 == 0, "rejected").otherwise(F.col("status")))
-    return {"jobs": jobs, "assessments": twice, "reviews": reviews, "costs": v.costs, "preprocessed": v.reviews.filter("tokens >= 500").select("job_id"), "index": twice.select("row_id", F.when(F.col("job_id") % 17 != 0, F.col("job_id")).alias("job_id"))}
+    return {"jobs": jobs, "assessments": twice, "reviews": reviews, "costs": dealt(v.costs, "job_id", v.table("lineitem")), "preprocessed": v.reviews.filter("tokens >= 500").select("job_id"), "index": twice.select("row_id", F.when(F.col("job_id") % 17 != 0, F.col("job_id")).alias("job_id"))}
 
 
 FAULTS = """, fj AS (SELECT * FROM jobs WHERE status <> 'rejected'),

@@ -156,3 +156,13 @@ def test_a_frequent_words_postings_are_dealt_to_more_tasks_the_more_write(spark,
     monkeypatch.setattr(partitions, "PART_BYTES", 1 << 13)
     assert partitions.parts_of(Views(spark, SMALL).table("lineitem")) > 8
     assert QUERIES["keyword_lookup"](spark, SMALL).collect() == small
+
+
+def test_integrity_queries_make_assessments_once_a_check_and_deal_them(spark, monkeypatch):
+    names = ("integrity_by_type", "integrity_issues", "integrity_advice", "integrity_report")
+    small = [sorted(map(str, QUERIES[name](spark, SMALL).collect())) for name in names]
+    assert planned(QUERIES["integrity_by_type"](spark, SMALL)).count("Aggregate [l_orderkey") <= 7  # a union of the rows with some of them makes twice as many
+    monkeypatch.setattr(partitions, "PART_BYTES", 1 << 13)
+    made = [QUERIES[name](spark, SMALL) for name in names]
+    assert all("RepartitionByExpression [l_orderkey" in planned(df) for df in made)
+    assert [sorted(map(str, df.collect())) for df in made] == small
