@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import boilerplate, extraction, lexicons, markdown, needles, rules
-from millrace.operators import chunking, requirements, search, similarity, store
+from millrace.operators import chunking, integrity, requirements, search, similarity, store
 from millrace.plans import QUERIES
 from millrace.plans.adapters import Views
 from millrace.sources import partitions
@@ -158,6 +158,13 @@ def test_a_frequent_words_postings_are_dealt_to_more_tasks_the_more_write(spark,
     assert QUERIES["keyword_lookup"](spark, SMALL).collect() == small
 
 
+def test_advice_asks_for_each_type_once(spark):
+    found = spark.range(100).select(F.when(F.col("id") % 2 == 0, "invalid_score").otherwise("fts_orphan").alias("issue_type"))
+    df = integrity.advised(found)
+    assert re.search(r"Aggregate \[issue_type#\d+\]|Aggregate \[_groupingexpression#\d+\]", planned(df)), planned(df)
+    assert [tuple(x) for x in df.collect()] == [("purge invalid scores", 2), ("rebuild index", 4)]
+
+
 def test_integrity_queries_make_assessments_once_a_check_and_deal_them(spark, monkeypatch):
     names = ("integrity_by_type", "integrity_issues", "integrity_advice", "integrity_report")
     small = [sorted(map(str, QUERIES[name](spark, SMALL).collect())) for name in names]
