@@ -165,6 +165,20 @@ def test_advice_asks_for_each_type_once(spark):
     assert [tuple(x) for x in df.collect()] == [("purge invalid scores", 2), ("rebuild index", 4)]
 
 
+def test_ordered_issues_are_made_once_and_not_for_the_sorts_sample_too(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def kind(i):
+        made.add(1)
+        return ["b", "a"][i % 2]
+
+    found = spark.range(100).select(kind("id").alias("issue_type"), F.lit("error").alias("severity"), F.lpad(F.col("id").cast("string"), 3, "0").alias("record_id"))
+    got = [tuple(x) for x in integrity.ordered(found).collect()]
+    assert got == sorted(got, key=lambda x: (x[0], x[2])) and len(got) == 100
+    assert made.value == 100
+
+
 def test_integrity_queries_make_assessments_once_a_check_and_deal_them(spark, monkeypatch):
     names = ("integrity_by_type", "integrity_issues", "integrity_advice", "integrity_report")
     small = [sorted(map(str, QUERIES[name](spark, SMALL).collect())) for name in names]
